@@ -211,7 +211,8 @@ def row_weights(tables: Tables, null_safe: bool = True, skew: SkewPlan = SkewPla
     orders = tables.orders.select(_key("web_order_id", null_safe).alias(ORDER))
     orders = orders.groupBy(ORDER).agg(F.count(F.lit(1)).alias("order_rows"))
     visits = visits.join(_order_side(orders, skew), _on(skew, ORDER), "left")
-    weight = F.coalesce("order_rows", F.lit(1))
+    visits = visits.withColumn("order_weight", F.coalesce("order_rows", F.lit(1)))
+    weight = F.col("order_weight")
     if not dedupe_mapping:
         visits = visits.join(_mapping_side(tables.driver_mapping, null_safe, skew), _on(skew, ORDER, DRIVER), "left")
         weight = weight * F.coalesce("mapping_rows", F.lit(1))
