@@ -338,7 +338,7 @@ def _correlations() -> str:
         return f"CAST(CAST({name} AS INTEGER) AS DOUBLE)" if name in ("has_elevator", "is_business") else f"CAST({name} AS DOUBLE)"
 
     return " UNION ALL ".join(
-        f"SELECT '{a}' AS column_a, '{b}' AS column_b, {'1.0' if a == b else f'corr({number(a)}, {number(b)})'} AS correlation FROM timed"
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, {f'CASE WHEN var_pop({number(a)}) > 0 THEN 1.0 END' if a == b else f'corr({number(a)}, {number(b)})'} AS correlation FROM timed"
         for a in CORRELATED
         for b in CORRELATED
     )
@@ -429,8 +429,11 @@ def _values(pairs: list[tuple[str, str]]) -> str:
 
 def all_sql() -> dict[str, str]:
     measures = ", ".join(MEASURES)
-    rounded_measures = f"* REPLACE ({r('avg_article_weight_g')} AS avg_article_weight_g)"
-    rounded_derived = f"* REPLACE ({r('avg_article_weight_g')} AS avg_article_weight_g, {r('weight_per_box')} AS weight_per_box)"
+    counts = "CAST(total_boxes AS DOUBLE) AS total_boxes, CAST(total_articles AS DOUBLE) AS total_articles"
+    parts_of_time = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("order_hour", "order_day_of_week", "order_month"))
+    rounded_measures = f"* REPLACE ({r('avg_article_weight_g')} AS avg_article_weight_g, {counts})"
+    rounded_derived = f"""* REPLACE ({r('avg_article_weight_g')} AS avg_article_weight_g, {r('weight_per_box')} AS weight_per_box,
+                          {counts}, {parts_of_time})"""
     keys = "web_order_id, driver_id"
     sql: dict[str, str] = {}
 
@@ -482,7 +485,7 @@ def all_sql() -> dict[str, str]:
         "filled", f"SELECT {rounded_measures} FROM (SELECT {keys}, floor, has_elevator, is_business, {measures} FROM filled)"
     )
     sql["time_features"] = query(
-        "timed_orders", f"SELECT {keys}, order_time, order_hour, order_day_of_week, order_month, is_weekend FROM timed_orders"
+        "timed_orders", f"SELECT {keys}, order_time, {parts_of_time}, is_weekend FROM timed_orders"
     )
     sql["interaction_features"] = query(
         "derived",
@@ -704,7 +707,7 @@ def all_sql() -> dict[str, str]:
         "batch_sizes found scored",
         """SELECT b.request_id, b.requested, COALESCE(k.known, 0) AS known,
                   CASE WHEN b.requested > 100 THEN 'batch too large' WHEN COALESCE(k.known, 0) = 0 THEN 'no valid orders'
-                       ELSE 'ok' END AS status, s.total_count, s."timestamp"
+                       ELSE 'ok' END AS status, CAST(s.total_count AS DOUBLE) AS total_count, s."timestamp"
            FROM batch_sizes b LEFT JOIN (SELECT request_id, COUNT(*) AS known FROM found GROUP BY request_id) k
              ON b.request_id = k.request_id
            LEFT JOIN (SELECT request_id, COUNT(*) AS total_count, MAX(requested_at) AS "timestamp" FROM scored GROUP BY request_id) s

@@ -24,9 +24,10 @@ UNKNOWN = -(2**62)
 SMALL_BYTES = 64 * 2**20
 
 
-def fits_one_task(df: DataFrame, small_bytes: int = SMALL_BYTES) -> bool:
+def fits_one_task(df: DataFrame, small_bytes: int | None = None) -> bool:
     """Whether the optimiser's size estimate is small. No job runs; joins count as large."""
-    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= small_bytes
+    limit = SMALL_BYTES if small_bytes is None else small_bytes
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= limit
 
 
 def _prepare(df: DataFrame, value: str, by: Sequence[str], weight: str | None) -> DataFrame:
@@ -79,7 +80,7 @@ def exact_quantiles(
     weight: str | None = None,
     few_groups: bool = False,
     values_from: DataFrame | None = None,
-    small_bytes: int = SMALL_BYTES,
+    small_bytes: int | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles, one array per group, in the order asked for.
 
@@ -134,7 +135,7 @@ def grouped_summary(
     value: str,
     few_groups: bool = False,
     values_from: DataFrame | None = None,
-    small_bytes: int = SMALL_BYTES,
+    small_bytes: int | None = None,
 ) -> DataFrame:
     """Mean, exact median and count of the value per group; null groups drop out."""
     by = list(by)
@@ -154,7 +155,7 @@ def grouped_summary(
     )
 
 
-def running_counts(df: DataFrame, value: str, weight: str | None = None, small_bytes: int = SMALL_BYTES) -> DataFrame:
+def running_counts(df: DataFrame, value: str, weight: str | None = None, small_bytes: int | None = None) -> DataFrame:
     """Distinct values with their count, the number of rows up to them, and the total.
 
     Values are ordered bin by bin in parallel; only the bin totals, a small table,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations_with_replacement, product
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Row, Window, functions as F, types as T
 
 from stopwise.config import CORRELATED, TARGET, TARGET_QUANTILES, WEIGHT_CLASSES
 from stopwise.functions.bins import equal_width_class, histogram_bin
@@ -113,29 +114,52 @@ def weight_class_stats(df: DataFrame, measure: str = "total_weight_g", target: s
     return listed.join(F.broadcast(means), "class_no", "left")
 
 
+def _merge_pair(groups: Sequence[Row], i: int, j: int) -> tuple[float, float, float]:
+    """Sums of squares and of products about the mean, over the groups that know both columns."""
+    both = [g for g in groups if g["known"][i] == "1" and g["known"][j] == "1"]
+    rows = sum(g["n"] for g in both)
+    if rows < 2:
+        return 0.0, 0.0, 0.0
+    mean_i = sum(g["n"] * g[f"m{i}"] for g in both) / rows
+    mean_j = sum(g["n"] * g[f"m{j}"] for g in both) / rows
+    xx = sum(g["n"] * (g[f"c{i}_{i}"] + (g[f"m{i}"] - mean_i) ** 2) for g in both)
+    yy = sum(g["n"] * (g[f"c{j}_{j}"] + (g[f"m{j}"] - mean_j) ** 2) for g in both)
+    xy = sum(g["n"] * (g[f"c{i}_{j}"] + (g[f"m{i}"] - mean_i) * (g[f"m{j}"] - mean_j)) for g in both)
+    # Spread within rounding of the mean is none at all.
+    return (
+        0.0 if xx <= rows * (1e-14 * mean_i) ** 2 else xx,
+        0.0 if yy <= rows * (1e-14 * mean_j) ** 2 else yy,
+        xy,
+    )
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] = tuple(CORRELATED)) -> DataFrame:
     """Pearson correlation of every pair on the rows where both are known.
 
-    One pass for all pairs. A constant column has no correlation: null, no error.
+    Rows are grouped by which columns are known, at most 2^columns groups and a few in
+    practice. Each group is complete, so one mean per column and one co-moment per pair
+    describe it. The group rows are then merged pair by pair. A constant column has no
+    correlation: null, no error.
     """
     names = [name for name in columns if name in df.columns]
-    numbers = df.select([F.col(name).cast("double").alias(name) for name in names])
-    sums = []
-    for i, j in combinations(range(len(names)), 2):
-        a, b = F.col(names[i]), F.col(names[j])
-        sums += [F.regr_sxy(a, b).alias(f"xy_{i}_{j}"), F.regr_sxx(a, b).alias(f"xx_{i}_{j}"), F.regr_syy(a, b).alias(f"yy_{i}_{j}")]
-    sums += [F.var_pop(name).alias(f"var_{i}") for i, name in enumerate(names)]
-    entries = []
-    for i, first in enumerate(names):
-        for j, second in enumerate(names):
-            low, high = min(i, j), max(i, j)
-            if i == j:
-                value = F.when(F.col(f"var_{i}") > 0, F.lit(1.0))
-            else:
-                spread = F.sqrt(F.col(f"xx_{low}_{high}")) * F.sqrt(F.col(f"yy_{low}_{high}"))
-                value = F.try_divide(F.col(f"xy_{low}_{high}"), spread)
-            entries.append(F.struct(F.lit(first).alias("column_a"), F.lit(second).alias("column_b"), value.alias("correlation")))
-    return numbers.agg(*sums).select(F.explode(F.array(entries)).alias("entry")).select("entry.*")
+    pairs = list(combinations_with_replacement(range(len(names)), 2))
+    known = [F.when(F.col(name).isNotNull(), "1").otherwise("0") for name in names]
+    numbers = df.select(
+        F.concat(*known).alias("known"), *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, n in enumerate(names)]
+    )
+    groups = numbers.groupBy("known").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(names))],
+        *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i, j in pairs],
+    )
+    found = groups.collect()
+    merged = [_merge_pair(found, i, j) for i, j in pairs]
+    moments = dict(zip(pairs, merged))
+    rows = []
+    for i, j in product(range(len(names)), repeat=2):
+        xx, yy, xy = moments[min(i, j), max(i, j)]
+        rows.append((names[i], names[j], xy / math.sqrt(xx * yy) if xx > 0 and yy > 0 else None))
+    return df.sparkSession.createDataFrame(rows, "column_a string, column_b string, correlation double")
 
 
 def target_correlations(matrix: DataFrame, target: str = TARGET) -> DataFrame:

@@ -68,15 +68,19 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _explore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.explore_frame(_raw(spark, sf_dir), skew=_skew(spark, sf_dir))
+    """The joined, uncleaned rows. Many reports read a few of their columns each, so the
+    joins run once and the reports scan a columnar table."""
 
+    def write() -> str:
+        path = scratch_path(spark, "explore")
+        joins.explore_frame(_raw(spark, sf_dir), skew=_skew(spark, sf_dir)).write.parquet(path)
+        return path
 
-def _explore_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.add_time_features(_explore(spark, sf_dir))
+    return spark.read.parquet(_remember(spark, sf_dir, "explore", write))
 
 
-def _with_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.join_orders(_raw(spark, sf_dir), skew=_skew(spark, sf_dir))
+def _explore_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.add_time_features(_explore(spark, sf_dir))
 
 
 def _rule(spark: SparkSession, sf_dir: str) -> RuleModel:
@@ -93,6 +97,13 @@ def _rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
     return df.withColumns({name: F.round(name, digits) for name in names})
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    """Whole numbers that a left join or an unknown time may leave null are given as doubles."""
+    names = [n for n in ("total_boxes", "total_articles", "order_hour", "order_day_of_week", "order_month") if n in df.columns]
+    df = df.withColumns({name: F.col(name).cast("double") for name in names})
+    return _rounded(df, *[name for name in ("avg_article_weight_g", "weight_per_box") if name in df.columns])
+
+
 # --- sources and quality -------------------------------------------------------
 
 
@@ -137,12 +148,12 @@ def clean_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = clean.fill_missing(_explore(spark, sf_dir))
-    return _rounded(filled.select(*KEYS, *clean.DEFAULTS), "avg_article_weight_g")
+    return _plain(filled.select(*KEYS, *clean.DEFAULTS))
 
 
 def time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timed = features.add_time_features(_with_orders(spark, sf_dir))
-    return timed.select(*KEYS, "order_time", "order_hour", "order_day_of_week", "order_month", "is_weekend")
+    timed = _explore_times(spark, sf_dir)
+    return _plain(timed.select(*KEYS, "order_time", "order_hour", "order_day_of_week", "order_month", "is_weekend"))
 
 
 def interaction_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,18 +164,18 @@ def interaction_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     matrix = features.feature_matrix(_process(spark, sf_dir), tuple(KEYS))
-    return _rounded(matrix, "avg_article_weight_g", "weight_per_box")
+    return _plain(matrix)
 
 
 # --- joins -----------------------------------------------------------------------
 
 
 def join_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_orders(spark, sf_dir)
+    return joins.join_orders(_raw(spark, sf_dir), skew=_skew(spark, sf_dir))
 
 
 def join_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(joins.join_articles(_raw(spark, sf_dir), skew=_skew(spark, sf_dir)), "avg_article_weight_g")
+    return _plain(joins.join_articles(_raw(spark, sf_dir), skew=_skew(spark, sf_dir)))
 
 
 def join_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,11 +188,11 @@ def mapping_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(joins.join_datasets(_raw(spark, sf_dir), skew=_skew(spark, sf_dir)), "avg_article_weight_g")
+    return _plain(joins.join_datasets(_raw(spark, sf_dir), skew=_skew(spark, sf_dir)))
 
 
 def article_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(aggregate_articles(_raw(spark, sf_dir).articles), "avg_article_weight_g")
+    return _plain(aggregate_articles(_raw(spark, sf_dir).articles))
 
 
 # --- cleaning ----------------------------------------------------------------------
@@ -193,14 +204,11 @@ def remove_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detect_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    visits = joins.row_weights(_raw(spark, sf_dir), skew=_skew(spark, sf_dir), dedupe_mapping=True)
-    bounds = clean.iqr_bounds(visits, TARGET, 1.5, "row_weight", _raw(spark, sf_dir).service_times)
+    explored = _explore(spark, sf_dir)
+    bounds = clean.iqr_bounds(explored)
     value = F.col(TARGET)
     outside = (value < F.lit(bounds.lower)) | (value > F.lit(bounds.upper))
-    figures = visits.agg(
-        F.sum("row_weight").alias("row_count"),
-        F.coalesce(F.sum(F.when(outside, F.col("row_weight"))), F.lit(0)).alias("outlier_count"),
-    ).withColumns(
+    figures = explored.agg(F.count(F.lit(1)).alias("row_count"), F.count_if(outside).alias("outlier_count")).withColumns(
         {
             "lower_bound": F.lit(bounds.lower),
             "upper_bound": F.lit(bounds.upper),
@@ -217,20 +225,20 @@ def clean_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = joins.row_weights(positive, skew=skew)
     bounds = clean.iqr_bounds(weights, TARGET, 1.5, "row_weight", positive.service_times)
     cleaned = clean.clean_data(joins.join_datasets(positive, skew=skew), bounds=bounds)
-    return _rounded(cleaned, "avg_article_weight_g")
+    return _plain(cleaned)
 
 
 def create_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     derived = features.create_features(clean.fill_missing(_explore(spark, sf_dir)))
-    return _rounded(derived, "avg_article_weight_g", "weight_per_box")
+    return _plain(derived)
 
 
 def processed_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_process(spark, sf_dir), "avg_article_weight_g", "weight_per_box")
+    return _plain(_process(spark, sf_dir))
 
 
 def impute_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filled = clean.impute(_with_orders(spark, sf_dir).select(*KEYS, "floor"), ["floor"], "median")
+    filled = clean.impute(_explore(spark, sf_dir).select(*KEYS, "floor"), ["floor"], "median")
     return _rounded(filled, "floor")
 
 
@@ -257,19 +265,18 @@ def target_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats.quantile_list(_raw(spark, sf_dir).service_times), "value")
 
 
-def _grouped(df: DataFrame, group: str, raw: Tables, **options) -> DataFrame:
-    summary = stats.stats_by(df.select(group, TARGET), group, values_from=raw.service_times, **options)
-    return _rounded(summary, "mean", "median")
+def _grouped(df: DataFrame, group: str, **options) -> DataFrame:
+    return _rounded(stats.stats_by(df, group, **options), "mean", "median")
 
 
 def stats_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timed = features.add_time_features(_with_orders(spark, sf_dir))
-    return _grouped(timed, "order_hour", _raw(spark, sf_dir), few_groups=True)
+    timed = _explore_times(spark, sf_dir)
+    return _grouped(timed, "order_hour", few_groups=True)
 
 
 def stats_by_weekday(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timed = features.add_time_features(_with_orders(spark, sf_dir))
-    summary = _grouped(timed, "order_day_of_week", _raw(spark, sf_dir), few_groups=True)
+    timed = _explore_times(spark, sf_dir)
+    summary = _grouped(timed, "order_day_of_week", few_groups=True)
     return summary.withColumn("weekday", stats_label("order_day_of_week"))
 
 
@@ -278,27 +285,27 @@ def stats_label(index: str):
 
 
 def stats_by_elevator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grouped(_with_orders(spark, sf_dir), "has_elevator", _raw(spark, sf_dir), few_groups=True)
+    return _grouped(_explore(spark, sf_dir), "has_elevator", few_groups=True)
 
 
 def stats_by_business(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grouped(_with_orders(spark, sf_dir), "is_business", _raw(spark, sf_dir), few_groups=True)
+    return _grouped(_explore(spark, sf_dir), "is_business", few_groups=True)
 
 
 def stats_by_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grouped(_with_orders(spark, sf_dir), "floor", _raw(spark, sf_dir), min_count=10)
+    return _grouped(_explore(spark, sf_dir), "floor", min_count=10)
 
 
 def floor_elevator_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(stats.mean_by(_with_orders(spark, sf_dir), ["has_elevator", "floor"]), "mean")
+    return _rounded(stats.mean_by(_explore(spark, sf_dir), ["has_elevator", "floor"]), "mean")
 
 
 def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(stats.value_counts(_with_orders(spark, sf_dir), ["has_elevator", "is_business"]), "proportion")
+    return _rounded(stats.value_counts(_explore(spark, sf_dir), ["has_elevator", "is_business"]), "proportion")
 
 
 def top_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.top_values(_with_orders(spark, sf_dir), "floor")
+    return stats.top_values(_explore(spark, sf_dir), "floor")
 
 
 def weight_class_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,10 +338,7 @@ def target_by_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eda_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw, skew = _raw(spark, sf_dir), _skew(spark, sf_dir)
-    weights = joins.row_weights(raw, skew=skew, dedupe_mapping=True)
-    listed = exact_quantiles(weights, TARGET, [0.25, 0.5, 0.75], weight="row_weight", values_from=raw.service_times)
-    q1, median, q3 = listed.first()["quantiles"]
+    q1, median, q3 = exact_quantiles(_explore(spark, sf_dir), TARGET, [0.25, 0.5, 0.75]).first()["quantiles"]
     bounds = clean.Bounds(q1, q3, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
     summary = stats.eda_summary(_explore_times(spark, sf_dir), bounds, median)
     return _rounded(summary, "mean", "std", "outlier_pct", "median")
@@ -494,7 +498,7 @@ def feature_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
         _requests(spark, sf_dir), _features(spark, sf_dir), _hot_requests(spark, sf_dir, "web_order_id")
     )
     names = ["request_id", "position", "driver_id", "web_order_id", *FEATURES]
-    return _rounded(found.select(names), "avg_article_weight_g", "weight_per_box")
+    return _plain(found.select(names))
 
 
 def lookup_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -537,7 +541,7 @@ def batch_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scoring.extract_features(requests, _features(spark, sf_dir).select("web_order_id"), hot)
     status = scoring.batch_status(requests, found)
     answers = scoring.batch_responses(_score(spark, sf_dir), status)
-    counted = answers.select("request_id", F.size("predictions").cast("long").alias("total_count"), "timestamp")
+    counted = answers.select("request_id", F.size("predictions").cast("double").alias("total_count"), "timestamp")
     return status.join(counted, "request_id", "left")
 
 
@@ -560,7 +564,7 @@ def _written_logs(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
 def feature_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = logs.read(spark, _written_logs(spark, sf_dir)[0], FEATURE_LOGS)
     parsed = logs.parse_features(entries).select("id", "timestamp", "web_order_id", "driver_id", "model_version", *FEATURES)
-    return _rounded(parsed, "avg_article_weight_g", "weight_per_box")
+    return _plain(parsed)
 
 
 def prediction_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
