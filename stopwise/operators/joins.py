@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stopwise.functions.keys import null_safe_key
 from stopwise.operators.articles import aggregate_articles
+from stopwise.operators.rows import repeat_rows
 from stopwise.operators.skew import HotKeys, every_piece, find_hot_keys, random_piece
 from stopwise.sources.tables import Tables
 
 ORDER, DRIVER, PIECE, SLICE = "__order", "__driver", "__piece", "__slice"
-CHUNK = 2**20
 
 
 @dataclass(frozen=True)
@@ -87,16 +87,6 @@ def _on(skew: SkewPlan, *keys: str) -> list[str]:
     return [*keys, PIECE] if skew.visits is not None else list(keys)
 
 
-def _repeat(df: DataFrame, copies: Column) -> DataFrame:
-    """Each row as often as `copies` says, from two short lists instead of one long one."""
-    return (
-        df.withColumn("__copies", copies)
-        .withColumn("__chunk", F.explode(F.expr(f"sequence(0L, (__copies - 1) div {CHUNK})")))
-        .withColumn("__copy", F.explode(F.expr(f"sequence(1L, least({CHUNK}L, __copies - __chunk * {CHUNK}L))")))
-        .drop("__copies", "__chunk", "__copy")
-    )
-
-
 def _renamed_orders(orders: DataFrame, visits: DataFrame, null_safe: bool) -> DataFrame:
     """Orders ready to join: key column, other columns suffixed where the name is taken."""
     columns = [
@@ -163,7 +153,7 @@ def join_mapping(tables: Tables, null_safe: bool = True, skew: SkewPlan = SkewPl
 def _join_mapping(visits: DataFrame, tables: Tables, null_safe: bool, skew: SkewPlan) -> DataFrame:
     mapping = _mapping_side(tables.driver_mapping, null_safe, skew)
     joined = visits.join(mapping, _on(skew, ORDER, DRIVER), "left")
-    return _repeat(joined, F.coalesce("mapping_rows", F.lit(1)))
+    return repeat_rows(joined, F.coalesce("mapping_rows", F.lit(1)))
 
 
 def check_mapping(tables: Tables, null_safe: bool = True, skew: SkewPlan = SkewPlan()) -> DataFrame:

@@ -2,8 +2,9 @@
 
 `percentile` keeps every distinct value of a group in one task, so it serves only
 where the input is small by Catalyst's own estimate. Beyond that, rows are counted
-per fine magnitude bin (a small table), running sums over the bins tell which bin
-holds a wanted rank, and only the values of those bins are ordered.
+per magnitude bin (a small table), running sums over the bins tell which bin holds a
+wanted rank, that bin is counted again in finer bins, and only the values of the last
+bins are ordered.
 """
 
 from __future__ import annotations
@@ -14,7 +15,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stopwise.functions.bins import magnitude_bin
 
-VALUE, WEIGHT, BIN, COUNT, END, TOTAL = "__value", "__weight", "__bin", "__count", "__end", "__total"
+VALUE, WEIGHT, BIN, FINE = "__value", "__weight", "__bin", "__fine"
+COUNT, START, END, TOTAL = "__count", "__start", "__end", "__total"
+
+# Fine bins split a coarse one 65536 ways: a relative width of 3e-9, so that even a
+# coarse bin holding a third of all rows falls apart into many.
+FINE_PER_OCTAVE = 4096 * 65536
 
 # Bin of null values. A filter on them would differ between the passes and keep Spark
 # from reusing the exchanges below; an own bin, never wanted, does not.
@@ -33,9 +39,13 @@ def fits_one_task(df: DataFrame, small_bytes: int | None = None) -> bool:
 def _prepare(df: DataFrame, value: str, by: Sequence[str], weight: str | None) -> DataFrame:
     number = F.col(value).cast("double")
     number = F.when(~F.isnan(number), number)
-    picked = df.select(
-        *by, number.alias(VALUE), (F.col(weight) if weight else F.lit(1)).cast("long").alias(WEIGHT)
-    ).withColumn(BIN, F.coalesce(magnitude_bin(F.col(VALUE)), F.lit(UNKNOWN)))
+    picked = df.select(*by, number.alias(VALUE), (F.col(weight) if weight else F.lit(1)).cast("long").alias(WEIGHT))
+    picked = picked.withColumns(
+        {
+            BIN: F.coalesce(magnitude_bin(F.col(VALUE)), F.lit(UNKNOWN)),
+            FINE: F.coalesce(magnitude_bin(F.col(VALUE), FINE_PER_OCTAVE), F.lit(UNKNOWN)),
+        }
+    )
     for name in by:
         picked = picked.filter(F.col(name).isNotNull())
     return picked
@@ -50,11 +60,20 @@ def _bin_counts(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _bin_ranges(bins: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The ranks [start, end) each coarse bin covers in its group."""
     group = Window.partitionBy(*by) if by else Window.partitionBy()
     ordered = group.orderBy(BIN).rowsBetween(Window.unboundedPreceding, 0)
-    return bins.filter(F.col(COUNT) > 0).select(
+    ranges = bins.filter(F.col(COUNT) > 0).select(
         *by, BIN, COUNT, F.sum(COUNT).over(ordered).alias(END), F.sum(COUNT).over(group).alias(TOTAL)
     )
+    return ranges.withColumn(START, F.col(END) - F.col(COUNT)).drop(COUNT)
+
+
+def _fine_ranges(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The same for the at most 65536 fine bins within each coarse one."""
+    ordered = Window.partitionBy(*by, BIN).orderBy(FINE).rowsBetween(Window.unboundedPreceding, 0)
+    ranges = counts.withColumn(END, F.col(START) + F.sum(COUNT).over(ordered))
+    return ranges.select(*by, FINE, (F.col(END) - F.col(COUNT)).alias(START), END, TOTAL)
 
 
 def _low_rank(q: float) -> Column:
@@ -65,11 +84,12 @@ def _high_rank(q: float) -> Column:
     return F.ceil((F.col(TOTAL) - 1) * F.lit(float(q)))
 
 
-def _wanted_bins(ranges: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    wanted = F.lit(False)
+def _wanted(ranges: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """Bins that hold a wanted rank: at most two per probability and group."""
+    chosen = F.lit(False)
     for q in probabilities:
-        wanted = wanted | ((F.col(END) - F.col(COUNT) <= _high_rank(q)) & (F.col(END) > _low_rank(q)))
-    return ranges.filter(wanted).withColumn("__start", F.col(END) - F.col(COUNT)).drop(COUNT, END)
+        chosen = chosen | ((F.col(START) <= _high_rank(q)) & (F.col(END) > _low_rank(q)))
+    return ranges.filter(chosen).drop(END)
 
 
 def exact_quantiles(
@@ -98,14 +118,13 @@ def exact_quantiles(
             .groupBy(*by)
             .agg(F.percentile(VALUE, share, F.col(WEIGHT)).alias("quantiles"))
         )
-    wanted = _wanted_bins(_bin_ranges(_bin_counts(rows, by), by), probabilities)
-    if few_groups or not by:
-        picked = rows.join(F.broadcast(wanted), [*by, BIN])
-        counts = picked.groupBy(*by, BIN, "__start", TOTAL, VALUE).agg(F.sum(WEIGHT).alias(COUNT))
-    else:
-        counts = rows.groupBy(*by, BIN, VALUE).agg(F.sum(WEIGHT).alias(COUNT)).join(wanted, [*by, BIN])
-    inside = Window.partitionBy(*by, BIN).orderBy(VALUE).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("__upto", F.col("__start") + F.sum(COUNT).over(inside))
+    bounded = few_groups or not by
+    coarse = _wanted(_bin_ranges(_bin_counts(rows, by), by), probabilities)
+    in_coarse = _counts_in(rows, coarse, by, BIN, FINE, bounded)
+    fine = _wanted(_fine_ranges(in_coarse, by), probabilities)
+    in_fine = _counts_in(rows, fine, by, FINE, VALUE, bounded)
+    inside = Window.partitionBy(*by, FINE).orderBy(VALUE).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = in_fine.withColumn("__upto", F.col(START) + F.sum(COUNT).over(inside))
     picks = []
     for index, q in enumerate(probabilities):
         picks.append(F.min(F.when(F.col("__upto") > _low_rank(q), F.col(VALUE))).alias(f"__low{index}"))
@@ -119,6 +138,21 @@ def exact_quantiles(
     return grouped.select(*by, F.array(values).alias("quantiles"))
 
 
+def _counts_in(
+    rows: DataFrame, wanted: DataFrame, by: Sequence[str], bin_name: str, detail: str, bounded: bool
+) -> DataFrame:
+    """Row counts per detail within the wanted bins, with the bins' first rank and total.
+
+    A bounded list of bins is broadcast and filters the rows in the scan. Otherwise
+    rows are counted before they meet the list, so crowded values move as one row.
+    """
+    keys = list(dict.fromkeys([*by, bin_name, detail]))
+    if bounded:
+        picked = rows.join(F.broadcast(wanted), [*by, bin_name])
+        return picked.groupBy(*keys, START, TOTAL).agg(F.sum(WEIGHT).alias(COUNT))
+    return rows.groupBy(*keys).agg(F.sum(WEIGHT).alias(COUNT)).join(wanted, [*by, bin_name])
+
+
 def approximate_quantiles(
     df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = (), accuracy: int = 10000
 ) -> DataFrame:
@@ -158,8 +192,8 @@ def grouped_summary(
 def running_counts(df: DataFrame, value: str, weight: str | None = None, small_bytes: int | None = None) -> DataFrame:
     """Distinct values with their count, the number of rows up to them, and the total.
 
-    Values are ordered bin by bin in parallel; only the bin totals, a small table,
-    are summed in one place.
+    Values are ordered bin by bin in parallel; only the coarse bins' totals, a small
+    table, are summed in one place.
     """
     rows = _prepare(df, value, [], weight)
     if fits_one_task(df, small_bytes):
@@ -171,12 +205,14 @@ def running_counts(df: DataFrame, value: str, weight: str | None = None, small_b
             F.sum(COUNT).over(everything.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
             F.sum(COUNT).over(Window.partitionBy()).alias("total"),
         )
-    ranges = _bin_ranges(_bin_counts(rows, []), []).withColumn("__start", F.col(END) - F.col(COUNT)).drop(COUNT, END)
-    counts = rows.groupBy(BIN, VALUE).agg(F.sum(WEIGHT).alias(COUNT))
-    inside = Window.partitionBy(BIN).orderBy(VALUE).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.join(ranges, BIN).select(
+    coarse = _bin_ranges(_bin_counts(rows, []), []).drop(END)
+    per_fine = rows.groupBy(BIN, FINE).agg(F.sum(WEIGHT).alias(COUNT)).join(coarse, BIN)
+    fine = _fine_ranges(per_fine, []).drop(END)
+    counts = rows.groupBy(FINE, VALUE).agg(F.sum(WEIGHT).alias(COUNT))
+    inside = Window.partitionBy(FINE).orderBy(VALUE).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.join(fine, FINE).select(
         F.col(VALUE).alias("value"),
         F.col(COUNT).alias("count"),
-        (F.col("__start") + F.sum(COUNT).over(inside)).alias("upto"),
+        (F.col(START) + F.sum(COUNT).over(inside)).alias("upto"),
         F.col(TOTAL).alias("total"),
     )

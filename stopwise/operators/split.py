@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from stopwise.config import TARGET
+from stopwise.operators.rows import repeat_rows
 
 BUCKETS = 1000
 
@@ -36,34 +37,42 @@ def exact_sample(
 ) -> DataFrame:
     """Exactly int(share * rows) rows, chosen by digest, without a global sort.
 
-    Digest prefixes are counted first. Prefixes below the cut are taken whole in the
-    scan; only the one prefix at the cut, a 65536th of the rows, is put in order.
-    Equal rows are counted, not listed, so many copies of one row do no harm.
+    Digest prefixes are counted, and those below the cut are taken whole in the scan.
+    The prefix at the cut is counted once more by a longer prefix; what is left at the
+    second cut, one row in four billion, is put in order. Equal rows are counted, not
+    listed, so many copies of one row do no harm.
     """
     parts = [F.coalesce(F.col(name), F.lit("")) for name in keys]
     parts.append(F.coalesce(F.floor(F.col(value) * 1000000).cast("string"), F.lit("")))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.concat_ws(":", *parts)))
-    rows = df.withColumn("__digest", digest).withColumn("__prefix", F.substring("__digest", 1, 4))
-    per_prefix = rows.groupBy("__prefix").agg(F.count(F.lit(1)).alias("n"))
-    running = Window.orderBy("__prefix").rowsBetween(Window.unboundedPreceding, 0)
-    ranged = per_prefix.select(
-        "__prefix",
-        (F.sum("n").over(running) - F.col("n")).alias("before"),
-        F.sum("n").over(running).alias("upto"),
-        F.floor(F.sum("n").over(Window.partitionBy()) * share).alias("wanted"),
-    )
-    cut = ranged.filter(F.col("upto") > F.col("wanted")).orderBy("__prefix").first()
-    if cut is None:
-        return df
-    below = rows.filter(F.col("__prefix") < cut["__prefix"]).drop("__digest", "__prefix")
-    at_cut = rows.filter(F.col("__prefix") == cut["__prefix"]).groupBy(*df.columns, "__digest")
+    rows = df.withColumn("__digest", F.md5(F.concat(F.lit(f"{seed}:"), F.concat_ws(":", *parts))))
+    wanted = None
+    at_cut = rows
+    taken = []
+    for length in (4, 8):
+        cut = _find_cut(at_cut, length, share, wanted)
+        if cut is None:
+            return df
+        prefix = F.substring("__digest", 1, length)
+        taken.append(at_cut.filter(prefix < cut["prefix"]).select(*df.columns))
+        at_cut = at_cut.filter(prefix == cut["prefix"])
+        wanted = cut["wanted"] - cut["before"]
     ordered = Window.orderBy("__digest", *df.columns).rowsBetween(Window.unboundedPreceding, 0)
-    left = F.lit(cut["wanted"] - cut["before"])
     edge = (
-        at_cut.agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__taken", F.least(F.col("__n"), left - (F.sum("__n").over(ordered) - F.col("__n"))))
+        at_cut.groupBy(*df.columns, "__digest")
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__taken", F.least(F.col("__n"), F.lit(wanted) - (F.sum("__n").over(ordered) - F.col("__n"))))
         .filter(F.col("__taken") > 0)
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__taken"))))
-        .select(*df.columns)
     )
-    return below.unionByName(edge)
+    edge = repeat_rows(edge, F.col("__taken")).select(*df.columns)
+    return taken[0].unionByName(taken[1]).unionByName(edge)
+
+
+def _find_cut(rows: DataFrame, length: int, share: float, wanted: int | None) -> Row | None:
+    """The digest prefix at which the wanted number of rows is passed; 65536 prefixes at most."""
+    running = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.groupBy(F.substring("__digest", 1, length).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    goal = F.floor(F.sum("n").over(Window.partitionBy()) * share) if wanted is None else F.lit(wanted)
+    ranged = counted.select(
+        "prefix", (F.sum("n").over(running) - F.col("n")).alias("before"), F.sum("n").over(running).alias("upto"), goal.alias("wanted")
+    )
+    return ranged.filter(F.col("upto") > F.col("wanted")).orderBy("prefix").first()

@@ -480,7 +480,14 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.feature_table(_stored(spark, sf_dir))
+    """The lookup table, stored: every scoring job joins it, none builds it."""
+
+    def write() -> str:
+        path = scratch_path(spark, "feature_table")
+        scoring.feature_table(_stored(spark, sf_dir)).write.parquet(path)
+        return path
+
+    return spark.read.parquet(_remember(spark, sf_dir, "feature table", write))
 
 
 def _hot_requests(spark: SparkSession, sf_dir: str, column: str):
