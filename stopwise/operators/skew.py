@@ -11,7 +11,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stopwise.session import shuffle_partitions
 
@@ -42,13 +42,23 @@ def find_hot_keys(
     """
     spark = df.sparkSession
     partitions = partitions or shuffle_partitions(spark)
-    seen = Observation()
-    sample = df.select(*columns).sample(fraction, seed=17).observe(seen, F.count(F.lit(1)).alias("rows"))
-    counts = sample.groupBy(*columns).agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= min_hits)
-    top = counts.orderBy(F.desc("hits")).limit(max(partitions // 2, 1)).collect()
-    total = seen.get["rows"]
+    sample = df.select(*columns).sample(fraction, seed=17)
+    # One pass counts each key and, as the empty grouping set, the whole sample.
+    names = [F.col(name) for name in columns]
+    counts = sample.groupingSets([names, []], *names).agg(
+        F.count(F.lit(1)).alias("hits"), (F.grouping_id() > 0).alias("whole")
+    )
+    top = (
+        counts.filter(F.col("whole") | (F.col("hits") >= min_hits))
+        .orderBy(F.desc("whole"), F.desc("hits"))
+        .limit(max(partitions // 2, 1) + 1)
+        .collect()
+    )
+    total = top[0]["hits"] if top else 0
     rows = [
-        (*row[:-1], math.ceil(row["hits"] * partitions / total)) for row in top if row["hits"] * partitions > 2 * total
+        (*row[: len(columns)], math.ceil(row["hits"] * partitions / total))
+        for row in top[1:]
+        if row["hits"] * partitions > 2 * total
     ]
     if not rows:
         return None

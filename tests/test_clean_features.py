@@ -36,6 +36,7 @@ def test_outlier_bounds_are_closed_and_parts_complete(spark):
 def test_outlier_range_reaches_the_scan(spark, sf_dir, tmp_path):
     path = str(tmp_path / "visits")
     sample_tables.service_times(spark, sf_dir).write.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     plan = clean.remove_outliers(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(service_time_in_minutes" in plan and "LessThanOrEqual(service_time_in_minutes" in plan
 
