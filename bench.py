@@ -24,7 +24,13 @@ HEADLINE = [
     "evaluate_by_split", "errors_by_range", "error_percentiles", "qq_line", "sample_5pct",
     "first_per_order", "feature_lookup", "score_batch_rule", "prediction_statistics", "feature_drift", "train_gbt",
 ]
-SHARED = {"store_explored": catalog._explore, "store_processed": catalog._stored, "store_features": catalog._features}
+SHARED = {
+    "store_explored": catalog._explore,
+    "store_processed": catalog._stored,
+    "store_features": catalog._features,
+    "store_predictions": catalog._errors,
+    "store_logs": catalog.feature_log_rows,
+}
 
 
 def main() -> None:

@@ -27,7 +27,7 @@ FINE_PER_OCTAVE = 4096 * 65536
 UNKNOWN = -(2**62)
 
 
-SMALL_BYTES = 64 * 2**20
+SMALL_BYTES = 16 * 2**20
 
 
 def fits_one_task(df: DataFrame, small_bytes: int | None = None) -> bool:

@@ -114,47 +114,50 @@ def weight_class_stats(df: DataFrame, measure: str = "total_weight_g", target: s
     return listed.join(F.broadcast(means), "class_no", "left")
 
 
-def _merge_pair(groups: Sequence[Row], i: int, j: int) -> tuple[float, float, float]:
+def _moments(groups: Sequence[Row], i: int, j: int) -> tuple[float, float, float]:
     """Sums of squares and of products about the mean, over the groups that know both columns."""
     both = [g for g in groups if g["known"][i] == "1" and g["known"][j] == "1"]
     rows = sum(g["n"] for g in both)
     if rows < 2:
         return 0.0, 0.0, 0.0
-    mean_i = sum(g["n"] * g[f"m{i}"] for g in both) / rows
-    mean_j = sum(g["n"] * g[f"m{j}"] for g in both) / rows
-    xx = sum(g["n"] * (g[f"c{i}_{i}"] + (g[f"m{i}"] - mean_i) ** 2) for g in both)
-    yy = sum(g["n"] * (g[f"c{j}_{j}"] + (g[f"m{j}"] - mean_j) ** 2) for g in both)
-    xy = sum(g["n"] * (g[f"c{i}_{j}"] + (g[f"m{i}"] - mean_i) * (g[f"m{j}"] - mean_j)) for g in both)
-    # Spread within rounding of the mean is none at all.
-    return (
-        0.0 if xx <= rows * (1e-14 * mean_i) ** 2 else xx,
-        0.0 if yy <= rows * (1e-14 * mean_j) ** 2 else yy,
-        xy,
-    )
+
+    def about_mean(product: str, first: int, second: int) -> float:
+        sums = [sum(g[f"s{index}"] for g in both) for index in (first, second)]
+        return sum(g[product] for g in both) - sums[0] * sums[1] / rows
+
+    def spread(index: int) -> float:
+        whole = sum(g[f"p{index}_{index}"] for g in both)
+        value = about_mean(f"p{index}_{index}", index, index)
+        # Spread within rounding of the squares is none at all.
+        return value if value > 1e-12 * whole else 0.0
+
+    return spread(i), spread(j), about_mean(f"p{i}_{j}", i, j)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] = tuple(CORRELATED)) -> DataFrame:
     """Pearson correlation of every pair on the rows where both are known.
 
     Rows are grouped by which columns are known, at most 2^columns groups and a few in
-    practice. Each group is complete, so one mean per column and one co-moment per pair
-    describe it. The group rows are then merged pair by pair. A constant column has no
-    correlation: null, no error.
+    practice, and each group gives plain sums of values and products, taken about the
+    column means for accuracy. The group rows are then merged pair by pair. A constant
+    column has no correlation: null, no error.
     """
     names = [name for name in columns if name in df.columns]
+    numbers = df.select([F.col(name).cast("double").alias(name) for name in names])
+    means = numbers.agg(*[F.avg(name).alias(name) for name in names]).first()
     pairs = list(combinations_with_replacement(range(len(names)), 2))
     known = [F.when(F.col(name).isNotNull(), "1").otherwise("0") for name in names]
-    numbers = df.select(
-        F.concat(*known).alias("known"), *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, n in enumerate(names)]
+    centred = numbers.select(
+        F.concat(*known).alias("known"),
+        *[F.coalesce(F.col(name) - F.lit(means[name]), F.lit(0.0)).alias(f"x{i}") for i, name in enumerate(names)],
     )
-    groups = numbers.groupBy("known").agg(
+    groups = centred.groupBy("known").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(names))],
-        *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i, j in pairs],
+        *[F.sum(f"x{i}").alias(f"s{i}") for i in range(len(names))],
+        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in pairs],
     )
     found = groups.collect()
-    merged = [_merge_pair(found, i, j) for i, j in pairs]
-    moments = dict(zip(pairs, merged))
+    moments = {(i, j): _moments(found, i, j) for i, j in pairs}
     rows = []
     for i, j in product(range(len(names)), repeat=2):
         xx, yy, xy = moments[min(i, j), max(i, j)]

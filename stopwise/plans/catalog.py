@@ -89,8 +89,14 @@ def _rule(spark: SparkSession, sf_dir: str) -> RuleModel:
 
 
 def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = split.with_split(_stored(spark, sf_dir))
-    return evaluate.add_errors(_rule(spark, sf_dir).transform(parts))
+    """The rule model's predictions for all rows, stored; errors are derived on reading."""
+
+    def write() -> str:
+        path = scratch_path(spark, "predictions")
+        _rule(spark, sf_dir).transform(split.with_split(_stored(spark, sf_dir))).write.parquet(path)
+        return path
+
+    return evaluate.add_errors(spark.read.parquet(_remember(spark, sf_dir, "predictions", write)))
 
 
 def _rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
