@@ -771,7 +771,7 @@ def all_sql() -> dict[str, str]:
     sql["stream_statistics"] = query(
         "svc_logs",
         f"""SELECT date_trunc('hour', "timestamp") AS window_start, date_trunc('hour', "timestamp") + INTERVAL 1 HOUR AS window_end,
-                   model_version, COUNT(*) AS predictions, {r('AVG(predicted_service_time)')} AS avg_prediction
+                   model_version, COUNT(*) AS predictions, {r('AVG(predicted_service_time)', 8)} AS avg_prediction
             FROM svc_logs GROUP BY 1, 2, 3
             HAVING date_trunc('hour', "timestamp") + INTERVAL 1 HOUR
                    <= (SELECT MAX("timestamp") - INTERVAL 1 HOUR FROM svc_logs)""",

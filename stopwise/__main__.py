@@ -40,8 +40,7 @@ def _score(spark: SparkSession, settings: Settings, options: argparse.Namespace)
         find_hot_keys(requests.filter(F.col("web_order_id").isNotNull()), ["web_order_id"]),
         find_hot_keys(requests, ["request_id"]),
     )
-    logs.append(logs.feature_log_rows(scored), settings.feature_log, options.batch_id)
-    logs.append(logs.prediction_log_rows(scored), settings.prediction_log, options.batch_id)
+    logs.append_scored(scored, settings.feature_log, settings.prediction_log, options.batch_id)
 
 
 def _statistics(spark: SparkSession, settings: Settings, options: argparse.Namespace) -> None:

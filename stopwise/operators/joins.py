@@ -36,6 +36,7 @@ def measure_skew(tables: Tables, null_safe: bool = True, **sampling) -> SkewPlan
 
 
 def _key(name: str, null_safe: bool) -> Column:
+    """The join key; the bare column where keys are declared never null."""
     return null_safe_key(name) if null_safe else F.col(name)
 
 

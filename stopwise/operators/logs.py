@@ -66,6 +66,16 @@ def append(rows: DataFrame, path: str, batch_id: int) -> None:
     )
 
 
+def append_scored(scored: DataFrame, feature_log: str, prediction_log: str, batch_id: int) -> None:
+    """Both logs of one scored batch; the batch is kept meanwhile, so it is computed once."""
+    kept = scored.persist()
+    try:
+        append(feature_log_rows(kept), feature_log, batch_id)
+        append(prediction_log_rows(kept), prediction_log, batch_id)
+    finally:
+        kept.unpersist()
+
+
 def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The log table; empty, with its schema, before the first write."""
     if not exists(spark, path):

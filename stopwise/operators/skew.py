@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -24,8 +26,13 @@ class HotKeys:
     frame: DataFrame
 
     def mark(self, df: DataFrame, pieces: str) -> DataFrame:
-        """Add the number of pieces of each row's key; null for ordinary keys."""
-        return df.join(F.broadcast(self.frame.withColumnRenamed("pieces", pieces)), list(self.columns), "left")
+        """Add the number of pieces of each row's key; null for ordinary keys.
+
+        A null key can be hot too: even rows that match nothing must not all sit in one task.
+        """
+        listed = self.frame.select(*[F.col(name).alias(f"__hot_{name}") for name in self.columns], F.col("pieces").alias(pieces))
+        same = reduce(and_, [F.col(name).eqNullSafe(F.col(f"__hot_{name}")) for name in self.columns])
+        return df.join(F.broadcast(listed), same, "left").drop(*[f"__hot_{name}" for name in self.columns])
 
 
 def find_hot_keys(

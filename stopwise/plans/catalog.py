@@ -565,10 +565,8 @@ def _written_logs(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """Both logs of the scored requests, written once."""
 
     def write() -> tuple[str, str]:
-        scored = _score(spark, sf_dir)
         paths = scratch_path(spark, "feature_logs"), scratch_path(spark, "prediction_logs")
-        logs.append(logs.feature_log_rows(scored), paths[0], 0)
-        logs.append(logs.prediction_log_rows(scored), paths[1], 0)
+        logs.append_scored(_score(spark, sf_dir), *paths, 0)
         return paths
 
     return _remember(spark, sf_dir, "logs", write)
@@ -741,7 +739,7 @@ def stream_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = spark.read.parquet(_remember(spark, sf_dir, "stream statistics", run))
     found = found.withColumns({name: F.col(name).cast("timestamp_ntz") for name in ("window_start", "window_end")})
-    return _rounded(found, "avg_prediction")
+    return _rounded(found, "avg_prediction", digits=8)
 
 
 def all_queries() -> dict[str, Query]:

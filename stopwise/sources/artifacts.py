@@ -115,6 +115,7 @@ def model_metrics(spark: SparkSession, model_dir: str, version: str = "latest")
     )
     if row.isEmpty():
         raise LookupError(f"no run {version} in {model_dir}")
-    listed = F.collect_list(F.struct("feature", "importance"))
-    importance = read_importance(spark, model_dir).agg(F.array_sort(listed).alias("feature_importance"))
+    listed = F.sort_array(F.collect_list(F.struct("importance", "feature")), asc=False)
+    strongest_first = F.transform(listed, lambda entry: F.struct(entry["feature"], entry["importance"]))
+    importance = read_importance(spark, model_dir).agg(strongest_first.alias("feature_importance"))
     return row.withColumn("feature_importance", importance.scalar())

@@ -28,17 +28,11 @@ def score_stream(
     """Score each micro-batch against the feature table and write both logs.
 
     The logs are partitioned by batch number: a batch that runs again after a failure
-    overwrites its own partitions, so nothing is logged twice. The scored batch is kept
-    while both logs are written, so it is computed once.
+    overwrites its own partitions, so nothing is logged twice.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = score(batch, table, model, model_version).persist()
-        try:
-            logs.append(logs.feature_log_rows(scored), feature_log, batch_id)
-            logs.append(logs.prediction_log_rows(scored), prediction_log, batch_id)
-        finally:
-            scored.unpersist()
+        logs.append_scored(score(batch, table, model, model_version), feature_log, prediction_log, batch_id)
 
     return (
         requests.writeStream.foreachBatch(write)
