@@ -8,10 +8,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stopwise.config import TARGET
-from stopwise.operators.skew import HotKeys, find_hot_keys
+from stopwise.operators.skew import find_hot_keys, lookup_join
 
 MAX_CELLS = 10000
 
@@ -34,14 +34,12 @@ class RuleModel:
 
     def _spread_join(self, df: DataFrame, cells: DataFrame) -> DataFrame:
         """Too many cells to broadcast: shuffle, with crowded cells cut into pieces by row digest."""
-        hot: HotKeys | None = find_hot_keys(df, list(self.keys))
-        if hot is None:
-            return df.join(cells, list(self.keys), "left")
-        piece = F.coalesce(F.pmod(F.xxhash64(*df.columns), F.col("__pieces")), F.lit(0))
-        left = hot.mark(df, "__pieces").withColumn("__piece", piece.cast("int")).drop("__pieces")
-        places = F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1))
-        right = hot.mark(cells, "__pieces").withColumn("__piece", places).drop("__pieces")
-        return left.join(right, [*self.keys, "__piece"], "left").drop("__piece")
+        keys = list(self.keys)
+
+        def by_row(pieces: Column) -> Column:
+            return F.coalesce(F.pmod(F.xxhash64(*df.columns), pieces), F.lit(0)).cast("int")
+
+        return lookup_join(df, cells, keys, "left", find_hot_keys(df, keys), by_row)
 
 
 def fit_rule(df: DataFrame, keys: Sequence[str] = ("floor", "has_elevator"), target: str = TARGET) -> RuleModel:

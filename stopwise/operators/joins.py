@@ -12,7 +12,7 @@ from stopwise.operators.rows import repeat_rows
 from stopwise.operators.skew import HotKeys, every_piece, find_hot_keys, random_piece
 from stopwise.sources.tables import Tables
 
-ORDER, DRIVER, PIECE, SLICE = "__order", "__driver", "__piece", "__slice"
+ORDER, DRIVER, SPREAD, SLICE = "__order", "__driver", "__spread", "__slice"
 
 
 @dataclass(frozen=True)
@@ -36,8 +36,8 @@ def measure_skew(tables: Tables, null_safe: bool = True, **sampling) -> SkewPlan
 
 
 def _key(name: str, null_safe: bool) -> Column:
-    """The join key; the bare column where keys are declared never null."""
-    return null_safe_key(name) if null_safe else F.col(name)
+    """The join key: null meets null, or, where keys are declared never null, nothing."""
+    return null_safe_key(name) if null_safe else F.concat(F.lit("="), F.col(name))
 
 
 def _keyed(df: DataFrame, null_safe: bool) -> DataFrame:
@@ -48,6 +48,16 @@ def _driver_piece(pieces: Column) -> Column:
     return F.when(pieces.isNotNull(), F.pmod(F.xxhash64(DRIVER), pieces)).otherwise(0).cast("int")
 
 
+def _spread_key(pieces: Column, piece: Column) -> Column:
+    """Order key and piece in one column, so that rows are shuffled by both.
+
+    As two columns, Spark may settle for a partitioning by the order alone where the
+    other side has it already. No plain key starts with a tilde.
+    """
+    marked = F.concat(F.lit("~"), piece.cast("string"), F.col(ORDER))
+    return F.when(pieces.isNotNull(), marked).otherwise(F.col(ORDER))
+
+
 def _visit_side(visits: DataFrame, null_safe: bool, skew: SkewPlan) -> DataFrame:
     """The fact side. A hot order is spread by driver, a hot (order, driver) pair at random."""
     visits = _keyed(visits, null_safe)
@@ -58,14 +68,16 @@ def _visit_side(visits: DataFrame, null_safe: bool, skew: SkewPlan) -> DataFrame
     if skew.visit_pairs is not None:
         visits = skew.visit_pairs.mark(visits, "__pair")
         piece = F.when(F.col("__pair").isNotNull(), random_piece(F.col("__pieces"))).otherwise(piece)
-    return visits.withColumn(PIECE, piece).drop("__pieces", "__pair")
+    return visits.withColumn(SPREAD, _spread_key(F.col("__pieces"), piece)).drop("__pieces", "__pair")
 
 
 def _order_side(df: DataFrame, skew: SkewPlan) -> DataFrame:
     """A side keyed by order: hot orders once per piece."""
     if skew.visits is None:
         return df
-    return skew.visits.mark(df, "__pieces").withColumn(PIECE, every_piece(F.col("__pieces"))).drop("__pieces")
+    pieces = F.col("__pieces")
+    placed = skew.visits.mark(df, "__pieces").withColumn("__piece", every_piece(pieces))
+    return placed.withColumn(SPREAD, _spread_key(pieces, F.col("__piece"))).drop("__pieces", "__piece")
 
 
 def _mapping_side(mapping: DataFrame, null_safe: bool, skew: SkewPlan) -> DataFrame:
@@ -81,11 +93,18 @@ def _mapping_side(mapping: DataFrame, null_safe: bool, skew: SkewPlan) -> DataFr
         pairs = skew.visit_pairs.mark(pairs, "__pair")
         everywhere = F.sequence(F.lit(0), F.col("__pieces") - 1)
         places = F.when(F.col("__pair").isNotNull(), everywhere).otherwise(places)
-    return pairs.withColumn(PIECE, F.explode(places)).drop("__pieces", "__pair")
+    placed = pairs.withColumn("__piece", F.explode(places))
+    placed = placed.withColumn(SPREAD, _spread_key(F.col("__pieces"), F.col("__piece")))
+    return placed.drop("__pieces", "__pair", "__piece", ORDER)
+
+
+def _order_key(skew: SkewPlan) -> str:
+    return ORDER if skew.visits is None else SPREAD
 
 
-def _on(skew: SkewPlan, *keys: str) -> list[str]:
-    return [*keys, PIECE] if skew.visits is not None else list(keys)
+def _join_by_order(visits: DataFrame, side: DataFrame, skew: SkewPlan) -> DataFrame:
+    key = _order_key(skew)
+    return visits.join(side if key == ORDER else side.drop(ORDER), key, "left")
 
 
 def _renamed_orders(orders: DataFrame, visits: DataFrame, null_safe: bool) -> DataFrame:
@@ -106,20 +125,20 @@ def _join_order_rows(visits: DataFrame, orders: DataFrame, skew: SkewPlan) -> Da
     """
     orders = _order_side(orders, skew)
     if skew.orders is None:
-        return visits.join(orders, _on(skew, ORDER), "left")
-    slice_key = F.concat_ws("#", F.col(ORDER), F.col("__cut").cast("string"))
+        return _join_by_order(visits, orders, skew)
+    slice_key = F.concat(F.col(_order_key(skew)), F.lit("#"), F.col("__cut").cast("string"))
     orders = (
         skew.orders.mark(orders, "__slices")
         .withColumn("__cut", random_piece(F.col("__slices"), seed=29))
         .withColumns({SLICE: slice_key, "__found": F.lit(True)})
-        .drop(ORDER, "__slices", "__cut")
+        .drop(ORDER, SPREAD, "__slices", "__cut")
     )
     visits = (
         skew.orders.mark(visits, "__slices")
         .withColumn("__cut", every_piece(F.col("__slices")))
         .withColumn(SLICE, slice_key)
     )
-    joined = visits.join(orders, _on(skew, SLICE), "left")
+    joined = visits.join(orders, SLICE, "left")
     return joined.filter(F.col("__slices").isNull() | F.col("__found")).drop("__slices", "__cut", SLICE, "__found")
 
 
@@ -129,7 +148,7 @@ def _article_side(articles: DataFrame, null_safe: bool, skew: SkewPlan) -> DataF
 
 
 def _finish(df: DataFrame) -> DataFrame:
-    return df.drop(ORDER, DRIVER, PIECE)
+    return df.drop(ORDER, DRIVER, SPREAD)
 
 
 def join_orders(tables: Tables, null_safe: bool = True, skew: SkewPlan = SkewPlan()) -> DataFrame:
@@ -142,7 +161,7 @@ def join_orders(tables: Tables, null_safe: bool = True, skew: SkewPlan = SkewPla
 def join_articles(tables: Tables, null_safe: bool = True, skew: SkewPlan = SkewPlan()) -> DataFrame:
     """Every service time with its order's article measures."""
     visits = _visit_side(tables.service_times, null_safe, skew)
-    return _finish(visits.join(_article_side(tables.articles, null_safe, skew), _on(skew, ORDER), "left"))
+    return _finish(_join_by_order(visits, _article_side(tables.articles, null_safe, skew), skew))
 
 
 def join_mapping(tables: Tables, null_safe: bool = True, skew: SkewPlan = SkewPlan()) -> DataFrame:
@@ -153,7 +172,7 @@ def join_mapping(tables: Tables, null_safe: bool = True, skew: SkewPlan = SkewPl
 
 def _join_mapping(visits: DataFrame, tables: Tables, null_safe: bool, skew: SkewPlan) -> DataFrame:
     mapping = _mapping_side(tables.driver_mapping, null_safe, skew)
-    joined = visits.join(mapping, _on(skew, ORDER, DRIVER), "left")
+    joined = visits.join(mapping, [_order_key(skew), DRIVER], "left")
     return repeat_rows(joined, F.coalesce("mapping_rows", F.lit(1)))
 
 
@@ -168,7 +187,7 @@ def check_mapping(tables: Tables, null_safe: bool = True, skew: SkewPlan = SkewP
 def explore_frame(tables: Tables, null_safe: bool = True, skew: SkewPlan = SkewPlan()) -> DataFrame:
     """Service times with orders and article measures: the uncleaned rows that get explored."""
     visits = _visit_side(tables.service_times, null_safe, skew)
-    visits = visits.join(_article_side(tables.articles, null_safe, skew), _on(skew, ORDER), "left")
+    visits = _join_by_order(visits, _article_side(tables.articles, null_safe, skew), skew)
     orders = _renamed_orders(tables.orders, tables.service_times, null_safe)
     return _finish(_join_order_rows(visits, orders, skew))
 
@@ -185,7 +204,7 @@ def join_datasets(
     shuffled once (with `requireAllClusterKeysForCoPartition` off).
     """
     visits = _visit_side(tables.service_times, null_safe, skew)
-    visits = visits.join(_article_side(tables.articles, null_safe, skew), _on(skew, ORDER), "left")
+    visits = _join_by_order(visits, _article_side(tables.articles, null_safe, skew), skew)
     if not dedupe_mapping:
         visits = _join_mapping(visits, tables, null_safe, skew).drop("mapping_rows")
     orders = _renamed_orders(tables.orders, tables.service_times, null_safe)
@@ -201,10 +220,10 @@ def row_weights(tables: Tables, null_safe: bool = True, skew: SkewPlan = SkewPla
     visits = _visit_side(tables.service_times, null_safe, skew)
     orders = tables.orders.select(_key("web_order_id", null_safe).alias(ORDER))
     orders = orders.groupBy(ORDER).agg(F.count(F.lit(1)).alias("order_rows"))
-    visits = visits.join(_order_side(orders, skew), _on(skew, ORDER), "left")
+    visits = _join_by_order(visits, _order_side(orders, skew), skew)
     visits = visits.withColumn("order_weight", F.coalesce("order_rows", F.lit(1)))
     weight = F.col("order_weight")
     if not dedupe_mapping:
-        visits = visits.join(_mapping_side(tables.driver_mapping, null_safe, skew), _on(skew, ORDER, DRIVER), "left")
+        visits = visits.join(_mapping_side(tables.driver_mapping, null_safe, skew), [_order_key(skew), DRIVER], "left")
         weight = weight * F.coalesce("mapping_rows", F.lit(1))
     return _finish(visits.withColumn("row_weight", weight).drop("order_rows", "mapping_rows"))

@@ -8,7 +8,7 @@ its rows of that key once per piece. Every pair of rows still meets exactly once
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -18,6 +18,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from stopwise.session import shuffle_partitions
 
 
+# Pieces go to partitions by hash; small ones even out.
+PIECES_PER_PARTITION = 4
+
+
 @dataclass(frozen=True)
 class HotKeys:
     """At most half as many rows as there are shuffle partitions, so safe to broadcast."""
@@ -45,7 +49,8 @@ def find_hot_keys(
     """Keys holding more than two average partitions, judged from a thin sample.
 
     The sample only steers how work is spread: a missed key costs balance, never a
-    row. Each hit holds over 2/partitions of the sample, which bounds the list.
+    row. Each hit holds over 2/partitions of the sample, which bounds the list, and
+    all pieces together are at most a few times the number of partitions.
     """
     spark = df.sparkSession
     partitions = partitions or shuffle_partitions(spark)
@@ -63,7 +68,7 @@ def find_hot_keys(
     )
     total = top[0]["hits"] if top else 0
     rows = [
-        (*row[: len(columns)], math.ceil(row["hits"] * partitions / total))
+        (*row[: len(columns)], math.ceil(PIECES_PER_PARTITION * row["hits"] * partitions / total))
         for row in top[1:]
         if row["hits"] * partitions > 2 * total
     ]
@@ -87,11 +92,28 @@ def every_piece(pieces: Column) -> Column:
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, key: str, how: str, hot: HotKeys | None
+    left: DataFrame,
+    right: DataFrame,
+    keys: str | Sequence[str],
+    how: str,
+    hot: HotKeys | None,
+    piece: Callable[[Column], Column] = random_piece,
 ) -> DataFrame:
-    """Join to a side with one row per key; the left side may have hot keys."""
+    """Join to a side with one row per key; the left side may have hot keys.
+
+    Keys and piece are joined as one struct column, so that rows are shuffled by the
+    whole of it even where the right side is already partitioned by the keys. Null
+    keys match nothing, as in any equality join.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
     if hot is None:
-        return left.join(right, key, how)
-    left = hot.mark(left, "__pieces").withColumn("__piece", random_piece(F.col("__pieces"))).drop("__pieces")
-    right = hot.mark(right, "__pieces").withColumn("__piece", every_piece(F.col("__pieces"))).drop("__pieces")
-    return left.join(right, [key, "__piece"], how).drop("__piece")
+        return left.join(right, keys, how)
+    for name in keys:
+        right = right.filter(F.col(name).isNotNull())
+    left, right = hot.mark(left, "__pieces"), hot.mark(right, "__pieces")
+    left = left.withColumn("__piece", piece(F.col("__pieces")))
+    right = right.withColumn("__piece", every_piece(F.col("__pieces")))
+    whole = F.struct(*keys, "__piece")
+    left = left.withColumn("__spread", whole).drop("__pieces", "__piece")
+    right = right.withColumn("__spread", whole).drop("__pieces", "__piece", *keys)
+    return left.join(right, "__spread", how).drop("__spread")
