@@ -14,12 +14,15 @@ from stopwise.operators.skew import HotKeys, lookup_join
 
 
 def compare_versions(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Differences between two versions' predictions for the same requests."""
-    key = ["request_id", "position"]
-    a = first.select(*key, F.col("predicted_service_time").alias("first"))
-    b = second.select(*key, F.col("predicted_service_time").alias("second"))
+    """Differences between two versions' predictions for the same requests.
+
+    Batch and position are one join key, so that a large batch is not one task.
+    """
+    key = F.struct("request_id", "position").alias("key")
+    a = first.select(key, F.col("predicted_service_time").alias("first"))
+    b = second.select(key, F.col("predicted_service_time").alias("second"))
     gap = F.col("first") - F.col("second")
-    return a.join(b, key).agg(
+    return a.join(b, "key").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.avg(gap).alias("mean_difference"),
         F.avg(F.abs(gap)).alias("mean_abs_difference"),

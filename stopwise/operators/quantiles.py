@@ -144,13 +144,14 @@ def _counts_in(
     """Row counts per detail within the wanted bins, with the bins' first rank and total.
 
     A bounded list of bins is broadcast and filters the rows in the scan. Otherwise
-    rows are counted before they meet the list, so crowded values move as one row.
+    rows are counted before they meet the list, so crowded values move as one row; the
+    list is spread by group and bin, lest the join settle for its partitioning by group.
     """
     keys = list(dict.fromkeys([*by, bin_name, detail]))
     if bounded:
         picked = rows.join(F.broadcast(wanted), [*by, bin_name])
         return picked.groupBy(*keys, START, TOTAL).agg(F.sum(WEIGHT).alias(COUNT))
-    return rows.groupBy(*keys).agg(F.sum(WEIGHT).alias(COUNT)).join(wanted, [*by, bin_name])
+    return rows.groupBy(*keys).agg(F.sum(WEIGHT).alias(COUNT)).join(wanted.repartition(*by, bin_name), [*by, bin_name])
 
 
 def approximate_quantiles(
