@@ -16,6 +16,7 @@ Recovery. Every step is a plain function of its input rows: a lost task is run a
 
 from __future__ import annotations
 
+import gc
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -27,9 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopwise.llm import vectors as v
+from stopwise.llm.cluster import stored
 from stopwise.session import shuffle_partitions
 
-FLUSH_BYTES = 24 << 20  # packed text that a task gathers before it sends it off
+FLUSH_BYTES = 20 << 20  # packed text that a task gathers before it sends it off
 LONGEST_RUN = 256  # windows a string holds at most; longer runs are cut
 HOT_BOUND = 1 << 16  # grams in the list of frequent ones
 LAST = np.uint64(1 << 63)
@@ -115,6 +117,21 @@ def cut_runs(tokens: Tokens, scheme: Scheme, hot: np.ndarray) -> tuple[np.ndarra
     return begin, length, least[begin], rank
 
 
+def single_seeds(rank: np.ndarray, begin: np.ndarray, length: np.ndarray, least: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Runs cut so that all windows of one hold the same first copy of its minimiser, and where that begins.
+
+    Equal windows are then in different runs, also within periodic text.
+    """
+    done: list[tuple[np.ndarray, ...]] = []
+    while len(begin):
+        seed = seed_offsets(rank, begin, least, width)
+        now = np.minimum(length, seed + 1)
+        done.append((begin, now, least, seed))
+        more = length > now
+        begin, length, least = (begin + now)[more], (length - now)[more], least[more]
+    return tuple(np.concatenate(x) for x in zip(*done)) if done else (begin, length, least, begin)
+
+
 def seed_offsets(rank: np.ndarray, begin: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
     """How many tokens after the start of each run its minimiser begins."""
     offset = np.zeros(len(begin), np.int64)
@@ -127,7 +144,7 @@ def seed_offsets(rank: np.ndarray, begin: np.ndarray, least: np.ndarray, width:
 
 
 def squeeze(*parts: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def pack(docs: DataFrame, scheme: Scheme, hot: np.ndarray) -> DataFrame:
@@ -164,9 +181,11 @@ def pack(docs: DataFrame, scheme: Scheme, hot: np.ndarray) -> DataFrame:
             for part in v.pieces(batch):
                 tokens = scheme.tokens(*v.utf8(part.column("text")), scheme.gram)
                 begin, length, least, rank = cut_runs(tokens, scheme, shared.value)
+                seed = np.zeros(len(begin), np.int64)
+                if scheme.keep_first:
+                    begin, length, least, seed = single_seeds(rank, begin, length, least, scheme.window - scheme.gram + 1)
                 last = begin + length + scheme.window - 2
                 left, right = tokens.start[begin], tokens.start[last] + tokens.length[last]
-                seed = seed_offsets(rank, begin, least, scheme.window - scheme.gram + 1) if scheme.keep_first else np.zeros(len(begin), np.int64)
                 bucket = v.mix(least) % np.uint64(buckets)
                 doc = tokens.doc[begin]
                 ids, prints = (np.asarray(part.column(name))[doc] for name in ("_id", "_print"))
@@ -265,6 +284,15 @@ def covered(part: pa.RecordBatch, first: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def settled(spans: DataFrame) -> DataFrame:
+    """The spans, written to shared storage. What their shuffle left on disk is then free to go."""
+    spark, kept = spans.sparkSession, stored(spans, "spans")
+    del spans
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files when the driver has dropped their plans
+    return kept
+
+
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Each row of docs, packed as `_row`, with its text and its spans."""
     by_text = spans.groupBy("_id", "_print").agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))

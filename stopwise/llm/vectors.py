@@ -88,7 +88,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[places[0] : places[-1]], places - places[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about `most` bytes; every row is in one run."""
     _, offsets = utf8(batch.column(column))
     first = 0
@@ -109,8 +109,17 @@ class Words:
     doc: np.ndarray  # row of the text
     first: np.ndarray  # number of the first word of each text, and the total
 
-    def hashes(self) -> np.ndarray:
-        return Rolling(self.data).slices(self.start, self.start + self.length)
+    def hashes(self, step: int = 1 << 19) -> np.ndarray:
+        """Of each word, taken a stretch of the texts at a time."""
+        out = np.empty(len(self.start), np.uint64)
+        first = 0
+        while first < len(out):
+            last = max(int(np.searchsorted(self.start, self.start[first] + step)), first + 1)
+            base, start = self.start[first], self.start[first:last]
+            end = start + self.length[first:last]
+            out[first:last] = Rolling(self.data[base : end[-1]]).slices(start - base, end - base)
+            first = last
+        return out
 
     def join(self, begin: int, end: int) -> bytes:
         """Words begin to end - 1 joined by one space."""
