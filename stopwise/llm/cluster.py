@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -31,12 +32,23 @@ def prepare(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or what setCheckpointDir named.
+
+    Only a local session, where driver and executors are one process, gets one of its own.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        named = _own.setdefault(context.applicationId, tempfile.mkdtemp())
+    if not named:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{folder.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    return named.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -83,7 +83,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Each row of docs as `row`, with doc_id, n_words, n_removed and kept_text (kept words joined by one space)."""
     prepare(docs.sparkSession)
     plan, texts = scheme(window), sk.keyed(docs)
-    spans = sk.repeated_spans(sk.pack(texts, plan, sk.frequent_grams(texts, plan)), lambda bucket: repeated_windows(bucket, window))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,6 +98,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 texts = [data[a : max(z - 1, a)].tobytes() for a, z in zip(sizes[:-1].tolist(), sizes[1:].tolist())]
                 yield pa.record_batch([part.column("_row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["row", "n_words", "n_removed", "kept_text"])
 
-    joined = sk.with_spans(docs, sk.settled(spans))
+    joined = sk.with_spans(docs, sk.settled(sk.repeated_spans(sk.pack(texts, plan, sk.frequent_grams(texts, plan)), lambda bucket: repeated_windows(bucket, window))))
     out = T.StructType([T.StructField("row", joined.schema["_row"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     return joined.mapInArrow(keep, out).select("row", F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_text")

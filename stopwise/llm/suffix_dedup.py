@@ -193,7 +193,6 @@ def remove_later_copies(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Each row of docs as `row`, with doc_id, n_bytes, n_removed, n_spans, the removed `spans` and `kept` bytes."""
     prepare(docs.sparkSession)
     plan, texts = scheme(window), sk.keyed(docs)
-    spans = sk.repeated_spans(sk.pack(texts, plan, sk.frequent_grams(texts, plan)), lambda bucket: later_windows(bucket, window, plan.gram))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,6 +216,6 @@ def remove_later_copies(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 texts = [kept[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.record_batch([part.column("_row"), *(pa.array(np.diff(x), pa.int64()) for x in (offsets, removed, spans_before)), runs, pa.array(texts, pa.binary())], ["row", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    joined = sk.with_spans(docs, sk.settled(spans))
+    joined = sk.with_spans(docs, sk.settled(sk.repeated_spans(sk.pack(texts, plan, sk.frequent_grams(texts, plan)), lambda bucket: later_windows(bucket, window, plan.gram))))
     out = T.StructType([T.StructField("row", joined.schema["_row"].dataType), *(T.StructField(name, T.LongType()) for name in ("n_bytes", "n_removed", "n_spans")), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
     return joined.mapInArrow(keep, out).select("row", F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "spans", "kept")
