@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm import substring_dedup, suffix_dedup
+from stopwise.llm import chat_format, quality_rules, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,9 +26,18 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_later_copies(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rows = quality_rules.judged(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_format.digests(chat_format.with_probe(table(spark, folder, "conversations")))
+
+
 def all_queries() -> dict[str, Query]:
     return {name: query for name, query in globals().items() if name.startswith("op")}
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return {"op10_quality_rules": quality_rules.SQL, "op2_chat_format": chat_format.SQL}
