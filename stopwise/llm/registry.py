@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm import chat_format, quality_rules, substring_dedup, suffix_dedup
+from stopwise.llm import chat_format, quality_rules, substring_dedup, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.digests(chat_format.with_probe(table(spark, folder, "conversations")))
 
 
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judged(table(spark, folder, "pages").select("page_id", "url"))
+
+
 def all_queries() -> dict[str, Query]:
     return {name: query for name, query in globals().items() if name.startswith("op")}
 
