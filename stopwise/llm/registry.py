@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm import chat_format, quality_rules, substring_dedup, suffix_dedup, url_filter
+from stopwise.llm import chat_format, language_id, packing, quality_rules, substring_dedup, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,14 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(table(spark, folder, "pages").select("page_id", "url"))
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.predicted(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+
+
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"))
+
+
 def all_queries() -> dict[str, Query]:
     return {name: query for name, query in globals().items() if name.startswith("op")}
 
