@@ -1,8 +1,8 @@
 """Operator 9: remove long byte strings that already occurred, found by merging suffix orders.
 
 Texts are cut into super-k-mers of byte windows, so all equal windows meet in one bucket
-(see superkmers.py); strings whose minimiser is alone in its bucket hold no repeat and
-are put aside. In a bucket the others form shards. Each shard is sorted once and reduced
+(see superkmers.py); strings that share too little with any other one to hold a repeat
+are put aside (`candidates`). In a bucket the others form shards. Each shard is sorted once and reduced
 to its Burrows-Wheeler transform; the transforms are merged by refining their interleave:
 one pass sorts the positions, stably, by the symbol before each suffix, so that after t
 passes the suffixes stand in the order of their first t symbols. Boundaries between
@@ -50,14 +50,29 @@ def scheme(window: int) -> sk.Scheme:
     return sk.Scheme(byte_tokens, window, min(GRAM, window), keep_first=True, rare=16)
 
 
-def seeds(bucket: sk.Bucket, gram: int) -> np.ndarray:
-    """Hash of the minimising gram of each string."""
-    value = np.zeros(len(bucket.start), np.uint64)
-    for step in range(gram):
-        value = value * v.BASE + bucket.data[bucket.start + bucket.seed + step]
+def stretch_hashes(bucket: sk.Bucket, start: np.ndarray, width: int) -> np.ndarray:
+    value = np.zeros(len(start), np.uint64)
+    for step in range(width):
+        value = value * v.BASE + bucket.data[start + step]
     return v.mix(value)
 
 
+def repeated(values: np.ndarray) -> np.ndarray:
+    _, group, count = np.unique(values, return_inverse=True, return_counts=True)
+    return count[group] > 1
+
+
+def candidates(bucket: sk.Bucket, strings: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """Strings that may share a window: one that does shares the minimiser and half of the rest of the window to its left or right."""
+    half = (window - gram + 1) // 2
+    seed = bucket.start[strings] + bucket.seed[strings]
+    found = np.zeros(len(strings), bool)
+    for start in (seed - half, seed):
+        inside = np.flatnonzero((start >= bucket.start[strings]) & (start + half + gram <= bucket.start[strings] + bucket.size[strings]))
+        found[inside[repeated(stretch_hashes(bucket, start[inside], half + gram))]] = True
+    return strings[found]
+
+
 def groups(data: np.ndarray, rest: np.ndarray, width: int) -> np.ndarray:
     """The next `width` bytes of each position as a number that orders them; a string's end comes first."""
     key = np.zeros(len(data), np.uint64)
@@ -121,9 +136,7 @@ def merged_blocks(transforms: list[np.ndarray], window: int, step: int) -> tuple
 
 def later_windows(bucket: sk.Bucket, window: int, gram: int) -> sk.Spans:
     """Byte spans of the windows of a bucket that occurred earlier."""
-    seed = seeds(bucket, gram)
-    _, group, count = np.unique(seed, return_inverse=True, return_counts=True)
-    some = np.flatnonzero(count[group] > 1)
+    some = np.flatnonzero(repeated(stretch_hashes(bucket, bucket.start + bucket.seed, gram)))
     # Equal strings: the earliest stays, and only it is looked into.
     order = some[np.lexsort((bucket.place[some], bucket.print[some], bucket.id[some]))]
     known: dict[bytes, int] = {}
@@ -138,10 +151,7 @@ def later_windows(bucket: sk.Bucket, window: int, gram: int) -> sk.Spans:
     del raw, known
     whole = np.array(gone, np.int64)
     found = [(bucket.id[whole], bucket.print[whole], bucket.place[whole], bucket.place[whole] + bucket.size[whole])]
-    kept = np.array(left, np.int64)
-    kept = kept[np.argsort(group[kept], kind="stable")]
-    again = np.bincount(group[kept], minlength=len(count))
-    kept = kept[again[group[kept]] > 1]
+    kept = candidates(bucket, np.array(left, np.int64), window, gram)
     if len(kept) > 1:
         found.append(interval_spans(bucket, kept, window))
     return tuple(np.concatenate(x) for x in zip(*found))
