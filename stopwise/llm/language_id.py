@@ -6,9 +6,8 @@ filter takes the n-grams that are frequent among its training documents and not
 frequent elsewhere. The popcount of each language, as a share of the text's n-grams and
 corrected for its filter's false positives, decides; the score is its share of the sum.
 
-Training. From rows with a language that are not held out, at most SAMPLE documents of
-each language are taken, those with the smallest hashes of their id; at most GRAMS
-n-grams of each language enter the table, whose size is fixed. It is the only thing sent
+Training. From rows with a language that are not held out, about SAMPLE documents of each
+language are taken, those whose hashes of the id are small enough; at most GRAMS n-grams of each language enter the table, whose size is fixed. It is the only thing sent
 to every task: TABLE times one byte for each eight languages. Counting is done by Spark.
 
 Defined cases: null text, or one without a letter, is `und` with score 0; a text too short
@@ -25,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopwise.llm import vectors as v
-from stopwise.llm.cluster import prepare
+from stopwise.llm.cluster import prepare, stored
 
 N = 5  # bytes of an n-gram
 SAMPLE = 1000
@@ -64,10 +63,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def frequent_grams(docs: DataFrame) -> tuple[list[str], list[tuple[int, int]]]:
     """Languages, and (gram, language number) of what enters the filters; both bounded by the parameters."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "_print")
-    named = usable.select("lang", "doc_id", F.xxhash64("text").alias("_print"))
-    chosen = named.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SAMPLE).select("doc_id", "lang", "_print").distinct()
-    sample = usable.withColumn("_print", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "lang", "_print"], "left_semi").select("lang", "text")
+    # A share of each language that gives about SAMPLE documents: those with the smallest hashes.
+    sizes = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
+    if not sizes:
+        return [], []
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, SAMPLE / n))])
+    place = (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5).alias("_place")
+    sample = usable.filter(place < F.element_at(shares, F.col("lang"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,15 +82,26 @@ def frequent_grams(docs: DataFrame) -> tuple[list[str], list[tuple[int, int]]]:
                     found, n = np.unique(pair[0], return_counts=True)
                     yield pa.record_batch([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    sizes = {r.lang: r["count"] for r in chosen.groupBy("lang").count().collect()}
-    langs = sorted(sizes)
+    # Every language has about as many sampled documents as its size allows.
+    chosen = {lang: min(n, SAMPLE) for lang, n in sizes.items()}
     counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter("n > 1")
-    share = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for item in sizes.items() for x in item]), F.col("lang")) if sizes else F.col("n")
-    rated = counts.withColumn("_rate", share)
+    rated = counts.withColumn("_rate", F.col("n") / F.element_at(F.create_map(*[F.lit(x) for item in chosen.items() for x in item]), F.col("lang")))
     best = rated.groupBy("gram").agg(F.max("_rate").alias("_best"))
-    own = rated.join(best, "gram").filter(F.col("_rate") * RIVAL >= F.col("_best"))
-    ranked = own.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("_n") <= GRAMS)
-    return langs, [(r.gram, langs.index(r.lang)) for r in ranked.select("gram", "lang").collect()]
+    own = stored(rated.join(best, "gram").filter(F.col("_rate") * RIVAL >= F.col("_best")).select("lang", "gram", "n"), "grams")
+    # The least count by which a language has no more than GRAMS.
+    least: dict[str, int] = {}
+    room: dict[str, int] = {}
+    for r in own.groupBy("lang", "n").count().orderBy("lang", F.desc("n")).collect():
+        if room.setdefault(r.lang, GRAMS) >= r["count"]:
+            room[r.lang] -= r["count"]
+            least[r.lang] = r.n
+        else:
+            room[r.lang] = -1
+    langs = sorted(sizes)
+    if not least:
+        return langs, []
+    bounds = F.create_map(*[F.lit(x) for item in least.items() for x in item])
+    return langs, [(r.gram, langs.index(r.lang)) for r in own.filter(F.col("n") >= F.element_at(bounds, F.col("lang"))).collect()]
 
 
 def places(gram: np.ndarray) -> list[np.ndarray]:

@@ -42,6 +42,11 @@ def text_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda word: word != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once however often body names it and wherever the plan puts it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def repeated_words(words: Column) -> Column:
     """Words inside 3-word windows that the text has twice or more: equal windows are neighbours once sorted."""
     windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
@@ -67,8 +72,8 @@ def measured(docs: DataFrame) -> DataFrame:
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         text_words(F.col("text")).alias("_words"),
     )
-    rows = rows.withColumn("n_words", F.size("_words").cast("long")).withColumn("_windows", repeated_words(F.col("_words"))).drop("_words")
-    rows = rows.withColumn("n_repeat_words", covered_words(F.col("_windows")).cast("long")).drop("_windows")
+    rows = rows.withColumn("n_words", F.size("_words").cast("long")).withColumn("_windows", let(F.col("_words"), repeated_words)).drop("_words")
+    rows = rows.withColumn("n_repeat_words", let(F.col("_windows"), covered_words).cast("long")).drop("_windows")
     return rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
 
 
@@ -100,7 +105,7 @@ def judged(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUM
     kept_lines = F.filter(F.split(text, "\n"), lambda line: ~F.array_contains("_hashes", F.xxhash64(normal(line))))
     return rows.select(
         "row", F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", removed.alias("n_removed_words"),
-        (~F.col("base_failed") & (F.col("n_words") - removed >= min_left * F.col("n_words"))).alias("kept"),
+        F.when(F.col("base_failed"), False).otherwise(F.col("n_words") - removed >= min_left * F.col("n_words")).alias("kept"),
         F.when(F.col("_hashes").isNull(), text).otherwise(F.array_join(kept_lines, "\n")).alias("kept_text"),
     )
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm import chat_format, language_id, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup, url_filter
+from stopwise.llm import chat_format, decontaminate, language_id, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup, url_filter, warc
+from stopwise.llm.cluster import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +52,16 @@ def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_copies(table(spark, folder, "documents").select("doc_id", "text")).drop("_print")
 
 
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.matches(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+
+
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = shared_path(spark, "warc")
+    warc.write(table(spark, folder, "pages").select("page_id", "url", "html"), archives)
+    return warc.read(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def all_queries() -> dict[str, Query]:
     return {name: query for name, query in globals().items() if name.startswith("op")}
 

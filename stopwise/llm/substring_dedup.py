@@ -79,23 +79,44 @@ def repeated_windows(bucket: sk.Bucket, window: int) -> sk.Spans:
     return bucket.id[own], bucket.print[own], bucket.place[own] + nth[starts], bucket.place[own] + nth[stops] + window
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Each row of docs as `row`, with doc_id, n_words, n_removed and kept_text (kept words joined by one space)."""
+def source_left(data: np.ndarray, offsets: np.ndarray, words: v.Words, gone: np.ndarray) -> list[bytes]:
+    """The texts without the removed words and the white space behind each."""
+    after = np.append(words.origin[1:], 0)
+    last = words.first[1:][np.diff(words.first) > 0] - 1
+    after[last] = offsets[1:][words.doc[last]]
+    edge = np.zeros(len(data) + 1, np.int64)
+    np.add.at(edge, words.origin[gone], 1)
+    np.add.at(edge, after[gone], -1)
+    stay = np.cumsum(edge[:-1]) == 0
+    at = np.concatenate([[0], np.cumsum(stay)])[offsets]
+    kept = data[stay]
+    return [kept[a:z].tobytes() for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, spacing: bool = False) -> DataFrame:
+    """Each row of docs as `row`, with doc_id, n_words, n_removed and kept_text.
+
+    kept_text has the kept words joined by one space or, with spacing, as they stood.
+    """
     prepare(docs.sparkSession)
     plan, texts = scheme(window), sk.keyed(docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in v.pieces(batch):
-                words = v.words(*v.utf8(part.column("text")))
+                source, offsets = v.utf8(part.column("text"))
+                words = v.words(source, offsets)
                 gone = sk.covered(part, words.first)
                 n_words = np.diff(words.first)
                 total = np.concatenate([[0], np.cumsum(gone)])
                 n_removed = total[words.first[1:]] - total[words.first[:-1]]
-                stay = np.flatnonzero(~gone)
-                data = v.gather(words.data, words.start[stay], words.length[stay] + 1)
-                sizes = np.concatenate([[0], np.cumsum(np.where(gone, 0, words.length + 1))])[words.first]
-                texts = [data[a : max(z - 1, a)].tobytes() for a, z in zip(sizes[:-1].tolist(), sizes[1:].tolist())]
+                if spacing:
+                    texts = source_left(source, offsets, words, gone)
+                else:
+                    stay = np.flatnonzero(~gone)
+                    data = v.gather(words.data, words.start[stay], words.length[stay] + 1)
+                    sizes = np.concatenate([[0], np.cumsum(np.where(gone, 0, words.length + 1))])[words.first]
+                    texts = [data[a : max(z - 1, a)].tobytes() for a, z in zip(sizes[:-1].tolist(), sizes[1:].tolist())]
                 yield pa.record_batch([part.column("_row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["row", "n_words", "n_removed", "kept_text"])
 
     joined = sk.with_spans(docs, sk.settled(sk.repeated_spans(sk.pack(texts, plan, sk.frequent_grams(texts, plan)), lambda bucket: repeated_windows(bucket, window))))

@@ -31,7 +31,7 @@ from stopwise.llm import vectors as v
 from stopwise.llm.cluster import stored
 from stopwise.session import shuffle_partitions
 
-FLUSH_BYTES = 20 << 20  # packed text that a task gathers before it sends it off
+FLUSH_BYTES = 16 << 20  # packed text that a task gathers before it sends it off
 LONGEST_RUN = 256  # windows a string holds at most; longer runs are cut
 HOT_BOUND = 1 << 16  # grams in the list of frequent ones
 LAST = np.uint64(1 << 63)
@@ -178,7 +178,7 @@ def pack(docs: DataFrame, scheme: Scheme, hot: np.ndarray) -> DataFrame:
         local: list[tuple] = []
         held = 0
         for batch in batches:
-            for part in v.pieces(batch):
+            for part in v.pieces(batch, most=1 << 19):
                 tokens = scheme.tokens(*v.utf8(part.column("text")), scheme.gram)
                 begin, length, least, rank = cut_runs(tokens, scheme, shared.value)
                 seed = np.zeros(len(begin), np.int64)

@@ -108,6 +108,7 @@ class Words:
     length: np.ndarray
     doc: np.ndarray  # row of the text
     first: np.ndarray  # number of the first word of each text, and the total
+    origin: np.ndarray  # first byte of each word in the texts as they were given
 
     def hashes(self, step: int = 1 << 19) -> np.ndarray:
         """Of each word, taken a stretch of the texts at a time."""
@@ -143,7 +144,7 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> W
     start = np.concatenate([np.zeros(min(len(end), 1), np.int64), end[:-1] + 1])
     doc = np.searchsorted(ends, stop + 1, side="left")
     first = np.searchsorted(doc, np.arange(len(offsets)), side="left")
-    return Words(packed, start, end - start, doc, first)
+    return Words(packed, start, end - start, doc, first, stop - (end - start) - doc)
 
 
 def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
