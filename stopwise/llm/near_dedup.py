@@ -10,7 +10,8 @@ about 3 in a million.
 A bucket gives candidate edges in the shape of a star: its least class with every other
 one. They are confirmed on the full sets. What a star leaves open is closed exactly: in
 buckets that still hold several components, sets are compared with each other, block by
-block, inside tasks, and only links come out. No pair list of a bucket is ever made.
+block, inside tasks, and what comes out is a link for each set at most. No pair list of a
+bucket is ever made.
 
 Copies are collapsed before bands are made and stars are sums over a bucket, so a hot
 text or bucket costs a row each; joins with a hot class are left to adaptive execution.
@@ -40,7 +41,7 @@ BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 TRIES = 256
-BLOCK = 256  # sets compared with each other at once
+BLOCK = 1024  # sets of a bucket; two such blocks are compared with each other at once
 PERCENT = 80
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -173,7 +174,7 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def compared_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between sets of a bucket; members: (bucket, set_key, spread), spread being the number of blocks.
+    """Links (a, b) that join what is similar in a bucket; members: (bucket, set_key, spread), spread being the number of blocks.
 
     Every pair of blocks is a group of its own, so a bucket of any size is compared whole
     by groups of a fixed size.
@@ -187,16 +188,30 @@ def compared_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> Dat
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(keys: list[bytes], held: list[bytes]) -> pa.RecordBatch:
             value, row = elements(held)
-            _, column = np.unique(value, return_inverse=True)
+            _, column, times = np.unique(value, return_inverse=True, return_counts=True)
+            # What stands in one set only is common to none.
+            number = np.cumsum(times > 1) - 1
+            several = times[column] > 1
+            row, column = row[several], number[column[several]]
             common = np.zeros((len(held), len(held)), np.float32)
-            for begin in range(0, int(column.max(initial=-1)) + 1, 4096):
-                part = (column >= begin) & (column < begin + 4096)
-                matrix = np.zeros((len(held), 4096), np.float32)
+            for begin in range(0, int(number.max(initial=-1)) + 1, 2048):
+                part = (column >= begin) & (column < begin + 2048)
+                matrix = np.zeros((len(held), 2048), np.float32)
                 matrix[row[part], column[part] - begin] = 1
                 common += matrix @ matrix.T
             size = np.array([len(x) // 6 for x in held])
-            a, b = np.nonzero(np.triu(similar(common.astype(np.int64), size[:, None], size[None, :], percent), 1))
-            return pa.record_batch([pa.array([keys[i] for i in a.tolist()], pa.binary()), pa.array([keys[i] for i in b.tolist()], pa.binary())], ["a", "b"])
+            near = similar(common.astype(np.int64), size[:, None], size[None, :], percent)
+            np.fill_diagonal(near, True)
+            # A link from each set to the first one that it reaches says the same as all links.
+            label = np.arange(len(held))
+            while True:
+                least = np.where(near, label[None, :], len(held)).min(axis=1)
+                least = least[least]
+                if np.array_equal(least, label):
+                    break
+                label = least
+            b = np.flatnonzero(label != np.arange(len(held)))
+            return pa.record_batch([pa.array([keys[i] for i in label[b].tolist()], pa.binary()), pa.array([keys[i] for i in b.tolist()], pa.binary())], ["a", "b"])
 
         now, keys, held = None, [], []
         for batch in batches:
