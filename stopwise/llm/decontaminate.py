@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -39,11 +40,12 @@ from stopwise.llm import vectors as v
 from stopwise.llm.cluster import prepare
 
 PASSAGE = 128  # words of a passage, or twice the longest item; the next one starts half as far on
-SHARE = 0.4  # of an item's own score
+SHARE = 0.5  # of an item's own score
 OVERLAP = 0.6  # of the shingles of question and answer
 SHINGLE = 4
 K1, B = 1.2, 0.75
 POSTINGS = 32  # in a block
+RARE = 0.02  # a term in at most this share of the items, or in four, is rare
 BLOCK_ITEMS = 20_000
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, begin long, end long"
 
@@ -66,11 +68,15 @@ class Index:
     offsets: np.ndarray
     item: np.ndarray
     score: np.ndarray  # a term's part in the score of the item
-    block_bound: np.ndarray  # of each posting's block
-    block_last: np.ndarray  # last item of each posting's block
+    items_of: list[list[int]]  # by term: its items, their scores, and the bound and last item of each block
+    scores_of: list[list[float]]
+    bounds_of: list[list[float]]
+    lasts_of: list[list[int]]
     threshold: np.ndarray  # by item
     least: float
     passage: int
+    rare: np.ndarray  # by term
+    need: np.ndarray  # what an item needs from its rare terms to reach its threshold
     ids: list
     questions: list[frozenset]
     answers: list[frozenset]
@@ -88,16 +94,16 @@ def build(items: list[tuple]) -> Index:
     words = cut([text for _, text in items])
     hashes = words.hashes()
     kept = [i for i in range(len(items)) if words.first[i + 1] > words.first[i]]
-    own = [hashes[words.first[i] : words.first[i + 1]] for i in kept]
+    held = [hashes[words.first[i] : words.first[i + 1]] for i in kept]
     texts = [items[i][1] for i in kept]
     split = [(m[-1].end() if (m := list(SENTENCE.finditer(t.strip()))) else None, t.strip()) for t in texts]
     questions = cut([t if at is None else t[:at] for at, t in split])
     answers = cut(["" if at is None else t[at:] for at, t in split])
     q_hash, a_hash = questions.hashes(), answers.hashes()
-    sizes = np.array([len(x) for x in own], float)
-    mean, n = float(sizes.mean()) if len(own) else 1.0, len(own)
+    sizes = np.array([len(x) for x in held], float)
+    mean, n = float(sizes.mean()) if len(held) else 1.0, len(held)
     rows: dict[int, list[tuple[int, int]]] = {}
-    for i, x in enumerate(own):
+    for i, x in enumerate(held):
         for term, count in zip(*(y.tolist() for y in np.unique(x, return_counts=True))):
             rows.setdefault(term, []).append((i, count))
     terms = np.array(sorted(rows), np.uint64)
@@ -109,63 +115,62 @@ def build(items: list[tuple]) -> Index:
             score.append(idf * count * (K1 + 1) / (count + K1 * (1 - B + B * sizes[i] / mean)))
         offsets.append(len(item))
     item_, score_, offsets_ = np.array(item, np.int64), np.array(score, float), np.array(offsets, np.int64)
-    bound, last = np.zeros(len(item_)), np.zeros(len(item_), np.int64)
-    for a, z in zip(offsets_[:-1].tolist(), offsets_[1:].tolist()):
-        for begin in range(a, z, POSTINGS):
-            end = min(begin + POSTINGS, z)
-            bound[begin:end], last[begin:end] = score_[begin:end].max(), item_[end - 1]
+    split_items = [item[a:z] for a, z in zip(offsets[:-1], offsets[1:])]
+    split_scores = [score[a:z] for a, z in zip(offsets[:-1], offsets[1:])]
+    blocks = [range(0, len(x), POSTINGS) for x in split_items]
+    bounds = [[max(x[b : b + POSTINGS]) for b in own] for x, own in zip(split_scores, blocks)]
+    lasts = [[x[min(b + POSTINGS, len(x)) - 1] for b in own] for x, own in zip(split_items, blocks)]
+    rare = np.diff(offsets_) <= max(4, RARE * n)
+    common = np.bincount(item_, np.where(np.repeat(rare, np.diff(offsets_)), 0.0, score_), minlength=n) if n else np.zeros(0)
     threshold = SHARE * np.bincount(item_, score_, minlength=n) if n else np.zeros(0)
+    need = threshold - common
     most = np.maximum.reduceat(score_, offsets_[:-1]) if len(item_) else np.zeros(0)
-    return Index(terms, most, offsets_, item_, score_, bound, last, threshold, float(threshold.min(initial=math.inf)), max(PASSAGE, 2 * int(sizes.max(initial=0))), [items[i][0] for i in kept],
+    return Index(terms, most, offsets_, item_, score_, split_items, split_scores, bounds, lasts, threshold, float(threshold.min(initial=math.inf)), max(PASSAGE, 2 * int(sizes.max(initial=0))), rare, need, [items[i][0] for i in kept],
                  [shingle_set(q_hash[questions.first[i] : questions.first[i + 1]]) for i in range(n)], [shingle_set(a_hash[answers.first[i] : answers.first[i + 1]]) for i in range(n)])
 
 
-def search(index: Index, terms: list[int]) -> list[tuple[int, float]]:
-    """Items whose score reaches their threshold; terms: distinct term numbers of a passage."""
+def search(index: Index, terms: list[int], least: float) -> list[tuple[int, float]]:
+    """Items whose score reaches their threshold and `least`; terms: distinct term numbers of a passage."""
     found = []
-    at = [int(index.offsets[t]) for t in terms]
-    end = [int(index.offsets[t + 1]) for t in terms]
-    live = [k for k in range(len(terms)) if at[k] < end[k]]
-    item, least = index.item, index.least
+    bounds = [float(index.bound[t]) for t in terms]
+    items, scores, block_bounds, block_lasts = ([column[t] for t in terms] for column in (index.items_of, index.scores_of, index.bounds_of, index.lasts_of))
+    at = [0] * len(terms)
+    live = sorted(range(len(terms)), key=lambda k: items[k][0])
     while live:
-        live.sort(key=lambda k: item[at[k]])
         total, pivot = 0.0, None
         for n, k in enumerate(live):
-            total += index.bound[terms[k]]
+            total += bounds[k]
             if total >= least:
                 pivot = n
                 break
         if pivot is None:
             break
-        target = item[at[live[pivot]]]
-        while pivot + 1 < len(live) and item[at[live[pivot + 1]]] == target:
+        target = items[live[pivot]][at[live[pivot]]]
+        while pivot + 1 < len(live) and items[live[pivot + 1]][at[live[pivot + 1]]] == target:
             pivot += 1
-        # Move the blocks of the terms up to the pivot to its item, without scoring.
-        block = 0.0
-        reach = math.inf
-        for k in live[: pivot + 1]:
-            p = at[k]
-            while p < end[k] and index.block_last[p] < target:
-                p = min(end[k], int(index.offsets[terms[k]]) + ((p - int(index.offsets[terms[k]])) // POSTINGS + 1) * POSTINGS)
-            if p < end[k]:
-                block += index.block_bound[p]
-                reach = min(reach, index.block_last[p])
+        ahead = live[: pivot + 1]
+        # The blocks that would hold the pivot's item bound its score.
+        block, reach = 0.0, math.inf
+        for k in ahead:
+            b = bisect_left(block_lasts[k], target, at[k] // POSTINGS)
+            if b < len(block_lasts[k]):
+                block += block_bounds[k][b]
+                reach = min(reach, block_lasts[k][b])
         if block >= least:
-            score = 0.0
-            for k in live[: pivot + 1]:
-                at[k] += int(np.searchsorted(item[at[k] : end[k]], target))
-                if at[k] < end[k] and item[at[k]] == target:
-                    score += index.score[at[k]]
-                    at[k] += 1
+            score, skip = 0.0, target + 1
+            for k in ahead:
+                p = bisect_left(items[k], target, at[k])
+                if p < len(items[k]) and items[k][p] == target:
+                    score += scores[k][p]
             if score >= index.threshold[target]:
-                found.append((int(target), score))
+                found.append((target, score))
         else:
             # No item up to the end of these blocks, or to the next term's item, can pass.
-            beyond = item[at[live[pivot + 1]]] if pivot + 1 < len(live) else math.inf
+            beyond = items[live[pivot + 1]][at[live[pivot + 1]]] if pivot + 1 < len(live) else math.inf
             skip = max(min(reach + 1, beyond), target + 1)
-            for k in live[: pivot + 1]:
-                at[k] += int(np.searchsorted(item[at[k] : end[k]], skip)) if skip != math.inf else end[k] - at[k]
-        live = [k for k in live if at[k] < end[k]]
+        for k in ahead:
+            at[k] = bisect_left(items[k], skip, at[k])
+        live = sorted((k for k in live if at[k] < len(items[k])), key=lambda k: items[k][at[k]])
     return found
 
 
@@ -173,6 +178,33 @@ def overlap(wanted: frozenset, held: set) -> float:
     return len(wanted & held) / len(wanted) if wanted else 1.0
 
 
+def promising(index: Index, words: v.Words, term: np.ndarray, known: np.ndarray, doc: np.ndarray, count: np.ndarray, begin: np.ndarray, end: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Passages in which some item may reach its threshold, and the least threshold of such items. Words that a passage repeats count more than once, so all sums are bounds."""
+    at = np.flatnonzero(known & index.rare[term])
+    postings = (index.offsets[term[at] + 1] - index.offsets[term[at]]).astype(np.int64)
+    word = np.repeat(at, postings)
+    posting = np.repeat(index.offsets[term[at]], postings) + np.arange(len(word)) - np.repeat(np.cumsum(postings) - postings, postings)
+    # A word lies in the passage that starts in its half and in the one before.
+    half = (word - words.first[words.doc[word]]) // step
+    base = (np.cumsum(count) - count)[words.doc[word]]
+    keys, gains = [], []
+    for shift in (0, 1):
+        inside = (half - shift >= 0) & (half - shift < count[words.doc[word]])
+        keys.append((base + half - shift)[inside] * len(index.ids) + index.item[posting[inside]])
+        gains.append(index.score[posting[inside]])
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(place, np.concatenate(gains), minlength=len(key))
+    enough = total >= index.need[key % len(index.ids)] - 1e-9
+    key = key[enough]
+    passage, first = np.unique(key // len(index.ids), return_index=True)
+    if (index.need > 0).all():
+        return passage, np.minimum.reduceat(index.threshold[key % len(index.ids)], first) if len(key) else index.threshold[:0]
+    # Some item may do without rare terms: then the bounds of all words decide.
+    sums = np.concatenate([[0.0], np.cumsum(np.where(known, index.bound[term], 0.0))])
+    passage = np.flatnonzero(sums[end] - sums[begin] >= index.least - 1e-9)
+    return passage, np.full(len(passage), index.least)
+
+
 def matches_of(part: pa.RecordBatch, index: Index) -> list[tuple]:
     """(row, item_id, score, question overlap, answer overlap, begin, end) of the passages of a batch."""
     words = v.words(*v.utf8(pc.utf8_lower(part.column("text"))), APART)
@@ -181,8 +213,6 @@ def matches_of(part: pa.RecordBatch, index: Index) -> list[tuple]:
     hashes = words.hashes()
     term = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
     known = index.terms[term] == hashes
-    gain = np.where(known, index.bound[term], 0.0)
-    sums = np.concatenate([[0.0], np.cumsum(gain)])
     # Passages start at every half passage of a text; the last one ends with it.
     step = index.passage // 2
     size = np.diff(words.first)
@@ -191,16 +221,13 @@ def matches_of(part: pa.RecordBatch, index: Index) -> list[tuple]:
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
     begin = words.first[doc] + nth * step
     end = np.minimum(begin + index.passage, words.first[doc + 1])
-    # Repeated words count twice here, so this is a bound from above.
-    hopeful = np.flatnonzero(sums[end] - sums[begin] >= index.least - 1e-9)
+    hopeful = promising(index, words, term, known, doc, count, begin, end, step)
     out = []
-    for p in hopeful.tolist():
+    for p, least in zip(*(x.tolist() for x in hopeful)):
         a, z = int(begin[p]), int(end[p])
         terms = np.unique(term[a:z][known[a:z]])
-        if index.bound[terms].sum() < index.least:
-            continue
         held = None
-        for item, score in search(index, terms.tolist()):
+        for item, score in search(index, terms.tolist(), least - 1e-9):
             if held is None:
                 held = set()
                 for size in {SHINGLE, *range(1, SHINGLE)}:
