@@ -25,7 +25,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
     """base ** 0 … base ** (n - 1) modulo 2**64."""
     name = str(base)
-    if len(_powers.get(name, ())) < n:
+    if name not in _powers or len(_powers[name]) < n:
         table = np.full(max(n, 1 << 16), base, np.uint64)
         table[0] = 1
         _powers[name] = np.multiply.accumulate(table)

@@ -92,7 +92,7 @@ def test_hot_grams_change_nothing(odd, monkeypatch):
 
 def test_frequent_grams(spark):
     common = " ".join(f"c{i}" for i in range(400))
-    df = spark.createDataFrame([(i, f"{common} u{i}") for i in range(40)], SCHEMA)
+    df = spark.createDataFrame([(i, f"{common} u{i}") for i in range(40)], SCHEMA).coalesce(1)
     plan = substring_dedup.scheme(35)
     found = sk.frequent_grams(sk.keyed(df), plan)
     every = np.unique(substring_dedup.word_tokens(*v.utf8(pa.array([common])), 4).grams)
