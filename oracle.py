@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from stopwise.config import CORRELATED, ERROR_PERCENTILES, FEATURES, TARGET_QUANTILES, TIME_RANGES, WEEKDAYS, WEIGHT_CLASSES
 from stopwise.functions import normal
-from stopwise.plans.catalog import REPORTED_FEATURES, RULE_VERSION
+from stopwise.plans.catalog import RULE_VERSION
 
 T = "service_time_in_minutes"
 MEASURES = ["total_boxes", "total_articles", "total_weight_g", "avg_article_weight_g", "max_article_weight_g", "min_article_weight_g"]
@@ -92,7 +92,7 @@ block(
     "with_orders",
     "svc_times svc_orders",
     """SELECT s.*, o.customer_id AS customer_id_order, o.warehouse_id, o.order_time, o.floor, o.has_elevator, o.is_business
-       FROM svc_times s LEFT JOIN svc_orders o ON s.web_order_id IS NOT DISTINCT FROM o.web_order_id""",
+       FROM svc_times s LEFT JOIN svc_orders o ON s.web_order_id = o.web_order_id""",
 )
 block(
     "explored",
@@ -131,7 +131,7 @@ block(
     "joined",
     "explored svc_mapping",
     """SELECT e.* FROM explored e LEFT JOIN svc_mapping m
-       ON e.driver_id IS NOT DISTINCT FROM m.driver_id AND e.web_order_id IS NOT DISTINCT FROM m.web_order_id""",
+       ON e.driver_id = m.driver_id AND e.web_order_id = m.web_order_id""",
 )
 block("positive", "joined", f"SELECT * FROM joined WHERE {T} IS NOT NULL AND {T} > 0")
 
@@ -178,7 +178,7 @@ block(
     "errors",
     f"""SELECT * FROM (SELECT *, CASE WHEN {T} > 0 AND {T} <= 5 THEN 0 WHEN {T} > 5 AND {T} <= 10 THEN 1
                WHEN {T} > 10 AND {T} <= 15 THEN 2 WHEN {T} > 15 AND {T} <= 20 THEN 3 WHEN {T} > 20 AND {T} <= 25 THEN 4
-               WHEN {T} > 25 AND {T} <= 30 THEN 5 WHEN {T} > 30 AND {T} <= 100 THEN 6 END AS range_no FROM errors)
+               WHEN {T} > 25 AND {T} <= 30 THEN 5 WHEN {T} > 30 THEN 6 END AS range_no FROM errors)
         WHERE range_no IS NOT NULL""",
 )
 
@@ -222,11 +222,7 @@ block(
                '{RULE_VERSION}' AS model_version
         FROM found f LEFT JOIN rule c ON f.floor = c.floor AND f.has_elevator = c.has_elevator""",
 )
-block(
-    "scored",
-    "scored_all batch_sizes",
-    "SELECT s.* FROM scored_all s JOIN batch_sizes b ON s.request_id = b.request_id WHERE b.requested <= 100",
-)
+block("scored", "scored_all", "SELECT * FROM scored_all")
 block(
     "simple_rule", "parts", f"SELECT floor, AVG({T}) AS cell_mean FROM parts WHERE split = 'train' GROUP BY floor"
 )
@@ -392,7 +388,7 @@ def _by_measure() -> str:
 
 def _feature_errors() -> str:
     parts = []
-    for name in REPORTED_FEATURES:
+    for name in FEATURES:
         value = f"CAST({name} AS DOUBLE)"
         parts.append(
             f"""SELECT '{name}' AS feature, {_bucket('m', 'low', 'high', 20)} AS bucket, COUNT(*) AS count,
@@ -501,8 +497,8 @@ def all_sql() -> dict[str, str]:
         f"""SELECT {rounded_measures} FROM (SELECT s.*, {', '.join('a.' + m for m in MEASURES)} FROM svc_times s
             LEFT JOIN article_totals a ON s.web_order_id = a.web_order_id)""",
     )
-    mapped = """FROM svc_times s LEFT JOIN svc_mapping m ON s.driver_id IS NOT DISTINCT FROM m.driver_id
-                AND s.web_order_id IS NOT DISTINCT FROM m.web_order_id"""
+    mapped = """FROM svc_times s LEFT JOIN svc_mapping m ON s.driver_id = m.driver_id
+                AND s.web_order_id = m.web_order_id"""
     sql["join_mapping"] = query("svc_times svc_mapping", f"SELECT s.* {mapped}")
     sql["mapping_check"] = query(
         "svc_times svc_mapping",
@@ -626,8 +622,8 @@ def all_sql() -> dict[str, str]:
     )
     sql["error_ecdf"] = query(
         "errors",
-        f"""SELECT value, count, upto, {r('share * 100')} AS cumulative
-            FROM ({ecdf.format(value=r('abs_error'), source='errors')})""",
+        f"""SELECT {r('value')} AS value, count, upto, {r('share * 100')} AS cumulative
+            FROM ({ecdf.format(value='abs_error', source='errors')})""",
     )
     sql["density_grid"] = query(
         "errors",
@@ -707,10 +703,12 @@ def all_sql() -> dict[str, str]:
         "batch_sizes found scored",
         """SELECT b.request_id, b.requested, COALESCE(k.known, 0) AS known,
                   CASE WHEN b.requested > 100 THEN 'batch too large' WHEN COALESCE(k.known, 0) = 0 THEN 'no valid orders'
-                       ELSE 'ok' END AS status, CAST(s.total_count AS DOUBLE) AS total_count, s."timestamp"
+                       ELSE 'ok' END AS status, CAST(s.page AS DOUBLE) AS page, s.predictions, CAST(s.total_count AS DOUBLE) AS total_count, s."timestamp"
            FROM batch_sizes b LEFT JOIN (SELECT request_id, COUNT(*) AS known FROM found GROUP BY request_id) k
              ON b.request_id = k.request_id
-           LEFT JOIN (SELECT request_id, COUNT(*) AS total_count, MAX(requested_at) AS "timestamp" FROM scored GROUP BY request_id) s
+           LEFT JOIN (SELECT request_id, position // 100 AS page, COUNT(*) AS total_count, MAX(requested_at) AS "timestamp",
+                        string_agg(position || ':' || web_order_id || ':' || CAST(round(predicted_service_time * 10000) AS BIGINT), ',' ORDER BY position) AS predictions
+                      FROM scored GROUP BY request_id, position // 100) s
              ON b.request_id = s.request_id""",
     )
     sql["feature_log_rows"] = query(
@@ -772,8 +770,6 @@ def all_sql() -> dict[str, str]:
         "svc_logs",
         f"""SELECT date_trunc('hour', "timestamp") AS window_start, date_trunc('hour', "timestamp") + INTERVAL 1 HOUR AS window_end,
                    model_version, COUNT(*) AS predictions, {r('AVG(predicted_service_time)', 8)} AS avg_prediction
-            FROM svc_logs GROUP BY 1, 2, 3
-            HAVING date_trunc('hour', "timestamp") + INTERVAL 1 HOUR
-                   <= (SELECT MAX("timestamp") - INTERVAL 1 HOUR FROM svc_logs)""",
+            FROM svc_logs GROUP BY 1, 2, 3""",
     )
     return sql

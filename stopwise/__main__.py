@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import SparkSession, functions as F
@@ -36,11 +37,9 @@ def _score(spark: SparkSession, settings: Settings, options: argparse.Namespace)
         scoring.feature_table(load_processed(spark, settings)),
         lambda df: models.predict(df, model),
         options.version,
-        settings.max_batch_size,
         find_hot_keys(requests.filter(F.col("web_order_id").isNotNull()), ["web_order_id"]),
-        find_hot_keys(requests, ["request_id"]),
     )
-    logs.append_scored(scored, settings.feature_log, settings.prediction_log, options.batch_id)
+    logs.append_scored(scored, settings.feature_log, settings.prediction_log, options.run_id or uuid.uuid4().hex)
 
 
 def _statistics(spark: SparkSession, settings: Settings, options: argparse.Namespace) -> None:
@@ -67,8 +66,8 @@ def main() -> None:
         parser.add_argument(f"--{name.replace('_', '-')}", default=getattr(defaults, name))
     parser.add_argument("--requests", help="Parquet folder of prediction requests")
     parser.add_argument("--version", default="latest")
-    parser.add_argument("--batch-id", type=int, default=0)
-    parser.add_argument("--as-of", help="date the log age is counted from")
+    parser.add_argument("--run-id", help="name of this run in the logs; the same name again replaces its rows")
+    parser.add_argument("--as-of", help="date the log age is counted from; today if not given")
     options = parser.parse_args()
     chosen = {name: value for name, value in vars(options).items() if hasattr(defaults, name)}
     JOBS[options.job](tune(SparkSession.builder.appName("stopwise").getOrCreate()), replace(defaults, **chosen), options)

@@ -54,7 +54,7 @@ CORRELATED = [
 # Labels and edges of the reports.
 WEIGHT_CLASSES = ["Sehr Leicht", "Leicht", "Mittel", "Schwer", "Sehr Schwer"]
 WEEKDAYS = ["Mo", "Di", "Mi", "Do", "Fr", "Sa", "So"]
-TIME_RANGE_EDGES = [0, 5, 10, 15, 20, 25, 30, 100]
+TIME_RANGE_EDGES = [0, 5, 10, 15, 20, 25, 30, float("inf")]
 TIME_RANGES = ["0-5", "5-10", "10-15", "15-20", "20-25", "25-30", "30+"]
 TARGET_QUANTILES = [0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99]
 ERROR_PERCENTILES = [10, 25, 50, 75, 90, 95, 99]

@@ -29,10 +29,6 @@ def histogram_bin(value: Column, low: Column, high: Column, count: int) -> Colum
     return F.when(value.isNotNull(), F.least(F.floor(F.coalesce(share, F.lit(0.0))), F.lit(count - 1))).cast("int")
 
 
-def label(index: Column, labels: Sequence[str]) -> Column:
-    return F.get(F.array([F.lit(text) for text in labels]), index)
-
-
 def magnitude_bin(value: Column, per_octave: int = 4096) -> Column:
     """A fine, order-preserving bin: logarithmic away from zero, linear next to it.
 

@@ -13,27 +13,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stopwise.config import TARGET
 from stopwise.operators.skew import find_hot_keys, lookup_join
 
-MAX_CELLS = 10000
-
 
 @dataclass(frozen=True)
 class RuleModel:
     keys: tuple[str, ...]
     cells: DataFrame
     default: float | None
-    fits_broadcast: bool
 
     def transform(self, df: DataFrame, output: str = "predicted") -> DataFrame:
         """Add the cell mean, or the overall mean where the combination is new."""
         cells = self.cells.withColumnRenamed("cell_mean", "__mean")
-        if self.fits_broadcast:
-            found = df.join(F.broadcast(cells), list(self.keys), "left")
-        else:
-            found = self._spread_join(df, cells)
+        found = self._spread_join(df, cells)
         return found.withColumn(output, F.coalesce("__mean", F.lit(self.default))).drop("__mean")
 
     def _spread_join(self, df: DataFrame, cells: DataFrame) -> DataFrame:
-        """Too many cells to broadcast: shuffle, with crowded cells cut into pieces by row digest."""
+        """Left to adaptive execution, with crowded cells cut into pieces by row digest."""
         keys = list(self.keys)
 
         def by_row(pieces: Column) -> Column:
@@ -43,10 +37,7 @@ class RuleModel:
 
 
 def fit_rule(df: DataFrame, keys: Sequence[str] = ("floor", "has_elevator"), target: str = TARGET) -> RuleModel:
-    """Fit eagerly, like any estimator; the cells are fetched only if they are few."""
+    """Fit like any estimator; the cells stay a table, however many they are."""
     cells = df.groupBy(*keys).agg(F.avg(target).alias("cell_mean"))
     default = df.agg(F.avg(target).alias("mean")).first()["mean"]
-    rows = cells.limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        return RuleModel(tuple(keys), cells, default, False)
-    return RuleModel(tuple(keys), df.sparkSession.createDataFrame(rows, cells.schema), default, True)
+    return RuleModel(tuple(keys), cells, default)

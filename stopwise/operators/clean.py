@@ -36,13 +36,12 @@ def iqr_bounds(
     column: str = TARGET,
     multiplier: float = 1.5,
     weight: str | None = None,
-    values_from: DataFrame | None = None,
 ) -> Bounds:
     """Quartiles and outlier bounds; four numbers, fetched so that filters on them are literals.
 
     A literal range reaches the Parquet scan as a pushed filter.
     """
-    row = exact_quantiles(df, column, [0.25, 0.75], weight=weight, values_from=values_from).first()
+    row = exact_quantiles(df, column, [0.25, 0.75], weight=weight).first()
     if row is None or row["quantiles"][0] is None:
         return Bounds(None, None, None, None)
     q1, q3 = row["quantiles"]

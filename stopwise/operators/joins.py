@@ -24,7 +24,7 @@ class SkewPlan:
     orders: HotKeys | None = None
 
 
-def measure_skew(tables: Tables, null_safe: bool = True, **sampling) -> SkewPlan:
+def measure_skew(tables: Tables, null_safe: bool = False, **sampling) -> SkewPlan:
     """Three thin key samples; nothing but keys is read."""
     visits = _keyed(tables.service_times, null_safe)
     hot_visits = find_hot_keys(visits, [ORDER], **sampling)
@@ -151,20 +151,20 @@ def _finish(df: DataFrame) -> DataFrame:
     return df.drop(ORDER, DRIVER, SPREAD)
 
 
-def join_orders(tables: Tables, null_safe: bool = True, skew: SkewPlan = SkewPlan()) -> DataFrame:
+def join_orders(tables: Tables, null_safe: bool = False, skew: SkewPlan = SkewPlan()) -> DataFrame:
     """Every service time with its order, or nulls; doubled order ids fan out."""
     visits = _visit_side(tables.service_times, null_safe, skew)
     orders = _renamed_orders(tables.orders, tables.service_times, null_safe)
     return _finish(_join_order_rows(visits, orders, skew))
 
 
-def join_articles(tables: Tables, null_safe: bool = True, skew: SkewPlan = SkewPlan()) -> DataFrame:
+def join_articles(tables: Tables, null_safe: bool = False, skew: SkewPlan = SkewPlan()) -> DataFrame:
     """Every service time with its order's article measures."""
     visits = _visit_side(tables.service_times, null_safe, skew)
     return _finish(_join_by_order(visits, _article_side(tables.articles, null_safe, skew), skew))
 
 
-def join_mapping(tables: Tables, null_safe: bool = True, skew: SkewPlan = SkewPlan()) -> DataFrame:
+def join_mapping(tables: Tables, null_safe: bool = False, skew: SkewPlan = SkewPlan()) -> DataFrame:
     """Every service time as often as its (driver, order) pair is mapped, at least once."""
     visits = _visit_side(tables.service_times, null_safe, skew)
     return _finish(_join_mapping(visits, tables, null_safe, skew).drop("mapping_rows"))
@@ -176,7 +176,7 @@ def _join_mapping(visits: DataFrame, tables: Tables, null_safe: bool, skew: Skew
     return repeat_rows(joined, F.coalesce("mapping_rows", F.lit(1)))
 
 
-def check_mapping(tables: Tables, null_safe: bool = True, skew: SkewPlan = SkewPlan()) -> DataFrame:
+def check_mapping(tables: Tables, null_safe: bool = False, skew: SkewPlan = SkewPlan()) -> DataFrame:
     """The joined rows with the verdict the mapping join yields: both or left_only."""
     visits = _visit_side(tables.service_times, null_safe, skew)
     joined = _join_mapping(visits, tables, null_safe, skew)
@@ -184,7 +184,7 @@ def check_mapping(tables: Tables, null_safe: bool = True, skew: SkewPlan = SkewP
     return _finish(joined.withColumn("mapping_check", verdict).drop("mapping_rows"))
 
 
-def explore_frame(tables: Tables, null_safe: bool = True, skew: SkewPlan = SkewPlan()) -> DataFrame:
+def explore_frame(tables: Tables, null_safe: bool = False, skew: SkewPlan = SkewPlan()) -> DataFrame:
     """Service times with orders and article measures: the uncleaned rows that get explored."""
     visits = _visit_side(tables.service_times, null_safe, skew)
     visits = _join_by_order(visits, _article_side(tables.articles, null_safe, skew), skew)
@@ -194,7 +194,7 @@ def explore_frame(tables: Tables, null_safe: bool = True, skew: SkewPlan = SkewP
 
 def join_datasets(
     tables: Tables,
-    null_safe: bool = True,
+    null_safe: bool = False,
     skew: SkewPlan = SkewPlan(),
     dedupe_mapping: bool = False,
 ) -> DataFrame:
@@ -211,7 +211,7 @@ def join_datasets(
     return _finish(_join_order_rows(visits, orders, skew))
 
 
-def row_weights(tables: Tables, null_safe: bool = True, skew: SkewPlan = SkewPlan(), dedupe_mapping: bool = False) -> DataFrame:
+def row_weights(tables: Tables, null_safe: bool = False, skew: SkewPlan = SkewPlan(), dedupe_mapping: bool = False) -> DataFrame:
     """Service times with the number of joined rows each one yields.
 
     Counts per key stand in for the other tables, so statistics of the joined

@@ -48,30 +48,37 @@ def prediction_log_rows(scored: DataFrame, timestamp: str = "requested_at") -> D
     )
 
 
-def append(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Write one batch under (log_date, batch_id).
+def append(rows: DataFrame, path: str, run_id: str) -> None:
+    """Add the rows of one run, under (log_date, run_id).
 
-    Writing the same batch again replaces its own partitions, so a retry or a replayed
-    stream batch leaves no duplicates. Rows are rebalanced by date: few files for a
-    quiet day, several tasks for a busy one.
+    Runs never touch each other's rows, so a run needs an id of its own. The same run
+    again, after a failure or as a replayed stream batch, replaces what it wrote before,
+    also on dates it no longer has. Rows are rebalanced by date: few files for a quiet day,
+    several tasks for a busy one.
     """
+    if not run_id or "/" in run_id:
+        raise ValueError("a log run needs an id of its own, without a slash")
+    spark = rows.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for old in files.globStatus(hadoop.Path(f"{path.rstrip('/')}/log_date=*/run_id={run_id}")) or []:
+        files.delete(old.getPath(), True)
     (
         rows.withColumn("log_date", F.to_date("timestamp"))
-        .withColumn("batch_id", F.lit(batch_id).cast("long"))
+        .withColumn("run_id", F.lit(run_id))
         .hint("rebalance", "log_date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("log_date", "batch_id")
+        .write.mode("append")
+        .partitionBy("log_date", "run_id")
         .parquet(path)
     )
 
 
-def append_scored(scored: DataFrame, feature_log: str, prediction_log: str, batch_id: int) -> None:
-    """Both logs of one scored batch; the batch is kept meanwhile, so it is computed once."""
+def append_scored(scored: DataFrame, feature_log: str, prediction_log: str, run_id: str) -> None:
+    """Both logs of one scored run; the rows are kept meanwhile, so they are computed once."""
     kept = scored.persist()
     try:
-        append(feature_log_rows(kept), feature_log, batch_id)
-        append(prediction_log_rows(kept), prediction_log, batch_id)
+        append(feature_log_rows(kept), feature_log, run_id)
+        append(prediction_log_rows(kept), prediction_log, run_id)
     finally:
         kept.unpersist()
 
@@ -127,12 +134,13 @@ def retained(logs: DataFrame, as_of: str, days: int) -> DataFrame:
     return logs.filter(F.col("log_date") >= F.date_sub(F.lit(as_of).cast("date"), days))
 
 
-def expire(spark: SparkSession, path: str, as_of: str, days: int) -> list[str]:
-    """Delete whole date partitions beyond the age limit; no kept row is rewritten."""
+def expire(spark: SparkSession, path: str, as_of: str | None, days: int) -> list[str]:
+    """Delete whole date partitions beyond the age limit, counted from today if no date is given; no kept row is rewritten."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    limit = spark.range(1).select(F.date_sub(F.lit(as_of).cast("date"), days).cast("string")).first()[0]
+    today = F.lit(as_of).cast("date") if as_of else F.current_date()
+    limit = spark.range(1).select(F.date_sub(today, days).cast("string")).first()[0]
     removed = []
     for entry in files.globStatus(hadoop.Path(f"{path.rstrip('/')}/log_date=*")) or []:
         day = entry.getPath().getName().split("=", 1)[1]

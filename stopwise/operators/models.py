@@ -12,6 +12,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame, functions as F
 
 from stopwise.config import FEATURES, TARGET, LearnerParams
+from stopwise.session import shared_dir
 
 # Model types a configuration may name, and the learner that serves them.
 MODEL_TYPES = {"gbt": "gbt", "lightgbm": "gbt", "xgboost": "gbt", "random_forest": "random_forest"}
@@ -45,7 +46,7 @@ def create_model(model_type: str = "gbt", params: LearnerParams = LearnerParams(
         seed=params.seed,
     )
     if learner == "gbt":
-        estimator = GBTRegressor(maxIter=params.trees, stepSize=params.learning_rate, **shared)
+        estimator = GBTRegressor(maxIter=params.trees, stepSize=params.learning_rate, checkpointInterval=10, **shared)
     else:
         estimator = RandomForestRegressor(numTrees=params.trees, **shared)
     return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="features"), estimator])
@@ -55,6 +56,9 @@ def fit(df: DataFrame, pipeline: Pipeline) -> PipelineModel:
     """Boosting reads its input once per tree level, so the numeric columns are kept in the
     executors for the fit (spilling to disk) and released after it."""
     used = pipeline.getStages()[0].getInputCols()
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))  # or the lineage grows with every tree
     ready = numeric_features(df, used).select(*used, TARGET).persist()
     try:
         return pipeline.fit(ready)

@@ -123,7 +123,7 @@ def nonpositive_targets(df: DataFrame, target: str = TARGET) -> DataFrame:
 
 def row_funnel(
     tables: Tables,
-    null_safe: bool = True,
+    null_safe: bool = False,
     skew: SkewPlan = SkewPlan(),
     multiplier: float = 1.5,
     seed: int = 42,
@@ -132,7 +132,7 @@ def row_funnel(
     """Rows left after each processing stage, from one aggregate over weighted visits."""
     visits = row_weights(tables, null_safe, skew)
     if bounds is None:
-        bounds = iqr_bounds(keep_positive_target(visits), TARGET, multiplier, "row_weight", tables.service_times)
+        bounds = iqr_bounds(keep_positive_target(visits), TARGET, multiplier, "row_weight")
     value = F.col(TARGET)
     known = value.isNotNull()
     kept = value.between(bounds.lower, bounds.upper) & (value > 0)

@@ -1,8 +1,7 @@
-"""Exact order statistics at any size.
+"""Exact order statistics, in one way at any size.
 
-`percentile` keeps every distinct value of a group in one task, so it serves only
-where the input is small by Catalyst's own estimate. Beyond that, rows are counted
-per magnitude bin (a small table), running sums over the bins tell which bin holds a
+`percentile` would keep every distinct value of a group in one task. Here rows are
+counted per magnitude bin (a small table), running sums over the bins tell which bin holds a
 wanted rank, that bin is counted again in finer bins, and only the values of the last
 bins are ordered.
 """
@@ -27,15 +26,6 @@ FINE_PER_OCTAVE = 4096 * 65536
 UNKNOWN = -(2**62)
 
 
-SMALL_BYTES = 16 * 2**20
-
-
-def fits_one_task(df: DataFrame, small_bytes: int | None = None) -> bool:
-    """Whether the optimiser's size estimate is small. No job runs; joins count as large."""
-    limit = SMALL_BYTES if small_bytes is None else small_bytes
-    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= limit
-
-
 def _prepare(df: DataFrame, value: str, by: Sequence[str], weight: str | None) -> DataFrame:
     number = F.col(value).cast("double")
     number = F.when(~F.isnan(number), number)
@@ -99,25 +89,15 @@ def exact_quantiles(
     by: Sequence[str] = (),
     weight: str | None = None,
     few_groups: bool = False,
-    values_from: DataFrame | None = None,
-    small_bytes: int | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles, one array per group, in the order asked for.
 
     Null values and null groups are left out. `few_groups` says that the number of
     groups is fixed by the report (hours, weekdays, labels), so that the list of
-    wanted bins is small by construction and may be broadcast. `values_from` is a
-    frame holding every value that can occur; if it is small, so is the value map.
+    wanted bins is small by construction and may be broadcast.
     """
     by = list(by)
     rows = _prepare(df, value, by, weight)
-    if fits_one_task(df if values_from is None else values_from.select(value), small_bytes):
-        share = [float(q) for q in probabilities]
-        return (
-            rows.filter(F.col(VALUE).isNotNull())
-            .groupBy(*by)
-            .agg(F.percentile(VALUE, share, F.col(WEIGHT)).alias("quantiles"))
-        )
     bounded = few_groups or not by
     coarse = _wanted(_bin_ranges(_bin_counts(rows, by), by), probabilities)
     in_coarse = _counts_in(rows, coarse, by, BIN, FINE, bounded)
@@ -154,34 +134,18 @@ def _counts_in(
     return rows.groupBy(*keys).agg(F.sum(WEIGHT).alias(COUNT)).join(wanted.repartition(*by, bin_name), [*by, bin_name])
 
 
-def approximate_quantiles(
-    df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = (), accuracy: int = 10000
-) -> DataFrame:
-    """One pass and bounded error, for exploration where the exact value is not needed."""
-    kept = df
-    for name in by:
-        kept = kept.filter(F.col(name).isNotNull())
-    return kept.groupBy(*by).agg(F.percentile_approx(value, list(probabilities), accuracy).alias("quantiles"))
-
-
 def grouped_summary(
     df: DataFrame,
     by: Sequence[str],
     value: str,
     few_groups: bool = False,
-    values_from: DataFrame | None = None,
-    small_bytes: int | None = None,
 ) -> DataFrame:
     """Mean, exact median and count of the value per group; null groups drop out."""
     by = list(by)
     rows = _prepare(df, value, by, None)
-    if fits_one_task(df if values_from is None else values_from.select(value), small_bytes):
-        return rows.groupBy(*by).agg(
-            F.avg(VALUE).alias("mean"), F.percentile(VALUE, 0.5).alias("median"), F.count(VALUE).alias("count")
-        )
     bins = _bin_counts(rows, by)
     totals = bins.groupBy(*by).agg(F.sum(COUNT).alias("count"), F.sum("__sum").alias("__sum"))
-    medians = exact_quantiles(df, value, [0.5], by, None, few_groups, values_from, small_bytes)
+    medians = exact_quantiles(df, value, [0.5], by, None, few_groups)
     return totals.join(medians, by, "left").select(
         *by,
         F.try_divide("__sum", "count").alias("mean"),
@@ -190,22 +154,13 @@ def grouped_summary(
     )
 
 
-def running_counts(df: DataFrame, value: str, weight: str | None = None, small_bytes: int | None = None) -> DataFrame:
+def running_counts(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
     """Distinct values with their count, the number of rows up to them, and the total.
 
     Values are ordered bin by bin in parallel; only the coarse bins' totals, a small
     table, are summed in one place.
     """
     rows = _prepare(df, value, [], weight)
-    if fits_one_task(df, small_bytes):
-        counts = rows.filter(F.col(VALUE).isNotNull()).groupBy(VALUE).agg(F.sum(WEIGHT).alias(COUNT))
-        everything = Window.orderBy(VALUE)
-        return counts.select(
-            F.col(VALUE).alias("value"),
-            F.col(COUNT).alias("count"),
-            F.sum(COUNT).over(everything.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
-            F.sum(COUNT).over(Window.partitionBy()).alias("total"),
-        )
     coarse = _bin_ranges(_bin_counts(rows, []), []).drop(END)
     per_fine = rows.groupBy(BIN, FINE).agg(F.sum(WEIGHT).alias(COUNT)).join(coarse, BIN)
     fine = _fine_ranges(per_fine, []).drop(END)

@@ -46,7 +46,7 @@ def unknown_orders(requests: DataFrame, table: DataFrame, hot: HotKeys | None =
 
 
 def batch_status(requests: DataFrame, found: DataFrame, max_batch_size: int = 100) -> DataFrame:
-    """Per request batch: size, known orders and verdict."""
+    """Per request batch: size, known orders and verdict. The verdict is a remark; every request is scored."""
     sizes = requests.groupBy("request_id").agg(F.count(F.lit(1)).alias("requested"))
     valid = found.groupBy("request_id").agg(F.count(F.lit(1)).alias("known"))
     status = (
@@ -61,50 +61,34 @@ def batch_status(requests: DataFrame, found: DataFrame, max_batch_size: int = 10
     )
 
 
-def within_batch_limit(requests: DataFrame, max_batch_size: int = 100, hot: HotKeys | None = None) -> DataFrame:
-    """Requests of batches that keep the size limit."""
-    allowed = requests.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= max_batch_size)
-    return lookup_join(requests, allowed.select("request_id"), "request_id", "left_semi", hot)
-
-
 def score(
     requests: DataFrame,
     table: DataFrame,
     model: Callable[[DataFrame], DataFrame],
     model_version: str = "latest",
-    max_batch_size: int | None = None,
     hot_orders: HotKeys | None = None,
-    hot_batches: HotKeys | None = None,
 ) -> DataFrame:
     """Look up, predict, and stamp; unknown orders are left out.
 
     `model` adds a `predicted` column. The version is recorded as given. Every row
     keeps its place in the batch in `position`.
     """
-    if max_batch_size is not None:
-        requests = within_batch_limit(requests, max_batch_size, hot_batches)
     predicted = model(extract_features(requests, table, hot_orders))
     return predicted.withColumnRenamed("predicted", "predicted_service_time").withColumn(
         "model_version", F.lit(model_version)
     )
 
 
-def batch_responses(scored: DataFrame, status: DataFrame, max_batch_size: int = 100) -> DataFrame:
-    """One row per accepted batch with its predictions in request order.
+def batch_responses(scored: DataFrame, page_size: int = 100) -> DataFrame:
+    """The predictions of every batch in request order, in pages.
 
-    Only accepted batches are gathered, so a list never exceeds the batch limit; an
-    oversized batch has been refused before.
+    A page takes the positions of one multiple of `page_size`, so it never holds more
+    rows, whatever the size of the batch.
     """
-    if max_batch_size is None:
-        raise ValueError("responses need a batch limit")
     answer = F.struct("position", "driver_id", "web_order_id", "predicted_service_time", "model_version", "requested_at")
-    accepted = status.filter(F.col("status") == "ok").select("request_id")
-    return (
-        scored.join(accepted, "request_id", "left_semi")
-        .groupBy("request_id")
-        .agg(
-            F.array_sort(F.collect_list(answer)).alias("predictions"),
-            F.count(F.lit(1)).alias("total_count"),
-            F.max("requested_at").alias("timestamp"),
-        )
+    page = F.floor(F.col("position") / page_size).alias("page")
+    return scored.groupBy("request_id", page).agg(
+        F.array_sort(F.collect_list(answer)).alias("predictions"),
+        F.count(F.lit(1)).alias("total_count"),
+        F.max("requested_at").alias("timestamp"),
     )

@@ -27,15 +27,13 @@ def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) ->
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, deviation, minimum, exact quartiles, maximum of each column."""
+    moments = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    known = {name: F.when(~F.isnan(F.col(name).cast("double")), F.col(name).cast("double")) for name in columns}
+    # One aggregate over the rows as they are; its single row is turned on its side.
+    wide = df.agg(*[moment(known[name]).alias(f"{key}_{i}") for i, name in enumerate(columns) for key, moment in moments.items()])
+    entry = [F.struct(F.lit(name).alias("column_name"), *[F.col(f"{key}_{i}").alias(key) for key in moments]) for i, name in enumerate(columns)]
+    basic = wide.select(F.explode(F.array(entry)).alias("entry")).select("entry.*")
     entries = unpivot(df, columns)
-    value = F.when(~F.isnan("value"), F.col("value"))
-    basic = entries.groupBy("column_name").agg(
-        F.count(value).alias("count"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-    )
     quartiles = exact_quantiles(entries, "value", [0.25, 0.5, 0.75], ["column_name"], few_groups=True)
     return basic.join(F.broadcast(quartiles), "column_name", "left").select(
         "column_name",
@@ -63,10 +61,9 @@ def stats_by(
     target: str = TARGET,
     min_count: int = 0,
     few_groups: bool = False,
-    values_from: DataFrame | None = None,
 ) -> DataFrame:
     """Mean, median and count of the target per group."""
-    summary = grouped_summary(df, [group], target, few_groups, values_from)
+    summary = grouped_summary(df, [group], target, few_groups)
     return summary.filter(F.col("count") >= min_count) if min_count else summary
 
 

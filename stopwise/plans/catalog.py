@@ -30,8 +30,6 @@ from stopwise.streaming import jobs
 Query = Callable[[SparkSession, str], DataFrame]
 
 KEYS = ["web_order_id", "driver_id"]
-# The features whose errors are reported, strongest first.
-REPORTED_FEATURES = ["floor", "total_weight_g", "total_boxes", "total_articles", "min_article_weight_g", "has_elevator"]
 RULE_VERSION = "rule_1"
 
 _once: dict[tuple, object] = {}
@@ -211,10 +209,9 @@ def remove_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detect_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     explored = _explore(spark, sf_dir)
-    bounds = clean.iqr_bounds(explored)
-    value = F.col(TARGET)
-    outside = (value < F.lit(bounds.lower)) | (value > F.lit(bounds.upper))
-    figures = explored.agg(F.count(F.lit(1)).alias("row_count"), F.count_if(outside).alias("outlier_count")).withColumns(
+    outside, bounds = clean.detect_outliers(explored)
+    counts = explored.agg(F.count(F.lit(1)).alias("row_count")).crossJoin(outside.agg(F.count(F.lit(1)).alias("outlier_count")))
+    figures = counts.withColumns(
         {
             "lower_bound": F.lit(bounds.lower),
             "upper_bound": F.lit(bounds.upper),
@@ -229,7 +226,7 @@ def clean_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, skew = _raw(spark, sf_dir), _skew(spark, sf_dir)
     positive = replace(raw, service_times=clean.keep_positive_target(raw.service_times))
     weights = joins.row_weights(positive, skew=skew)
-    bounds = clean.iqr_bounds(weights, TARGET, 1.5, "row_weight", positive.service_times)
+    bounds = clean.iqr_bounds(weights, TARGET, Settings().iqr_multiplier, "row_weight")
     cleaned = clean.clean_data(joins.join_datasets(positive, skew=skew), bounds=bounds)
     return _plain(cleaned)
 
@@ -389,10 +386,9 @@ def target_ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def error_ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of rows with at most this absolute error, to four decimals of a minute."""
-    errors = _errors(spark, sf_dir).select(F.round("abs_error", 4).alias("abs_error"))
-    shares = distribution.cumulative_distribution(errors, "abs_error")
-    return _rounded(shares.withColumn("cumulative", F.col("cumulative") * 100), "cumulative")
+    """Share of rows with at most this absolute error."""
+    shares = distribution.cumulative_distribution(_errors(spark, sf_dir), "abs_error")
+    return _rounded(shares.withColumn("cumulative", F.col("cumulative") * 100), "value", "cumulative")
 
 
 def density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -459,7 +455,7 @@ def r2_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_vs_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = evaluate.error_by_feature(_errors(spark, sf_dir), REPORTED_FEATURES)
+    table = evaluate.error_by_feature(_errors(spark, sf_dir), FEATURES)
     return _rounded(table, "mean_abs_error", "overall_mae")
 
 
@@ -528,15 +524,13 @@ def _rule_model(spark: SparkSession, sf_dir: str) -> Callable[[DataFrame], DataF
     return rule.transform
 
 
-def _score(spark: SparkSession, sf_dir: str, model=None, version: str = RULE_VERSION, limit: int | None = 100) -> DataFrame:
+def _score(spark: SparkSession, sf_dir: str, model=None, version: str = RULE_VERSION) -> DataFrame:
     return scoring.score(
         _requests(spark, sf_dir),
         _features(spark, sf_dir),
         model or _rule_model(spark, sf_dir),
         version,
-        limit,
         _hot_requests(spark, sf_dir, "web_order_id"),
-        _hot_requests(spark, sf_dir, "request_id"),
     )
 
 
@@ -548,14 +542,21 @@ def score_batch_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size, verdict and number of predictions of every batch."""
+    """Size and verdict of every batch, with its predictions, in 1/10000 minutes, page by page."""
     requests = _requests(spark, sf_dir)
     hot = _hot_requests(spark, sf_dir, "web_order_id")
     found = scoring.extract_features(requests, _features(spark, sf_dir).select("web_order_id"), hot)
     status = scoring.batch_status(requests, found)
-    answers = scoring.batch_responses(_score(spark, sf_dir), status)
-    counted = answers.select("request_id", F.size("predictions").cast("double").alias("total_count"), "timestamp")
-    return status.join(counted, "request_id", "left")
+    answers = scoring.batch_responses(_score(spark, sf_dir))
+    entry = lambda p: F.concat_ws(":", p["position"], p["web_order_id"], F.round(p["predicted_service_time"] * 10000).cast("long"))
+    pages = answers.select(
+        "request_id",
+        F.col("page").cast("double").alias("page"),
+        F.array_join(F.transform("predictions", entry), ",").alias("predictions"),
+        F.col("total_count").cast("double").alias("total_count"),
+        "timestamp",
+    )
+    return status.join(pages, "request_id", "left")
 
 
 # --- logs and monitoring -----------------------------------------------------------------
@@ -566,7 +567,7 @@ def _written_logs(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
 
     def write() -> tuple[str, str]:
         paths = scratch_path(spark, "feature_logs"), scratch_path(spark, "prediction_logs")
-        logs.append_scored(_score(spark, sf_dir), *paths, 0)
+        logs.append_scored(_score(spark, sf_dir), *paths, "first")
         return paths
 
     return _remember(spark, sf_dir, "logs", write)
@@ -580,7 +581,7 @@ def feature_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prediction_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = logs.read(spark, _written_logs(spark, sf_dir)[1], PREDICTION_LOGS)
-    return _rounded(entries.drop("batch_id"), "predicted_service_time")
+    return _rounded(entries.drop("run_id"), "predicted_service_time")
 
 
 def get_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -650,9 +651,7 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _settings(spark: SparkSession, sf_dir: str) -> Settings:
     def make() -> Settings:
         return Settings(
-            processed_dir=scratch_path(spark, "train_data"),
             model_dir=scratch_path(spark, "models"),
-            learner=LearnerParams(trees=10, learning_rate=0.1),
         )
 
     return _remember(spark, sf_dir, "settings", make)
@@ -660,7 +659,8 @@ def _settings(spark: SparkSession, sf_dir: str) -> Settings:
 
 def _trained(spark: SparkSession, sf_dir: str) -> training.Trained:
     def make() -> training.Trained:
-        return training.train(spark, _settings(spark, sf_dir), _raw(spark, sf_dir))
+        stored = _stored(spark, sf_dir)
+        return training.train(spark, _settings(spark, sf_dir), prepared=(split.with_split(stored), features.feature_names(stored)))
 
     return _remember(spark, sf_dir, "trained", make)
 
@@ -673,7 +673,7 @@ def train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def train_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = split.with_split(_stored(spark, sf_dir))
-    pipeline = models.create_model("random_forest", LearnerParams(trees=10))
+    pipeline = models.create_model("random_forest", LearnerParams())
     model = models.fit(data.filter(F.col("split") == "train"), pipeline)
     return evaluate.metrics_by(evaluate.add_errors(models.predict(data, model)), "split")
 
@@ -722,7 +722,7 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         return log
 
     entries = logs.read(spark, _remember(spark, sf_dir, "stream scores", run), PREDICTION_LOGS)
-    return _rounded(entries.drop("batch_id", "log_date"), "predicted_service_time")
+    return _rounded(entries.drop("run_id", "log_date"), "predicted_service_time")
 
 
 def stream_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -731,13 +731,13 @@ def stream_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run() -> str:
         entries = sample_tables.prediction_logs(tune(spark), sf_dir)
         log = scratch_path(spark, "stream_log")
-        logs.append(entries.withColumn("id", F.col("id").cast("string")), log, 0)
+        logs.append(entries.withColumn("id", F.col("id").cast("string")), log, "first")
         path = scratch_path(spark, "stream_statistics")
-        statistics = jobs.hourly_statistics(jobs.read_predictions(spark, log, files_per_batch=10000))
-        jobs.write_statistics(statistics, path, scratch_path(spark, "statistics_checkpoint")).awaitTermination()
+        incoming = jobs.read_predictions(spark, log, files_per_batch=20)
+        jobs.write_statistics(incoming, path, scratch_path(spark, "statistics_checkpoint")).awaitTermination()
         return path
 
-    found = spark.read.parquet(_remember(spark, sf_dir, "stream statistics", run))
+    found = jobs.hourly_statistics(spark, _remember(spark, sf_dir, "stream statistics", run))
     found = found.withColumns({name: F.col(name).cast("timestamp_ntz") for name in ("window_start", "window_end")})
     return _rounded(found, "avg_prediction", digits=8)
 

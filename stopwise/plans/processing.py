@@ -17,7 +17,7 @@ from stopwise.sources.tables import Tables
 def process_tables(
     tables: Tables,
     settings: Settings = Settings(),
-    null_safe: bool = True,
+    null_safe: bool = False,
     dedupe_mapping: bool = False,
     skew: SkewPlan | None = None,
 ) -> DataFrame:
@@ -32,7 +32,7 @@ def process_tables(
     bounds = None
     if settings.remove_outliers:
         weights = row_weights(tables, null_safe, skew, dedupe_mapping)
-        bounds = iqr_bounds(weights, TARGET, settings.iqr_multiplier, "row_weight", tables.service_times)
+        bounds = iqr_bounds(weights, TARGET, settings.iqr_multiplier, "row_weight")
     joined = join_datasets(tables, null_safe, skew, dedupe_mapping)
     if settings.missing_strategy != "constant":
         joined = impute(joined, ["floor"], settings.missing_strategy)

@@ -50,10 +50,15 @@ def evaluate(df: DataFrame) -> tuple[dict[str, float], dict[str, int]]:
 
 
 def train(
-    spark: SparkSession, settings: Settings = Settings(), tables: Tables | None = None, at: datetime.datetime | None = None
+    spark: SparkSession,
+    settings: Settings = Settings(),
+    tables: Tables | None = None,
+    at: datetime.datetime | None = None,
+    prepared: tuple[DataFrame, list[str]] | None = None,
 ) -> Trained:
+    """Fit, evaluate and save a model; `prepared` is what an earlier `prepare` gave, if there was one."""
     at = at or datetime.datetime.now()
-    data, names = prepare(spark, settings, tables)
+    data, names = prepared or prepare(spark, settings, tables)
     model = fit(data.filter(F.col("split") == "train"), create_model(settings.model_type, settings.learner, names))
     metrics, samples = evaluate(predict(data, model))
     importance = feature_importance(data, model)

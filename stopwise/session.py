@@ -40,12 +40,20 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; a local one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor can reach: spark.checkpoint.dir, or what setCheckpointDir named.
+
+    Only a local session, which is one process, gets a folder of its own.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        named = _own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="stopwise-"))
     if not named:
-        named = tempfile.mkdtemp(prefix="stopwise-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named
 
 

@@ -56,7 +56,7 @@ FEATURE_LOGS = _struct(
     features=_text,
     model_version=_text,
     log_date=T.DateType(),
-    batch_id=T.LongType(),
+    run_id=T.StringType(),
 )
 
 PREDICTION_LOGS = _struct(
@@ -68,7 +68,7 @@ PREDICTION_LOGS = _struct(
     model_version=_text,
     request_id=_text,
     log_date=T.DateType(),
-    batch_id=T.LongType(),
+    run_id=T.StringType(),
 )
 
 RUNS = T.StructType(

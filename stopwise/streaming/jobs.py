@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,13 +10,22 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stopwise.operators import logs
 from stopwise.operators.scoring import score
+from stopwise.operators.skew import find_hot_keys
 from stopwise.sources.schemas import PREDICTION_LOGS, REQUESTS
 
+STATISTICS = "start timestamp, end timestamp, model_version string, predictions long, total double, known long, run_id string"
+
 
 def read_requests(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(REQUESTS).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def _run_id(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
+    """Names a micro-batch of a stream for good: a new checkpoint is a new stream."""
+    stream = json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+    return f"{stream}-{batch_id}"
+
+
 def score_stream(
     requests: DataFrame,
     table: DataFrame,
@@ -27,12 +37,20 @@ def score_stream(
 ) -> StreamingQuery:
     """Score each micro-batch against the feature table and write both logs.
 
-    The logs are partitioned by batch number: a batch that runs again after a failure
-    overwrites its own partitions, so nothing is logged twice.
+    Each batch is a run of its own in the logs: one that runs again after a failure
+    replaces its own rows, so nothing is logged twice and no other run is touched. The
+    orders of the batch pick their rows of the table first, and crowded ones are split.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        logs.append_scored(score(batch, table, model, model_version), feature_log, prediction_log, batch_id)
+        asked = batch.persist()
+        try:
+            known = asked.filter(F.col("web_order_id").isNotNull())
+            wanted = table.join(known.select("web_order_id").distinct(), "web_order_id", "left_semi")
+            scored = score(asked, wanted, model, model_version, find_hot_keys(known, ["web_order_id"]))
+            logs.append_scored(scored, feature_log, prediction_log, _run_id(batch.sparkSession, checkpoint, batch_id))
+        finally:
+            asked.unpersist()
 
     return (
         requests.writeStream.foreachBatch(write)
@@ -50,30 +68,34 @@ def read_predictions(spark: SparkSession, prediction_log: str, files_per_batch:
     )
 
 
-def hourly_statistics(predictions: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
-    """Count and mean per model version and time window; later rows than `late` are dropped."""
-    return (
-        predictions.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-        .withWatermark("timestamp", late)
-        .groupBy(F.window("timestamp", width), "model_version")
-        .agg(F.count(F.lit(1)).alias("predictions"), F.avg("predicted_service_time").alias("avg_prediction"))
-        .select(
-            F.col("window.start").alias("window_start"),
-            F.col("window.end").alias("window_end"),
-            "model_version",
-            "predictions",
-            "avg_prediction",
-        )
-    )
+def write_statistics(predictions: DataFrame, path: str, checkpoint: str, width: str = "1 hour") -> StreamingQuery:
+    """Counts and sums per time window and model version, for each micro-batch a part of its own.
 
+    Nothing waits for a watermark: rows may arrive in any order and however late. A
+    batch that runs again overwrites its part.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        window = F.window(F.col("timestamp").cast("timestamp"), width)
+        parts = batch.groupBy(window.alias("window"), "model_version").agg(
+            F.count(F.lit(1)).alias("predictions"),
+            F.sum("predicted_service_time").alias("total"),
+            F.count("predicted_service_time").alias("known"),
+        )
+        part = f"{path.rstrip('/')}/run_id={_run_id(batch.sparkSession, checkpoint, batch_id)}"
+        parts.select("window.start", "window.end", "model_version", "predictions", "total", "known").write.mode("overwrite").parquet(part)
 
-def write_statistics(statistics: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append each window once, when the watermark has passed its end."""
     return (
-        statistics.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", path)
+        predictions.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def hourly_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """The parts added up: count and mean per window and version, open windows included."""
+    parts = spark.read.schema(STATISTICS).parquet(path)
+    return parts.groupBy(F.col("start").alias("window_start"), F.col("end").alias("window_end"), "model_version").agg(
+        F.sum("predictions").alias("predictions"), F.try_divide(F.sum("total"), F.sum("known")).alias("avg_prediction")
+    )

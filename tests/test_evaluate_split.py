@@ -28,9 +28,9 @@ def test_ranges_keep_empty_ones(spark):
     df = errors(spark, [(5.0, 4.0, ""), (5.1, 5.1, ""), (6.1, 5.1, ""), (101.0, 1.0, "")])
     got = collected(evaluate.errors_by_range(df), "range_no", "row_count", "mae", "r2")
     assert got[0] == (0, 1, 1.0, 0.0) and got[1][1] == 2 and same(got[1][2], 0.5) and same(got[1][3], -1.0)
-    assert got[2:] == [(i, 0, None, 0.0) for i in range(2, 7)]
+    assert got[2:] == [(i, 0, None, 0.0) for i in range(2, 6)] + [(6, 1, 100.0, 0.0)]
     boxes = collected(evaluate.error_boxplot_by_range(df), "range_no", "count", "median")
-    assert len(boxes) == 7 and boxes[6] == (6, 0, None)
+    assert len(boxes) == 7 and boxes[5] == (5, 0, None) and boxes[6] == (6, 1, 100.0)
 
 
 @pytest.mark.parametrize("r2, verdict", [(0.81, "EXCELLENT"), (0.8, "GOOD"), (0.6, "FAIR"), (0.4, "POOR")])
@@ -59,16 +59,12 @@ def test_sample_has_exact_size(spark, share):
     assert got == collected(split.exact_sample(df.repartition(5), share))
 
 
-def test_rule_model(spark, monkeypatch):
+def test_rule_model(spark):
     rows = [(0.0, 1, 2.0), (0.0, 1, 4.0), (1.0, 0, 9.0)] + [(3.0, 1, float(i)) for i in range(30)]
     df = frame(spark, rows, "floor double, has_elevator int, service_time_in_minutes double")
     new = frame(spark, [(0.0, 1, 0), (1.0, 1, 1), (3.0, 1, 2)], "floor double, has_elevator int, i int")
     want = collected(fit_rule(df).transform(new), "i", "predicted")
     assert want[0] == (0, 3.0) and same(want[1][1], sum(r[2] for r in rows) / len(rows))
-    monkeypatch.setattr(baseline, "MAX_CELLS", 1)
-    model = fit_rule(df)
-    assert not model.fits_broadcast
-    assert collected(model.transform(new), "i", "predicted") == want
 
 
 def test_spread_rule_join(spark, monkeypatch):
@@ -76,6 +72,5 @@ def test_spread_rule_join(spark, monkeypatch):
 
     df = frame(spark, [(float(i % 2), 1, float(i)) for i in range(40)], "floor double, has_elevator int, service_time_in_minutes double")
     want = collected(fit_rule(df).transform(df))
-    monkeypatch.setattr(baseline, "MAX_CELLS", 1)
     monkeypatch.setattr(baseline, "find_hot_keys", partial(baseline.find_hot_keys, fraction=1.0, min_hits=1, partitions=16))
     assert collected(fit_rule(df).transform(df)) == want

@@ -11,15 +11,26 @@ from tests.helpers import collected, frame, make_tables, pandas_rows
 ALL_HOT = dict(fraction=1.0, min_hits=2, partitions=64)
 
 
-def test_null_keys_meet(spark):
+def test_null_keys(spark):
     tables = make_tables(
         spark,
         service_times=[{"web_order_id": k, "driver_id": "d"} for k in ("a", None, None)],
         orders=[{"web_order_id": k, "floor": f} for k, f in ((None, 7.0), ("a", 1.0))],
     )
-    assert collected(joins.join_orders(tables), "web_order_id", "floor") == [("a", 1.0), (None, 7.0), (None, 7.0)]
-    plain = joins.join_orders(tables, null_safe=False)
+    plain = joins.join_orders(tables)
     assert collected(plain, "web_order_id", "floor") == [("a", 1.0), (None, None), (None, None)]
+    met = joins.join_orders(tables, null_safe=True)
+    assert collected(met, "web_order_id", "floor") == [("a", 1.0), (None, 7.0), (None, 7.0)]
+
+
+def test_null_keys_do_not_multiply(spark):
+    tables = make_tables(
+        spark,
+        service_times=[{"web_order_id": None, "driver_id": "d"}] * 300,
+        orders=[{"web_order_id": None, "floor": 1.0}] * 300,
+    )
+    assert joins.join_orders(tables).count() == 300
+    assert joins.join_orders(tables, null_safe=True).count() == 90000
 
 
 def test_empty_text_is_not_null(spark):
@@ -110,15 +121,15 @@ def test_spread_join_equals_brute_force(spark, crowded):
     want[["floor", "total_boxes", "total_weight_g"]] = want[["floor", "total_boxes", "total_weight_g"]].astype(float)
     expected = pandas_rows(want, names)
 
-    skew = joins.measure_skew(crowded, **ALL_HOT)
+    skew = joins.measure_skew(crowded, True, **ALL_HOT)
     assert skew.visits is not None and skew.visit_pairs is not None and skew.orders is not None
     for plan in (joins.SkewPlan(), skew):
-        got = joins.join_datasets(crowded, skew=plan).withColumn("total_boxes", F.col("total_boxes").cast("double"))
+        got = joins.join_datasets(crowded, True, plan).withColumn("total_boxes", F.col("total_boxes").cast("double"))
         assert collected(got, *names) == expected
-    weights = joins.row_weights(crowded, skew=skew)
+    weights = joins.row_weights(crowded, True, skew)
     assert weights.agg(F.sum("row_weight")).first()[0] == len(expected)
-    checked = joins.check_mapping(crowded, skew=skew)
-    assert collected(checked) == collected(joins.check_mapping(crowded))
+    checked = joins.check_mapping(crowded, True, skew)
+    assert collected(checked) == collected(joins.check_mapping(crowded, True))
 
 
 def test_hot_rows_land_in_many_pieces(spark, crowded):

@@ -4,18 +4,16 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from stopwise.functions.bins import magnitude_bin
-from stopwise.operators.quantiles import approximate_quantiles, exact_quantiles, grouped_summary, running_counts
+from stopwise.operators.quantiles import exact_quantiles, grouped_summary, running_counts
 from tests.helpers import frame, same
 
 PROBABILITIES = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 1.0]
-PATHS = [0, 2**40]
 
 
 def test_linear_interpolation(spark):
     df = frame(spark, [(v,) for v in (1.0, 2.0, 3.0, None, 10.0)], "x double")
-    for small_bytes in PATHS:
-        row = exact_quantiles(df, "x", [0.25, 0.5, 0.75], small_bytes=small_bytes).first()
-        assert row["quantiles"] == [1.75, 2.5, 4.75]
+    row = exact_quantiles(df, "x", [0.25, 0.5, 0.75]).first()
+    assert row["quantiles"] == [1.75, 2.5, 4.75]
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -26,7 +24,7 @@ def test_linear_interpolation(spark):
 )
 def test_large_path_equals_numpy(spark, values):
     df = frame(spark, [(v,) for v in values], "x double")
-    got = exact_quantiles(df, "x", PROBABILITIES, small_bytes=0).first()["quantiles"]
+    got = exact_quantiles(df, "x", PROBABILITIES).first()["quantiles"]
     for q, value in zip(PROBABILITIES, got):
         assert same(value, float(np.quantile(values, q)), 1e-9)
 
@@ -35,40 +33,37 @@ def test_large_path_equals_numpy(spark, values):
 def test_groups_weights_and_nulls(spark, few_groups):
     rows = [("a", float(i % 10), 1 + i % 3) for i in range(50)] + [("b", 5.0, 4), ("b", None, 9), (None, 1.0, 1)]
     df = frame(spark, rows, "g string, x double, w int")
-    got = exact_quantiles(df, "x", [0.3, 0.5], ["g"], "w", few_groups, small_bytes=0)
+    got = exact_quantiles(df, "x", [0.3, 0.5], ["g"], "w", few_groups)
     found = {row["g"]: row["quantiles"] for row in got.collect()}
     repeated = [x for g, x, w in rows if g == "a" for _ in range(w)]
     assert set(found) == {"a", "b"} and found["b"] == [5.0, 5.0]
     assert all(same(v, float(np.quantile(repeated, q))) for q, v in zip([0.3, 0.5], found["a"]))
 
 
-@pytest.mark.parametrize("small_bytes", PATHS)
-def test_group_without_values_stays(spark, small_bytes):
+def test_group_without_values_stays(spark):
     df = frame(spark, [("a", 1.0), ("a", 3.0), ("b", None), (None, 2.0)], "g string, x double")
-    got = grouped_summary(df, ["g"], "x", small_bytes=small_bytes)
+    got = grouped_summary(df, ["g"], "x")
     assert sorted(map(tuple, got.select("g", "mean", "median", "count").collect())) == [
         ("a", 2.0, 2.0, 2),
         ("b", None, None, 0),
     ]
 
 
-@pytest.mark.parametrize("small_bytes", PATHS)
-def test_running_counts(spark, small_bytes):
+def test_running_counts(spark):
     rng = np.random.default_rng(3)
     values = [float(v) for v in np.round(rng.normal(0, 3, 400), 1)] + [1e9, -1e9, float("nan")]
     df = frame(spark, [(v,) for v in values], "x double")
-    got = running_counts(df, "x", small_bytes=small_bytes).orderBy("value").collect()
+    got = running_counts(df, "x").orderBy("value").collect()
     known = np.array(values[:-1]) + 0.0
     assert [row["value"] for row in got] == sorted(set(known))
     assert all(row["upto"] == int((known <= row["value"]).sum()) and row["total"] == 402 for row in got)
 
 
-@pytest.mark.parametrize("small_bytes", PATHS)
-def test_empty_input(spark, small_bytes):
+def test_empty_input(spark):
     df = frame(spark, [], "x double")
-    row = exact_quantiles(df, "x", [0.5], small_bytes=small_bytes).first()
+    row = exact_quantiles(df, "x", [0.5]).first()
     assert row is None or row["quantiles"] is None or row["quantiles"] == [None]
-    assert running_counts(df, "x", small_bytes=small_bytes).count() == 0
+    assert running_counts(df, "x").count() == 0
 
 
 def test_bins_keep_the_order(spark):
@@ -88,11 +83,6 @@ def test_bins_keep_the_order(spark):
 def test_result_does_not_depend_on_partitioning(spark):
     df = spark.range(2000).select((F.col("id") * 37 % 1001 / 7.0).alias("x"))
     results = {
-        tuple(exact_quantiles(df.repartition(n), "x", PROBABILITIES, small_bytes=0).first()["quantiles"]) for n in (1, 3, 16)
+        tuple(exact_quantiles(df.repartition(n), "x", PROBABILITIES).first()["quantiles"]) for n in (1, 3, 16)
     }
     assert len(results) == 1
-
-
-def test_approximate_is_close(spark):
-    df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
-    assert abs(approximate_quantiles(df, "x", [0.5]).first()["quantiles"][0] - 499.5) <= 1

@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = entry.catalog.all_queries(), entry.oracle.all_sql()
 
 
 def text(value):
@@ -26,7 +26,7 @@ def base(sf_dir):
 
 
 def test_every_sql_belongs_to_a_query():
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) <= set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):

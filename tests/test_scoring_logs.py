@@ -1,5 +1,7 @@
 import datetime
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from stopwise.config import FEATURES
@@ -41,11 +43,12 @@ def test_batches(spark):
     asked = requests(spark, [("big", "a")] * 4 + [("none", "nope")] + [("ok", "b"), ("ok", "nope"), ("ok", "a")])
     status = scoring.batch_status(asked, scoring.extract_features(asked, table), max_batch_size=3)
     assert collected(status, "request_id", "status") == [("big", "batch too large"), ("none", "no valid orders"), ("ok", "ok")]
-    scored = scoring.score(asked, table, constant, "v1", max_batch_size=3)
-    assert collected(scored, "request_id", "position", "predicted_service_time", "model_version") == [("ok", 5, 5.0, "v1"), ("ok", 7, 4.0, "v1")]
-    answer = scoring.batch_responses(scored, status, 3).collect()
-    assert len(answer) == 1 and answer[0]["total_count"] == 2
-    assert [p["web_order_id"] for p in answer[0]["predictions"]] == ["b", "a"]
+    scored = scoring.score(asked, table, constant, "v1")
+    big = [("big", i, 4.0, "v1") for i in range(4)]
+    assert collected(scored, "request_id", "position", "predicted_service_time", "model_version") == big + [("ok", 5, 5.0, "v1"), ("ok", 7, 4.0, "v1")]
+    answer = {(r["request_id"], r["page"]): r for r in scoring.batch_responses(scored, 3).collect()}
+    assert {key: r["total_count"] for key, r in answer.items()} == {("big", 0): 3, ("big", 1): 1, ("ok", 1): 1, ("ok", 2): 1}
+    assert [p["web_order_id"] for p in answer[("ok", 1)]["predictions"]] == ["b"]
 
 
 def test_logs_round_trip_and_replay(spark, tmp_path):
@@ -53,9 +56,11 @@ def test_logs_round_trip_and_replay(spark, tmp_path):
     scored = scoring.score(requests(spark, [("r", "a"), ("r", "b")]), table, constant, "v1")
     features, predictions = str(tmp_path / "features"), str(tmp_path / "predictions")
     for _ in range(2):
-        logs.append(logs.feature_log_rows(scored), features, 3)
-        logs.append(logs.prediction_log_rows(scored), predictions, 3)
-    logs.append(logs.prediction_log_rows(scored), predictions, 4)
+        logs.append(logs.feature_log_rows(scored), features, "x")
+        logs.append(logs.prediction_log_rows(scored), predictions, "x")
+    logs.append(logs.prediction_log_rows(scored), predictions, "y")
+    with pytest.raises(ValueError):
+        logs.append(logs.prediction_log_rows(scored), predictions, "")
     assert spark.read.parquet(features).count() == 2
     stored = logs.read(spark, predictions, PREDICTION_LOGS)
     assert stored.count() == 4 and stored.select("id").distinct().count() == 2
@@ -89,11 +94,12 @@ def test_statistics_with_unnamed_version_and_empty_log(spark):
 
 def test_retention(spark, tmp_path):
     path = str(tmp_path / "log")
-    logs.append(entries(spark), path, 0)
+    logs.append(entries(spark), path, "x")
     stored = logs.read(spark, path, PREDICTION_LOGS)
     assert logs.retained(stored, "2024-03-01", 2).count() == 3
     assert logs.expire(spark, path, "2024-03-01", 2) == ["2024-02-25", "2024-02-26", "2024-02-27"]
     assert logs.read(spark, path, PREDICTION_LOGS).count() == 3
+    assert logs.expire(spark, path, None, 2) == ["2024-02-28", "2024-02-29", "2024-03-01"]
     pruned = logs.newest(stored, since="2024-03-01")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(log_date" in pruned
 
