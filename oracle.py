@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from stopwise.config import CORRELATED, ERROR_PERCENTILES, FEATURES, TARGET_QUANTILES, TIME_RANGES, WEEKDAYS, WEIGHT_CLASSES
 from stopwise.functions import normal
-from stopwise.plans.catalog import RULE_VERSION
+from stopwise.plans.catalog import PREVIEWS, RULE_VERSION
 
 T = "service_time_in_minutes"
 MEASURES = ["total_boxes", "total_articles", "total_weight_g", "avg_article_weight_g", "max_article_weight_g", "min_article_weight_g"]
@@ -454,6 +454,8 @@ def all_sql() -> dict[str, str]:
     )
     sql["table_structure"] = query(ALL_RAW, _structure())
     sql["table_preview"] = query("svc_orders", "SELECT * FROM svc_orders ORDER BY web_order_id LIMIT 5")
+    for name, order in PREVIEWS.items():
+        sql[f"preview_{name}"] = query(RAW[name][0], f"SELECT * FROM {RAW[name][0]} ORDER BY {', '.join(f'{c} NULLS FIRST' for c in order)} LIMIT 5")
     sql["nonpositive_targets"] = query("svc_times", f"SELECT COUNT(*) AS nonpositive FROM svc_times WHERE {T} <= 0")
     stages = [
         ("start", "SELECT COUNT(*) FROM svc_times"),
@@ -523,6 +525,8 @@ def all_sql() -> dict[str, str]:
     sql["clean_data"] = query("cleaned", f"SELECT {rounded_measures} FROM cleaned")
     sql["create_features"] = query("derived", f"SELECT {rounded_derived} FROM derived")
     sql["processed_dataset"] = query("processed", f"SELECT {rounded_derived} FROM processed")
+    sql["load_processed"] = sql["processed_dataset"]
+    sql["load_target"] = query("processed", f"SELECT {T} FROM processed")
     sql["impute_median"] = query(
         "with_orders",
         f"SELECT {keys}, {r('COALESCE(floor, (SELECT quantile_cont(floor, 0.5) FROM with_orders))')} AS floor FROM with_orders",
@@ -641,6 +645,7 @@ def all_sql() -> dict[str, str]:
     )
 
     sql["split_counts"] = query("parts", "SELECT split, COUNT(*) AS row_count FROM parts GROUP BY split")
+    sql["split_rows"] = query("parts", f"SELECT {keys}, split FROM parts")
     sql["sample_5pct"] = query(
         "processed",
         f"""SELECT {keys}, {T} FROM (SELECT *, row_number() OVER (ORDER BY digest, {keys}, {T}) AS place, COUNT(*) OVER () AS n

@@ -135,6 +135,17 @@ def table_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.table_preview(_raw(spark, sf_dir).orders, ["web_order_id"])
 
 
+PREVIEWS = {
+    "articles": ["web_order_id", "article_id", "box_id", "article_weight_in_g"],
+    "service_times": ["web_order_id", "driver_id"],
+    "driver_mapping": ["web_order_id", "driver_id"],
+}
+
+
+def preview(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.table_preview(scan(name, spark, sf_dir), PREVIEWS[name])
+
+
 def nonpositive_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.nonpositive_targets(_raw(spark, sf_dir).service_times)
 
@@ -240,6 +251,16 @@ def processed_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(_process(spark, sf_dir))
 
 
+def load_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The processed rows as written to their sink and read back."""
+    return _plain(_stored(spark, sf_dir).select(_process(spark, sf_dir).columns))
+
+
+def load_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One column of the stored rows."""
+    return _stored(spark, sf_dir).select(TARGET)
+
+
 def impute_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = clean.impute(_explore(spark, sf_dir).select(*KEYS, "floor"), ["floor"], "median")
     return _rounded(filled, "floor")
@@ -414,6 +435,11 @@ def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_counts(_stored(spark, sf_dir))
 
 
+def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part each stored row belongs to."""
+    return split.with_split(_stored(spark, sf_dir)).select(*KEYS, "split")
+
+
 def sample_5pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.exact_sample(_stored(spark, sf_dir).select(*KEYS, TARGET))
 
@@ -678,6 +704,12 @@ def train_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.metrics_by(evaluate.add_errors(models.predict(data, model)), "split")
 
 
+def top_feature_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors by the six features that the trained model ranks first."""
+    ranked = feature_importance(spark, sf_dir).orderBy(F.desc("importance"), "feature").limit(6).collect()
+    return evaluate.error_by_feature(_errors(spark, sf_dir), [row["feature"] for row in ranked])
+
+
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     _trained(spark, sf_dir)
     return artifacts.read_importance(spark, _settings(spark, sf_dir).model_dir)
@@ -747,20 +779,20 @@ def all_queries() -> dict[str, Query]:
         data_summary, missing_values, duplicate_counts, table_structure, table_preview, nonpositive_targets, row_funnel,
         clean_target, fill_missing, time_features, interaction_features, feature_matrix,
         join_orders, join_articles, join_mapping, mapping_check, join_datasets,
-        remove_outliers, detect_outliers, clean_data, create_features, processed_dataset, impute_median,
+        remove_outliers, detect_outliers, clean_data, create_features, processed_dataset, load_processed, load_target, impute_median,
         describe_target, describe_numeric, describe_features, target_quantiles,
         stats_by_hour, stats_by_weekday, stats_by_elevator, stats_by_business, stats_by_floor,
         floor_elevator_mean, value_counts, top_floors, weight_class_stats,
         correlation_matrix, target_correlations, top_correlations, top5_correlations, target_by_measure, eda_summary,
         target_hist, log_target_hist, inlier_target_hist, residual_hist, boxplot_target, boxplot_error_by_range,
         target_ecdf, error_ecdf, density_grid, qq_residuals, qq_line,
-        split_counts, sample_5pct, residuals, evaluate_by_split, combined_metrics, model_rating,
+        split_counts, split_rows, sample_5pct, residuals, evaluate_by_split, combined_metrics, model_rating,
         mae_by_range, count_by_range, r2_by_range, feature_vs_error, residuals_by_prediction,
         error_percentiles, evaluation_summary,
         first_per_order, feature_lookup, lookup_rejects, score_batch_rule, batch_response,
         feature_log_rows, prediction_log_rows, get_features, get_predictions, prediction_statistics,
         log_retention, compare_versions, monitor_accuracy, feature_drift, run_metrics,
-        train_gbt, train_rf, feature_importance, model_metrics, model_registry, score_batch,
+        train_gbt, train_rf, feature_importance, top_feature_errors, model_metrics, model_registry, score_batch,
         stream_scores, stream_statistics,
     ]
     named: dict[str, Query] = {
@@ -769,5 +801,6 @@ def all_queries() -> dict[str, Query]:
         "scan_service_times": partial(scan, "service_times"),
         "scan_driver_mapping": partial(scan, "driver_mapping"),
         "aggregate_articles": article_totals,
+        **{f"preview_{name}": partial(preview, name) for name in PREVIEWS},
     }
     return named | {query.__name__: query for query in plain}
