@@ -94,6 +94,20 @@ block(
     """SELECT s.*, o.customer_id AS customer_id_order, o.warehouse_id, o.order_time, o.floor, o.has_elevator, o.is_business
        FROM svc_times s LEFT JOIN svc_orders o ON s.web_order_id = o.web_order_id""",
 )
+block(
+    "crowd_times",
+    "svc_times",
+    """SELECT * REPLACE (CASE WHEN CAST(web_order_id AS BIGINT) % 3 = 0 THEN '1'
+                              WHEN CAST(web_order_id AS BIGINT) % 101 <> 5 THEN web_order_id END AS web_order_id) FROM svc_times""",
+)
+block(
+    "crowd_orders",
+    "svc_orders",
+    """SELECT * REPLACE (CASE WHEN CAST(web_order_id AS BIGINT) % 103 <> 7 THEN web_order_id END AS web_order_id) FROM svc_orders
+       UNION ALL
+       SELECT * REPLACE (floor + 1 AS floor) FROM svc_orders
+       WHERE CAST(web_order_id AS BIGINT) % 53 = 0 OR web_order_id = '1'""",
+)
 block(
     "explored",
     "with_orders article_totals",
@@ -507,6 +521,30 @@ def all_sql() -> dict[str, str]:
         f"""SELECT CASE WHEN m.web_order_id IS NULL THEN 'left_only' ELSE 'both' END AS mapping_check,
             COUNT(*) AS row_count {mapped} GROUP BY 1""",
     )
+    sql["join_datasets_hot"] = query(
+        "crowd_times crowd_orders article_totals svc_mapping",
+        f"""SELECT s.web_order_id, s.driver_id, s.{T}, o.floor, CAST(a.total_articles AS DOUBLE) AS total_articles
+            FROM crowd_times s LEFT JOIN article_totals a ON s.web_order_id = a.web_order_id
+            LEFT JOIN svc_mapping m ON s.driver_id = m.driver_id AND s.web_order_id = m.web_order_id
+            LEFT JOIN crowd_orders o ON s.web_order_id = o.web_order_id""",
+    )
+    order = ", ".join(f"{c} NULLS FIRST" for c in ("order_datetime", "driver_id", T, "customer_id", "trip_id"))
+    sql["first_per_order_hot"] = query(
+        "crowd_times",
+        f"""SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY web_order_id ORDER BY {order}) AS place
+            FROM crowd_times WHERE web_order_id IS NOT NULL) WHERE place = 1""",
+    )
+    sql["duplicate_counts_hot"] = query(
+        "crowd_times crowd_orders svc_mapping svc_articles",
+        " UNION ALL ".join(
+            [
+                _duplicates("orders", "crowd_orders", "web_order_id"),
+                _duplicates("service_times", "crowd_times", "web_order_id"),
+                _duplicates("driver_mapping", "svc_mapping", "driver_id, web_order_id"),
+                _duplicates("articles", "svc_articles", "web_order_id"),
+            ]
+        ),
+    )
     sql["join_datasets"] = query("joined", f"SELECT {rounded_measures} FROM joined")
     sql["aggregate_articles"] = query("article_totals", f"SELECT {rounded_measures} FROM article_totals")
     sql["remove_outliers"] = query(

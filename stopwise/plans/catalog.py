@@ -206,6 +206,27 @@ def join_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(joins.join_datasets(_raw(spark, sf_dir), skew=_skew(spark, sf_dir)))
 
 
+def _crowded(spark: SparkSession, sf_dir: str) -> Tables:
+    tune(spark)
+    return sample_tables.crowded(spark, sf_dir)
+
+
+def join_datasets_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joins with a crowded order, unknown ids and doubled orders, every repeated key cut into pieces."""
+    crowded = _crowded(spark, sf_dir)
+    skew = joins.measure_skew(crowded, fraction=1.0, min_hits=2, partitions=64)
+    return _plain(joins.join_datasets(crowded, skew=skew).select(*KEYS, TARGET, "floor", "total_articles"))
+
+
+def first_per_order_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of several differing visits of an order."""
+    return scoring.first_per_order(_crowded(spark, sf_dir).service_times)
+
+
+def duplicate_counts_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.duplicate_counts(_crowded(spark, sf_dir))
+
+
 def article_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(aggregate_articles(_raw(spark, sf_dir).articles))
 
@@ -778,7 +799,7 @@ def all_queries() -> dict[str, Query]:
     plain = [
         data_summary, missing_values, duplicate_counts, table_structure, table_preview, nonpositive_targets, row_funnel,
         clean_target, fill_missing, time_features, interaction_features, feature_matrix,
-        join_orders, join_articles, join_mapping, mapping_check, join_datasets,
+        join_orders, join_articles, join_mapping, mapping_check, join_datasets, join_datasets_hot, duplicate_counts_hot,
         remove_outliers, detect_outliers, clean_data, create_features, processed_dataset, load_processed, load_target, impute_median,
         describe_target, describe_numeric, describe_features, target_quantiles,
         stats_by_hour, stats_by_weekday, stats_by_elevator, stats_by_business, stats_by_floor,
@@ -789,7 +810,7 @@ def all_queries() -> dict[str, Query]:
         split_counts, split_rows, sample_5pct, residuals, evaluate_by_split, combined_metrics, model_rating,
         mae_by_range, count_by_range, r2_by_range, feature_vs_error, residuals_by_prediction,
         error_percentiles, evaluation_summary,
-        first_per_order, feature_lookup, lookup_rejects, score_batch_rule, batch_response,
+        first_per_order, first_per_order_hot, feature_lookup, lookup_rejects, score_batch_rule, batch_response,
         feature_log_rows, prediction_log_rows, get_features, get_predictions, prediction_statistics,
         log_retention, compare_versions, monitor_accuracy, feature_drift, run_metrics,
         train_gbt, train_rf, feature_importance, top_feature_errors, model_metrics, model_registry, score_batch,

@@ -7,6 +7,8 @@ rule of the joins is exercised at any scale.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stopwise.sources.tables import Tables
@@ -86,6 +88,16 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
 
+def crowded(spark: SparkSession, sf_dir: str) -> Tables:
+    """The same tables, ill-behaved: a third of all visits fall on order 1, some ids are
+    unknown on both sides, and some orders stand twice with different floors."""
+    plain, key = tables(spark, sf_dir), F.col("web_order_id").cast("long")
+    visits = plain.service_times.withColumn("web_order_id", F.when(key % 3 == 0, "1").when(key % 101 != 5, F.col("web_order_id")))
+    known = plain.orders.withColumn("web_order_id", F.when(key % 103 != 7, F.col("web_order_id")))
+    doubled = plain.orders.filter((key % 53 == 0) | (key == 1)).withColumn("floor", F.col("floor") + 1)
+    return replace(plain, service_times=visits, orders=known.unionByName(doubled))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction requests in batches of 60, and some of 150; every ninth order is unknown."""
     return _read(spark, sf_dir, "events").selectExpr(
