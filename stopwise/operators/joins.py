@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stopwise.functions.keys import null_safe_key
 from stopwise.operators.articles import aggregate_articles
 from stopwise.operators.rows import repeat_rows
-from stopwise.operators.skew import HotKeys, every_piece, find_hot_keys, random_piece
+from stopwise.operators.skew import HotKeys, every_piece, find_hot_keys, row_piece
 from stopwise.sources.tables import Tables
 
 ORDER, DRIVER, SPREAD, SLICE = "__order", "__driver", "__spread", "__slice"
@@ -59,15 +59,16 @@ def _spread_key(pieces: Column, piece: Column) -> Column:
 
 
 def _visit_side(visits: DataFrame, null_safe: bool, skew: SkewPlan) -> DataFrame:
-    """The fact side. A hot order is spread by driver, a hot (order, driver) pair at random."""
+    """The fact side. A hot order is spread by driver, a hot (order, driver) pair by its whole rows."""
     visits = _keyed(visits, null_safe)
+    row = visits.columns
     if skew.visits is None:
         return visits
     visits = skew.visits.mark(visits, "__pieces")
     piece = _driver_piece(F.col("__pieces"))
     if skew.visit_pairs is not None:
         visits = skew.visit_pairs.mark(visits, "__pair")
-        piece = F.when(F.col("__pair").isNotNull(), random_piece(F.col("__pieces"))).otherwise(piece)
+        piece = F.when(F.col("__pair").isNotNull(), row_piece(F.col("__pieces"), row)).otherwise(piece)
     return visits.withColumn(SPREAD, _spread_key(F.col("__pieces"), piece)).drop("__pieces", "__pair")
 
 
@@ -129,7 +130,7 @@ def _join_order_rows(visits: DataFrame, orders: DataFrame, skew: SkewPlan) -> Da
     slice_key = F.concat(F.col(_order_key(skew)), F.lit("#"), F.col("__cut").cast("string"))
     orders = (
         skew.orders.mark(orders, "__slices")
-        .withColumn("__cut", random_piece(F.col("__slices"), seed=29))
+        .withColumn("__cut", row_piece(F.col("__slices"), orders.columns, seed=29))
         .withColumns({SLICE: slice_key, "__found": F.lit(True)})
         .drop(ORDER, SPREAD, "__slices", "__cut")
     )

@@ -78,13 +78,10 @@ def find_hot_keys(
     return HotKeys(tuple(columns), spark.createDataFrame(rows, schema))
 
 
-def random_piece(pieces: Column, seed: int = 17) -> Column:
-    """A piece number per row.
-
-    Use it on rows read straight from storage: there a retried task draws the same
-    numbers again, because the order of rows is the same.
-    """
-    return F.when(pieces.isNotNull(), F.floor(F.rand(seed) * pieces)).otherwise(0).cast("int")
+def row_piece(pieces: Column, columns: Sequence[str], seed: int = 17) -> Column:
+    """A piece number per row, from a hash of the whole row: a task that runs again gives
+    every row the number it had, whatever the rows were computed from."""
+    return F.when(pieces.isNotNull(), F.pmod(F.xxhash64(F.lit(seed), *columns), pieces)).otherwise(0).cast("int")
 
 
 def every_piece(pieces: Column) -> Column:
@@ -97,7 +94,7 @@ def lookup_join(
     keys: str | Sequence[str],
     how: str,
     hot: HotKeys | None,
-    piece: Callable[[Column], Column] = random_piece,
+    piece: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Join to a side with one row per key; the left side may have hot keys.
 
@@ -110,8 +107,10 @@ def lookup_join(
         return left.join(right, keys, how)
     for name in keys:
         right = right.filter(F.col(name).isNotNull())
+    row = left.columns
     left, right = hot.mark(left, "__pieces"), hot.mark(right, "__pieces")
-    left = left.withColumn("__piece", piece(F.col("__pieces")))
+    own = piece(F.col("__pieces")) if piece else row_piece(F.col("__pieces"), row)
+    left = left.withColumn("__piece", own)
     right = right.withColumn("__piece", every_piece(F.col("__pieces")))
     whole = F.struct(*keys, "__piece")
     left = left.withColumn("__spread", whole).drop("__pieces", "__piece")
