@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import gc
 import struct
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -289,7 +290,9 @@ def settled(spans: DataFrame) -> DataFrame:
     spark, kept = spans.sparkSession, stored(spans, "spans")
     del spans
     gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark removes shuffle files when the driver has dropped their plans
+    for _ in range(3):  # Spark removes shuffle files once the driver has dropped their plans, which its listeners hold a little longer
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
     return kept
 
 
