@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 MIN_DOCUMENTS = 20  # a boilerplate line is in more distinct documents of its host than this
-MIN_SHARE = 0.2  # and in more than this share of them
+MIN_SHARE = 0.01  # and in more than this share of them: hosts are whole datasets, so a larger share is out of reach of any line
 MIN_LEFT = 0.3  # share of a document's words that must stand outside boilerplate
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50

@@ -49,6 +49,21 @@ def test_boilerplate_lines_and_depleted_documents(spark):
     assert all(got[200 + i].kept and got[200 + i].n_removed_words == 0 for i in range(60))
 
 
+def test_lines_of_a_small_share_of_a_large_host(spark):
+    name = str.maketrans("0123456789", "abcdefghij")
+    own = lambda i, n=60: " ".join(f"d{i}w{k}".translate(name) for k in range(n))
+    lines = {"All rights reserved by the owner": 300, "Read more on this page": 150, "Seen in less than one percent": 25}
+    texts = ["\n".join([*(line for line, n in lines.items() if i < n), own(i)]) for i in range(3000)]
+    rows = [(i, t, "h") for i, t in enumerate(texts)] + [(3000, "\n".join(["Read more on this page"] * 30 + [own(3000, 20)]), "h")]
+    rows += [(4000, "Read more on this page\n" + own(4000), "other")]
+    got = {r.doc_id: r for r in quality_rules.judged(spark.createDataFrame(rows, DOCS)).collect()}
+    for i in range(3000):
+        assert got[i].n_removed_words == 6 * (i < 300) + 5 * (i < 150)
+        assert got[i].kept_text == ("Seen in less than one percent\n" if i < 25 else "") + own(i)
+    assert got[3000].n_removed_words == 150 and got[3000].kept_text == own(3000, 20) and not got[3000].kept
+    assert got[4000].n_removed_words == 0
+
+
 def test_repeated_rows_and_empty_table(spark):
     text = "boiler plate\n" + " ".join(f"w{i}" for i in range(60))
     rows = [(i, text.replace("w0", f"v{i}"), "h") for i in range(30)] + [(3, text.replace("w0", "v3"), "h")]
