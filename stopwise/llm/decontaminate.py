@@ -12,6 +12,8 @@ An item's threshold is a share of its own highest score, that of its full text.
 item is verified on the words: the share of its question's shingles, and of its answer's,
 that the passage holds must both be large. The answer is the item's last sentence where it
 has more than one, the question what stands before; an item of one sentence is a question.
+An answer of fewer than ANSWER words has too few shingles to stand an edit; then a large
+share of the shingles of the whole item will do as well.
 
 The index holds at most BLOCK_ITEMS items and is sent to all tasks; more items make more
 indexes, and each is put to all passages in its turn. Documents are only ever scanned.
@@ -42,6 +44,7 @@ from stopwise.llm.cluster import prepare
 PASSAGE = 128  # words of a passage, or twice the longest item; the next one starts half as far on
 SHARE = 0.5  # of an item's own score
 OVERLAP = 0.6  # of the shingles of question and answer
+ANSWER = 8  # words of an answer that is judged by itself only
 SHINGLE = 4
 K1, B = 1.2, 0.75
 POSTINGS = 32  # in a block
@@ -80,6 +83,7 @@ class Index:
     ids: list
     questions: list[frozenset]
     answers: list[frozenset]
+    wholes: list[frozenset | None]  # of items with a short answer
 
 
 def shingle_set(hashes: np.ndarray, size: int = SHINGLE) -> frozenset:
@@ -100,6 +104,7 @@ def build(items: list[tuple]) -> Index:
     questions = cut([t if at is None else t[:at] for at, t in split])
     answers = cut(["" if at is None else t[at:] for at, t in split])
     q_hash, a_hash = questions.hashes(), answers.hashes()
+    short = [0 < n < ANSWER for n in np.diff(answers.first).tolist()]
     sizes = np.array([len(x) for x in held], float)
     mean, n = float(sizes.mean()) if len(held) else 1.0, len(held)
     rows: dict[int, list[tuple[int, int]]] = {}
@@ -126,7 +131,8 @@ def build(items: list[tuple]) -> Index:
     need = threshold - common
     most = np.maximum.reduceat(score_, offsets_[:-1]) if len(item_) else np.zeros(0)
     return Index(terms, most, offsets_, item_, score_, split_items, split_scores, bounds, lasts, threshold, float(threshold.min(initial=math.inf)), max(PASSAGE, 2 * int(sizes.max(initial=0))), rare, need, [items[i][0] for i in kept],
-                 [shingle_set(q_hash[questions.first[i] : questions.first[i + 1]]) for i in range(n)], [shingle_set(a_hash[answers.first[i] : answers.first[i + 1]]) for i in range(n)])
+                 [shingle_set(q_hash[questions.first[i] : questions.first[i + 1]]) for i in range(n)], [shingle_set(a_hash[answers.first[i] : answers.first[i + 1]]) for i in range(n)],
+                 [shingle_set(x) if few else None for x, few in zip(held, short)])
 
 
 def search(index: Index, terms: list[int], least: float) -> list[tuple[int, float]]:
@@ -234,7 +240,8 @@ def matches_of(part: pa.RecordBatch, index: Index) -> list[tuple]:
                     if z - a >= size:
                         held |= set(v.Rolling(hashes[a:z]).windows(size).tolist())
             question, answer = overlap(index.questions[item], held), overlap(index.answers[item], held)
-            if question >= OVERLAP and answer >= OVERLAP:
+            whole = index.wholes[item]
+            if question >= OVERLAP and answer >= OVERLAP or whole is not None and overlap(whole, held) >= OVERLAP:
                 base = int(words.first[doc[p]])
                 out.append((int(doc[p]), index.ids[item], score, question, answer, a - base, z - base))
     return out

@@ -155,6 +155,18 @@ def test_decontamination(spark):
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows) and decontaminate.matches(docs.limit(0), bench).count() == 0
 
 
+def test_edits_in_short_answers():
+    rng = random.Random(6)
+    filler = lambda n: " ".join(f"f{rng.randrange(5000)}" for _ in range(n))
+    question = "Which of the old harbour towns on the northern coast was the first one to build a stone light house?"
+    items = [(0, f"{question} It was red Falmar."), (1, f"{filler(12)}? Yes."), (2, f"{filler(14)}. It is made of forty thousand iron nails, they say.")]
+    index = decontaminate.build(items)
+    texts = [f"{filler(90)} {question} It was blue Falmar. {filler(60)}", f"{question} It was Falmar.", items[1][1].replace("Yes", "No"), items[2][1].split(".")[0], "Which of the old harbour towns? It was red Falmar.", filler(200), items[0][1]]
+    batch = decontaminate.pa.record_batch([decontaminate.pa.array(texts)], ["text"])
+    # A long answer must be there itself; a few words of the question are not enough.
+    assert {(row, item) for row, item, *_ in decontaminate.matches_of(batch, index)} == {(0, 0), (1, 0), (2, 1), (6, 0)}
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_search_finds_what_scoring_all_items_finds(seed, monkeypatch):
     rng = random.Random(seed)
