@@ -29,9 +29,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies one document stays: that with the smallest doc_id, and of several such the one with the least hash."""
     keys = {"_id": F.coalesce("doc_id", F.lit(0)).cast("long"), "_print": F.xxhash64("doc_id", "text")}
-    gone = near_dedup.near_copies(docs.select("doc_id", "text"), size=SHINGLE).filter("NOT kept").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), "_print").distinct()
+    gone = near_dedup.grouped(docs.select("doc_id", "text"), size=SHINGLE).filter("NOT stays").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), "_print").distinct()
     return docs.withColumns(keys).join(gone, ["_id", "_print"], "left_anti").dropDuplicates(["_id", "_print"]).select(docs.columns)
 
 

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopwise.llm import vectors as v
@@ -238,11 +238,21 @@ def released(df: DataFrame, name: str) -> DataFrame:
     return kept
 
 
+def own_name() -> Column:
+    """What a row is chosen by: the least one has the smallest doc_id, or none if no row of its group has one."""
+    return F.struct(F.isnull("doc_id").alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "_print")
+
+
 def near_copies(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> DataFrame:
     """doc_id, _print, n_shingles, component_id and kept of every row."""
+    return grouped(docs, size, percent).drop("stays")
+
+
+def grouped(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> DataFrame:
+    """near_copies with `stays`: true for one (doc_id, _print) of each component, whatever its doc_ids are, and for empty sets."""
     prepare(docs.sparkSession)
     rows = stored(sets_of_documents(docs, size), "sets")
-    classes = rows.filter("n > 0").groupBy("set_key").agg(F.first("n").alias("n"), F.min("doc_id").alias("_first"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("_id"), "_print")).alias("_from"), F.first("bands").alias("bands"))
+    classes = rows.filter("n > 0").groupBy("set_key").agg(F.first("n").alias("n"), F.min("doc_id").alias("_first"), F.min(own_name()).alias("_from"), F.first("bands").alias("bands"))
     classes = released(classes, "classes")
     banded = classes.select("set_key", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("set_key").alias("center")).filter("size > 1")
@@ -252,7 +262,7 @@ def near_copies(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> DataF
     edges = stars.filter(100 * F.least("n", "_center_n") >= percent * F.greatest("n", "_center_n")).select(F.col("center").alias("a"), F.col("set_key").alias("b"))
     edges = released(edges, "edges")
     wanted = members.filter("size > 2").select("set_key").union(edges.select("a")).union(edges.select("b")).distinct()
-    sets = released(full_sets(docs, wanted.join(classes, "set_key").select("set_key", "_from.*"), size), "full")
+    sets = released(full_sets(docs, wanted.join(classes, "set_key").select("set_key", "_from._id", "_from._print"), size), "full")
     links = stored(confirmed(edges, sets, percent), "links")
     labels = components(links)
     # Buckets of more than two classes that are not in one component hold pairs that no star has tried.
@@ -261,9 +271,9 @@ def near_copies(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> DataF
     rest = placed.join(open_, "bucket").select("bucket", "set_key", F.ceil(F.col("size") / BLOCK).cast("int").alias("spread"))
     links = links.union(compared_in_blocks(rest, sets, percent))
     labels = components(links)
-    linked = labels.join(classes.select(F.col("set_key").alias("node"), "_first"), "node")
-    named = linked.join(linked.groupBy("component").agg(F.min("_first").alias("component_id")), "component").select(F.col("node").alias("set_key"), "component_id")
-    final = classes.select("set_key", "_first").join(named, "set_key", "left").select("set_key", F.coalesce("component_id", "_first").alias("component_id"))
+    linked = labels.join(classes.select(F.col("set_key").alias("node"), "_first", "_from"), "node")
+    named = linked.join(linked.groupBy("component").agg(F.min("_first").alias("component_id"), F.min("_from").alias("_least")), "component").select(F.col("node").alias("set_key"), "component_id", "_least")
+    final = classes.select("set_key", "_first", "_from").join(named, "set_key", "left").select("set_key", F.coalesce("component_id", "_first").alias("component_id"), F.coalesce("_least", "_from").alias("_least"))
     out = rows.select("doc_id", "_print", "n", "set_key").join(final, "set_key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "_print", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "_print", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), ((F.col("n") == 0) | (own_name() == F.col("_least"))).alias("stays"))

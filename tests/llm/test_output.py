@@ -218,6 +218,15 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     assert Counter((r.doc_id, r.start, r.length) for r in corpus_pipeline.run(spark, sf_dir).collect()).keys() and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_one_of_each_group_of_near_copies_stays(spark, tmp_path):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(80))
+    rows = [(None, text("n")), (None, text("n") + " end"), (None, "start " + text("n")), (7, text("a")), (7, text("a") + " end"), (7, text("b")), (8, text("b")), (None, text("c")), (9, text("c") + " end"), (10, ""), (None, None), (11, text("d"))]
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()
+    group = lambda t: t.split("start ")[-1][:1]
+    assert sorted(group(r.text or "") for r in got) == ["", "", "a", "b", "c", "d", "n"]
+    assert {(r.doc_id, r.text[0]) for r in got if r.text} >= {(7, "a"), (7, "b"), (9, "c"), (11, "d")}
+
+
 def test_pipeline_with_nulls_and_extra_columns(spark, tmp_path):
     long = " ".join(f"w{i}" for i in range(80))
     rows = [(1, long, "en", "s", 5, "x"), (1, long, "en", "s", 5, "x"), (2, None, None, None, None, None), (None, long + " end", "en", "s", 3, "y"), (3, "", "en", "s", 0, "z")]
