@@ -80,6 +80,13 @@ def score(
 
 
 def batch_responses(scored: DataFrame, page_size: int = 100) -> DataFrame:
+    """The pages of every batch, with the number of predictions of the whole batch in `batch_count`."""
+    totals = scored.groupBy(F.col("request_id").alias("_batch")).agg(F.count(F.lit(1)).alias("batch_count"))
+    pages = response_pages(scored, page_size)
+    return pages.join(totals, pages["request_id"].eqNullSafe(totals["_batch"])).drop("_batch")
+
+
+def response_pages(scored: DataFrame, page_size: int = 100) -> DataFrame:
     """The predictions of every batch in request order, in pages.
 
     A page takes the positions of one multiple of `page_size`, so it never holds more

@@ -594,7 +594,7 @@ def batch_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     hot = _hot_requests(spark, sf_dir, "web_order_id")
     found = scoring.extract_features(requests, _features(spark, sf_dir).select("web_order_id"), hot)
     status = scoring.batch_status(requests, found)
-    answers = scoring.batch_responses(_score(spark, sf_dir))
+    answers = scoring.response_pages(_score(spark, sf_dir))  # `known` is the total of a batch
     entry = lambda p: F.concat_ws(":", p["position"], p["web_order_id"], F.round(p["predicted_service_time"] * 10000).cast("long"))
     pages = answers.select(
         "request_id",

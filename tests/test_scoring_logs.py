@@ -51,6 +51,13 @@ def test_batches(spark):
     assert [p["web_order_id"] for p in answer[("ok", 1)]["predictions"]] == ["b"]
 
 
+def test_responses_hold_the_total_of_their_batch(spark):
+    table = scoring.feature_table(processed(spark))
+    scored = scoring.score(requests(spark, [("big", "a")] * 7 + [(None, "b")] * 2 + [("ok", "b")]), table, constant, "v1")
+    answer = {(r["request_id"], r["page"]): (r["total_count"], r["batch_count"]) for r in scoring.batch_responses(scored, 3).collect()}
+    assert answer == {("big", 0): (3, 7), ("big", 1): (3, 7), ("big", 2): (1, 7), (None, 2): (2, 2), ("ok", 3): (1, 1)}
+
+
 def test_logs_round_trip_and_replay(spark, tmp_path):
     table = scoring.feature_table(processed(spark))
     scored = scoring.score(requests(spark, [("r", "a"), ("r", "b")]), table, constant, "v1")
