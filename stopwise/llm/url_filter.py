@@ -5,7 +5,7 @@ Only DataFrame functions and MLlib. The host is what stands after the first `://
 its host and all subdomains if the path starts with its own; the longest rule wins.
 
 The trees are trained on labelled urls: at most TRAINING_ROWS of them, those with the
-smallest hashes of their url. `weak_labels` makes the labels where a table has none: a url
+smallest hashes. A url counts once, however many rows have it. `weak_labels` makes the labels where a table has none: a url
 whose host has a word of SEED_WORDS is to be blocked, any other one is not. Features are
 length, depth, digit ratio, entropy of the characters, parameters, hyphens and dots of the
 host, and smoothed block rates of the host's suffixes (last one, two and three labels) in
@@ -77,8 +77,9 @@ def lexical(rows: DataFrame) -> DataFrame:
 
 
 def training_sample(rows: DataFrame, label: Column) -> DataFrame:
-    """At most TRAINING_ROWS labelled rows, the same ones for the same table."""
-    return rows.withColumn("label", label).filter("label IS NOT NULL").orderBy(F.xxhash64("url"), "page_id").limit(TRAINING_ROWS)
+    """At most TRAINING_ROWS labelled urls, the same ones for the same table."""
+    labelled = rows.withColumn("label", label).filter("label IS NOT NULL").select("url", "host", "path", "label").distinct()
+    return labelled.orderBy(F.xxhash64("url"), "url", "label").limit(TRAINING_ROWS)
 
 
 def with_rates(rows: DataFrame, sample: DataFrame) -> DataFrame:

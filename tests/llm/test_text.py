@@ -159,3 +159,14 @@ def test_trees_learn_from_labels(spark):
     got = url_filter.judged(df, [], label).collect()
     assert sum((r.verdict == "block") == (r.page_id % 3 == 0) for r in got) >= 285
     assert url_filter.judged(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_url_do_not_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "TRAINING_ROWS", 40)
+    urls = [f"http://{'casino' if i % 2 else 'news'}{i}.example.net/" for i in range(60)]
+    # The url that comes first in the sample has most of the rows.
+    first = spark.createDataFrame([(u,) for u in urls], "url string").orderBy(url_filter.F.xxhash64("url")).first().url
+    rows = list(enumerate(urls)) + [(100 + i, first) for i in range(100)] + [(100, first)] * 50
+    df = url_filter.ruled(url_filter.parsed(spark.createDataFrame(rows, "page_id long, url string")))
+    sample = url_filter.training_sample(df, url_filter.F.col("host").contains("casino").cast("int")).collect()
+    assert len({r.url for r in sample}) == len(sample) == 40 and {r.label for r in sample} == {0, 1}
