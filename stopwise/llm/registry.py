@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopwise.llm import chat_format, decontaminate, language_id, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup, url_filter, warc
+from stopwise.llm import chat_format, decontaminate, importance, language_id, near_dedup, packing, quality_rules, sentencepieces, substring_dedup, suffix_dedup, url_filter, warc, whitening
 from stopwise.llm.cluster import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,9 +62,22 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepieces.digests(table(spark, folder, "documents"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    rows = importance.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def all_queries() -> dict[str, Query]:
     return {name: query for name, query in globals().items() if name.startswith("op")}
 
 
 def all_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality_rules.SQL, "op2_chat_format": chat_format.SQL}
+    return {"op10_quality_rules": quality_rules.SQL, "op2_chat_format": chat_format.SQL, "op13_resampling": importance.SQL}
