@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from stopwise.config import CORRELATED, ERROR_PERCENTILES, FEATURES, TARGET_QUANTILES, TIME_RANGES, WEEKDAYS, WEIGHT_CLASSES
 from stopwise.functions import normal
-from stopwise.plans.catalog import PREVIEWS, RULE_VERSION
+from stopwise.plans.catalog import PREVIEWS, RULE_VERSION, WANTED
 
 T = "service_time_in_minutes"
 MEASURES = ["total_boxes", "total_articles", "total_weight_g", "avg_article_weight_g", "max_article_weight_g", "min_article_weight_g"]
@@ -80,6 +80,25 @@ block(
               CONCAT('r', CAST(event_id % 100 AS VARCHAR)) AS request_id
        FROM events""",
 )
+block(
+    "timed_visits",
+    "svc_times",
+    f"""SELECT web_order_id AS visit_id, CASE WHEN k % 37 = 5 THEN NULL WHEN k % 3 = 0 THEN '7' ELSE CAST(k % 600 AS VARCHAR) END AS web_order_id,
+              CASE WHEN k % 41 <> 9 THEN TIMESTAMP '2024-01-01' + to_seconds(k * 7919 % 2592000) END AS visited_at, {T}
+       FROM (SELECT *, CAST(web_order_id AS BIGINT) AS k FROM svc_times)""",
+)
+block(
+    "latest_said",
+    "svc_logs",
+    """SELECT web_order_id, "timestamp" AS at, MAX({'p': predicted_service_time, 'v': model_version}) AS said FROM svc_logs
+       WHERE web_order_id IS NOT NULL AND "timestamp" IS NOT NULL GROUP BY 1, 2""",
+)
+block(
+    "as_of",
+    "timed_visits latest_said",
+    f"""SELECT v.visit_id, v.web_order_id, v.visited_at, v.{T}, p.said.p AS predicted, p.said.v AS model_version, p.at AS predicted_at
+        FROM timed_visits v ASOF LEFT JOIN latest_said p ON v.web_order_id = p.web_order_id AND v.visited_at >= p.at""",
+)
 block(
     "article_totals",
     "svc_articles",
@@ -437,6 +456,9 @@ def _values(pairs: list[tuple[str, str]]) -> str:
     return ", ".join(f"({a}, {b})" for a, b in pairs)
 
 
+DELIVERED = """SELECT *, least(3, floor((extract(day FROM "timestamp") - 1) / 8) + CASE WHEN CAST(id AS BIGINT) % 10 = 0 THEN 1 ELSE 0 END) AS delivery FROM svc_logs"""
+
+
 def all_sql() -> dict[str, str]:
     measures = ", ".join(MEASURES)
     counts = "CAST(total_boxes AS DOUBLE) AS total_boxes, CAST(total_articles AS DOUBLE) AS total_articles"
@@ -797,6 +819,19 @@ def all_sql() -> dict[str, str]:
                   JOIN (SELECT web_order_id, AVG({T}) AS {T} FROM positive_visits GROUP BY web_order_id) t
                     ON l.web_order_id = t.web_order_id) GROUP BY model_version""",
     )
+    wanted = "web_order_id IN (" + ", ".join(f"'{i}'" for i in WANTED) + ")"
+    sql["log_of_orders"] = query("svc_logs", f"SELECT * REPLACE (CAST(id AS VARCHAR) AS id) FROM svc_logs WHERE {wanted}")
+    looked = [f"CAST({c} AS DOUBLE)" for c in FEATURES]
+    sql["order_features"] = query(
+        "firsts",
+        "SELECT web_order_id, " + ", ".join(f"{r(v) if c in ('avg_article_weight_g', 'weight_per_box') else v} AS {c}" for c, v in zip(FEATURES, looked)) + f" FROM firsts WHERE {wanted}",
+    )
+    sql["predictions_as_of"] = query("as_of", "SELECT * FROM as_of")
+    sql["accuracy_as_of"] = query(
+        "as_of",
+        f"""SELECT model_version, COUNT(*) AS row_count, {r('sqrt(AVG(residual * residual))')} AS rmse, {r('AVG(abs(residual))')} AS mae, {r(R2)} AS r2
+            FROM (SELECT *, {T} - predicted AS residual FROM as_of WHERE {T} > 0 AND predicted IS NOT NULL) GROUP BY model_version""",
+    )
     sql["feature_drift"] = query("processed scored", _drift())
     sql["run_metrics"] = query(
         "by_split",
@@ -815,4 +850,16 @@ def all_sql() -> dict[str, str]:
                    model_version, COUNT(*) AS predictions, {r('AVG(predicted_service_time)', 8)} AS avg_prediction
             FROM svc_logs GROUP BY 1, 2, 3""",
     )
+    sql["stream_windows"] = query(
+        "svc_logs",
+        f"""SELECT window_start, window_end, model_version, COUNT(*) AS predictions, {r('AVG(predicted_service_time)', 8)} AS avg_prediction,
+                   CAST(COUNT(*) FILTER (window_end <= seen - INTERVAL 1 DAY) AS BIGINT) AS late,
+                   window_end <= (SELECT MAX("timestamp") - INTERVAL 1 DAY FROM svc_logs) AS closed
+            FROM (SELECT d.*, date_trunc('hour', d."timestamp") AS window_start, date_trunc('hour', d."timestamp") + INTERVAL 1 HOUR AS window_end,
+                         (SELECT MAX(e.latest) FROM (SELECT delivery, MAX("timestamp") AS latest FROM delivered GROUP BY delivery) e WHERE e.delivery < d.delivery) AS seen
+                  FROM delivered d) GROUP BY 1, 2, 3""".replace(
+            "FROM delivered", f"FROM ({DELIVERED})"
+        ),
+    )
+    sql["join_bucketed"], sql["join_bucketed_hot"] = sql["join_datasets"], sql["join_datasets_hot"]
     return sql

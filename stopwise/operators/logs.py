@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from stopwise.config import FEATURES
 from stopwise.sources.schemas import FEATURE_VECTOR
-from stopwise.sources.tables import exists
+from stopwise.sources.tables import ROW_GROUP, exists, findable
 
 
 def log_id() -> Column:
@@ -48,13 +50,14 @@ def prediction_log_rows(scored: DataFrame, timestamp: str = "requested_at") -> D
     )
 
 
-def append(rows: DataFrame, path: str, run_id: str) -> None:
+def append(rows: DataFrame, path: str, run_id: str, row_group: int = ROW_GROUP) -> None:
     """Add the rows of one run, under (log_date, run_id).
 
     Runs never touch each other's rows, so a run needs an id of its own. The same run
     again, after a failure or as a replayed stream batch, replaces what it wrote before,
     also on dates it no longer has. Rows are rebalanced by date: few files for a quiet day,
-    several tasks for a busy one.
+    several tasks for a busy one. Files are sorted by order id and carry its Bloom
+    filters, so that a lookup by id reads few row groups.
     """
     if not run_id or "/" in run_id:
         raise ValueError("a log run needs an id of its own, without a slash")
@@ -67,7 +70,9 @@ def append(rows: DataFrame, path: str, run_id: str) -> None:
         rows.withColumn("log_date", F.to_date("timestamp"))
         .withColumn("run_id", F.lit(run_id))
         .hint("rebalance", "log_date")
+        .sortWithinPartitions("log_date", "run_id", "web_order_id")
         .write.mode("append")
+        .options(**findable("web_order_id", row_group))
         .partitionBy("log_date", "run_id")
         .parquet(path)
     )
@@ -90,6 +95,12 @@ def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def of_orders(logs: DataFrame, order_ids: Sequence[str]) -> DataFrame:
+    """All entries of some orders, as in one request. The ids go down to the scan: row groups whose
+    range or Bloom filter excludes them are not read."""
+    return logs.filter(F.col("web_order_id").isin(list(order_ids)))
+
+
 def newest(
     logs: DataFrame,
     web_order_id: str | None = None,

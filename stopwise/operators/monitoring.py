@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from stopwise.config import FEATURES, TARGET
 from stopwise.functions.bins import histogram_bin
@@ -89,3 +89,46 @@ def feature_drift(
         F.greatest(F.try_divide("seen", "all_seen"), F.lit(floor)).alias("q"),
     )
     return shares.groupBy("feature").agg(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p"))).alias("psi"))
+
+
+def as_of(visits: DataFrame, predictions: DataFrame, visit_time: str, hot: HotKeys | None = None) -> DataFrame:
+    """Every visit with the order's last prediction at or before it, or nulls: `predicted`, `model_version`, `predicted_at`.
+
+    Both sides become one table, sorted by order and time; the last prediction seen so far is
+    carried along. Predictions of an order at the same time count as one, the greatest by
+    (value, version); visits at that time see it. A crowded order is cut into time ranges of
+    equal length, each sorted on its own; a range starts with what the ranges before it left
+    behind, one row for each range. Visits without an order or a time have no prediction;
+    predictions without one are nobody's.
+    """
+    at, answer = F.col("__at"), F.struct(F.col("predicted_service_time").alias("predicted"), "model_version", "__at")
+    said = predictions.withColumn("__at", F.col("timestamp")).filter(F.col("web_order_id").isNotNull() & at.isNotNull())
+    said = said.groupBy("web_order_id", "__at").agg(F.max(answer).alias("__said"))
+    row = F.struct(*visits.columns).alias("__row")
+    asked = visits.select("web_order_id", F.col(visit_time).alias("__at"), row)
+    able = F.col("web_order_id").isNotNull() & at.isNotNull()
+    both = said.select("web_order_id", "__at", "__said", F.lit(None).cast(asked.schema["__row"].dataType).alias("__row")).unionByName(
+        asked.filter(able).select("web_order_id", "__at", F.lit(None).cast(said.schema["__said"].dataType).alias("__said"), "__row")
+    )
+    if hot is None:
+        ranged = both.withColumns({"__range": F.lit(0), "__hot": F.lit(False)})
+    else:
+        edges = both.agg(F.min("__at").alias("low"), F.max("__at").alias("high")).first()
+        place = F.unix_micros(at.cast("timestamp")) - F.unix_micros(F.lit(edges["low"]).cast("timestamp"))
+        length = F.unix_micros(F.lit(edges["high"]).cast("timestamp")) - F.unix_micros(F.lit(edges["low"]).cast("timestamp")) + 1
+        marked = hot.mark(both, "__pieces")
+        ranged = marked.withColumn("__range", F.coalesce(F.floor(place / (length / F.col("__pieces"))), F.lit(0)).cast("int"))
+        ranged = ranged.withColumn("__hot", F.col("__pieces").isNotNull()).drop("__pieces")
+    # Order and range are one column, so that no partitioning by the order alone will do.
+    part = F.struct("web_order_id", "__range")
+    carried = F.last("__said", ignorenulls=True).over(Window.partitionBy(part).orderBy("__at", F.col("__row").isNotNull()))
+    matched = ranged.withColumn("__own", carried).filter(F.col("__row").isNotNull())
+    if hot is not None:
+        crowded = ranged.filter("__hot")
+        left = crowded.groupBy("web_order_id", "__range").agg(F.max_by("__said", F.when(F.col("__said").isNotNull(), at)).alias("__left"))
+        before = Window.partitionBy("web_order_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        starts = left.select(part.alias("__part"), F.last("__left", ignorenulls=True).over(before).alias("__start"))
+        # At most as many rows as crowded orders have ranges, a few times the number of partitions.
+        matched = matched.withColumn("__part", part).join(F.broadcast(starts), "__part", "left").withColumn("__own", F.coalesce("__own", "__start"))
+    found = matched.select("__row", "__own").unionByName(asked.filter(~able).select("__row", F.lit(None).cast(said.schema["__said"].dataType).alias("__own")))
+    return found.select("__row.*", F.col("__own.predicted").alias("predicted"), F.col("__own.model_version").alias("model_version"), F.col("__own.__at").alias("predicted_at"))

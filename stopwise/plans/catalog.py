@@ -22,10 +22,10 @@ from stopwise.operators.skew import find_hot_keys
 from stopwise.plans import training
 from stopwise.plans.processing import process_tables
 from stopwise.session import scratch_path, tune
-from stopwise.sources import artifacts, sample_tables, tables as store
+from stopwise.sources import artifacts, bucketed, sample_tables, tables as store
 from stopwise.sources.schemas import FEATURE_LOGS, PREDICTION_LOGS
 from stopwise.sources.tables import Tables
-from stopwise.streaming import jobs
+from stopwise.streaming import jobs, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -218,6 +218,25 @@ def join_datasets_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(joins.join_datasets(crowded, skew=skew).select(*KEYS, TARGET, "floor", "total_articles"))
 
 
+def _bucketed(spark: SparkSession, sf_dir: str, name: str, tables: Tables, **sampling) -> bucketed.Bucketed:
+    def write() -> bucketed.Bucketed:
+        path = scratch_path(spark, name)
+        return bucketed.write(tables, path, f"{name}_{path.rsplit('-', 1)[1]}", **sampling)
+
+    return _remember(spark, sf_dir, name, write)
+
+
+def join_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joins on tables stored in buckets."""
+    return _plain(bucketed.join(_bucketed(spark, sf_dir, "bucketed", _raw(spark, sf_dir))))
+
+
+def join_bucketed_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a crowded order, unknown ids and doubled orders."""
+    stored = _bucketed(spark, sf_dir, "bucketed_hot", _crowded(spark, sf_dir), fraction=0.5, min_hits=20, partitions=16)
+    return _plain(bucketed.join(stored).select(*KEYS, TARGET, "floor", "total_articles"))
+
+
 def first_per_order_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of several differing visits of an order."""
     return scoring.first_per_order(_crowded(spark, sf_dir).service_times)
@@ -533,12 +552,20 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def write() -> str:
         path = scratch_path(spark, "feature_table")
-        scoring.feature_table(_stored(spark, sf_dir)).write.parquet(path)
+        store.write_lookup(scoring.feature_table(_stored(spark, sf_dir)), path, "web_order_id")
         return path
 
     return spark.read.parquet(_remember(spark, sf_dir, "feature table", write))
 
 
+WANTED = [str(i) for i in range(0, 15000, 331)]  # a request's orders; some are unknown
+
+
+def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the orders of one request, found by range and Bloom filter."""
+    return _plain(_features(spark, sf_dir).filter(F.col("web_order_id").isin(WANTED)))
+
+
 def _hot_requests(spark: SparkSession, sf_dir: str, column: str):
     find = partial(find_hot_keys, _requests(spark, sf_dir), [column])
     return _remember(spark, sf_dir, f"hot requests {column}", find)
@@ -631,6 +658,20 @@ def prediction_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(entries.drop("run_id"), "predicted_service_time")
 
 
+def _indexed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def write() -> str:
+        path = scratch_path(spark, "indexed_log")
+        logs.append(sample_tables.prediction_logs(tune(spark), sf_dir).withColumn("id", F.col("id").cast("string")), path, "first")
+        return path
+
+    return logs.read(spark, _remember(spark, sf_dir, "indexed log", write), PREDICTION_LOGS)
+
+
+def log_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All logged predictions of a request's orders."""
+    return logs.of_orders(_indexed_log(spark, sf_dir), WANTED).drop("log_date", "run_id")
+
+
 def get_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = logs.read(spark, _written_logs(spark, sf_dir)[0], FEATURE_LOGS)
     return logs.newest(entries, driver_id="D7").select("id", "timestamp", "web_order_id", "driver_id", "model_version")
@@ -666,6 +707,23 @@ def monitor_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(accuracy, "rmse", "mae", "r2")
 
 
+def _as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries, visits = sample_tables.prediction_logs(tune(spark), sf_dir), sample_tables.timed_visits(spark, sf_dir)
+    hot = _remember(spark, sf_dir, "hot visits", lambda: find_hot_keys(visits, ["web_order_id"], fraction=0.1))
+    return monitoring.as_of(visits, entries, "visited_at", hot)
+
+
+def predictions_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each visit with the prediction that stood when it began."""
+    return _as_of(spark, sf_dir)
+
+
+def accuracy_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors per model version against the truth of the visits its predictions stood for."""
+    matched = clean.keep_positive_target(_as_of(spark, sf_dir)).filter(F.col("predicted").isNotNull())
+    return _rounded(evaluate.metrics_by(evaluate.add_errors(matched), "model_version"), "rmse", "mae", "r2")
+
+
 def feature_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = logs.read(spark, _written_logs(spark, sf_dir)[0], FEATURE_LOGS)
     return _rounded(monitoring.feature_drift(_stored(spark, sf_dir), logs.parse_features(entries)), "psi")
@@ -795,11 +853,36 @@ def stream_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found, "avg_prediction", digits=8)
 
 
+DELIVERIES = 4
+
+
+def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prediction log as it comes in: eight days at a time, every tenth row one delivery late, so out of order."""
+    entries = sample_tables.prediction_logs(tune(spark), sf_dir).withColumn("id", F.col("id").cast("string"))
+    tardy = (F.col("id").cast("long") % 10 == 0).cast("int")
+    return entries.withColumn("delivery", F.least(F.lit(DELIVERIES - 1), F.floor((F.dayofmonth("timestamp") - 1) / 8) + tardy))
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly statistics from the state store, with the rows that came after their window had closed."""
+
+    def run() -> windows.Places:
+        places, log = windows.Places(scratch_path(spark, "windows")), scratch_path(spark, "delivered_log")
+        for number in range(DELIVERIES):
+            logs.append(_deliveries(spark, sf_dir).filter(F.col("delivery") == number).drop("delivery"), log, f"delivery-{number}")
+            windows.run(jobs.read_predictions(spark, log, files_per_batch=1_000_000), places)
+        return places
+
+    found = windows.windows(spark, _remember(spark, sf_dir, "stream windows", run))
+    found = found.withColumns({name: F.col(name).cast("timestamp_ntz") for name in ("window_start", "window_end")})
+    return _rounded(found, "avg_prediction", digits=8)
+
+
 def all_queries() -> dict[str, Query]:
     plain = [
         data_summary, missing_values, duplicate_counts, table_structure, table_preview, nonpositive_targets, row_funnel,
         clean_target, fill_missing, time_features, interaction_features, feature_matrix,
-        join_orders, join_articles, join_mapping, mapping_check, join_datasets, join_datasets_hot, duplicate_counts_hot,
+        join_orders, join_articles, join_mapping, mapping_check, join_datasets, join_datasets_hot, join_bucketed, join_bucketed_hot, duplicate_counts_hot,
         remove_outliers, detect_outliers, clean_data, create_features, processed_dataset, load_processed, load_target, impute_median,
         describe_target, describe_numeric, describe_features, target_quantiles,
         stats_by_hour, stats_by_weekday, stats_by_elevator, stats_by_business, stats_by_floor,
@@ -810,11 +893,11 @@ def all_queries() -> dict[str, Query]:
         split_counts, split_rows, sample_5pct, residuals, evaluate_by_split, combined_metrics, model_rating,
         mae_by_range, count_by_range, r2_by_range, feature_vs_error, residuals_by_prediction,
         error_percentiles, evaluation_summary,
-        first_per_order, first_per_order_hot, feature_lookup, lookup_rejects, score_batch_rule, batch_response,
-        feature_log_rows, prediction_log_rows, get_features, get_predictions, prediction_statistics,
-        log_retention, compare_versions, monitor_accuracy, feature_drift, run_metrics,
+        first_per_order, first_per_order_hot, feature_lookup, order_features, lookup_rejects, score_batch_rule, batch_response,
+        feature_log_rows, prediction_log_rows, log_of_orders, get_features, get_predictions, prediction_statistics,
+        log_retention, compare_versions, monitor_accuracy, predictions_as_of, accuracy_as_of, feature_drift, run_metrics,
         train_gbt, train_rf, feature_importance, top_feature_errors, model_metrics, model_registry, score_batch,
-        stream_scores, stream_statistics,
+        stream_scores, stream_statistics, stream_windows,
     ]
     named: dict[str, Query] = {
         "scan_orders": partial(scan, "orders"),

@@ -121,3 +121,15 @@ def prediction_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when event_id % 10 <> 0 then event_type end as model_version",
         "concat('r', cast(event_id % 100 as string)) as request_id",
     )
+
+
+def timed_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits in the month of the prediction log, to its orders; a third to one order, some without an order or a time."""
+    return service_times(spark, sf_dir).selectExpr(
+        "web_order_id as visit_id",
+        """case when cast(web_order_id as long) % 37 = 5 then null when cast(web_order_id as long) % 3 = 0 then '7'
+                else cast(cast(web_order_id as long) % 600 as string) end as web_order_id""",
+        """case when cast(web_order_id as long) % 41 <> 9 then timestamp_ntz'2024-01-01 00:00:00'
+                + make_interval(0, 0, 0, 0, 0, 0, cast(web_order_id as long) * 7919 % 2592000) end as visited_at""",
+        "service_time_in_minutes",
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -18,6 +19,9 @@ FILES = {
 }
 
 
+ROW_GROUP = 32 << 20  # bytes; what a lookup reads at least
+
+
 @dataclass(frozen=True)
 class Tables:
     orders: DataFrame
@@ -105,3 +109,25 @@ def read_features(spark: SparkSession, processed_dir: str) -> DataFrame:
 
 def read_target(spark: SparkSession, processed_dir: str) -> DataFrame:
     return read_processed(spark, processed_dir).select(TARGET)
+
+
+def findable(column: str, row_group: int = ROW_GROUP) -> dict[str, str]:
+    """Parquet options for a table that is searched by a column: Bloom filters for it, in row groups
+    of bounded size. Without a dictionary, which would take the filter's place."""
+    return {
+        "parquet.block.size": str(row_group),
+        f"parquet.bloom.filter.enabled#{column}": "true",
+        "parquet.bloom.filter.adaptive.enabled": "true",
+        f"parquet.enable.dictionary#{column}": "false",
+    }
+
+
+def write_lookup(df: DataFrame, path: str, key: str, row_group: int = ROW_GROUP) -> None:
+    """A table to search by `key`: rows dealt out and sorted by it, so that each row group is a narrow range."""
+    ordered = df.repartitionByRange(F.col(key)).sortWithinPartitions(key)
+    ordered.write.mode("overwrite").options(**findable(key, row_group)).parquet(path)
+
+
+def lookup(spark: SparkSession, path: str, key: str, values: Sequence[str]) -> DataFrame:
+    """The rows of some keys, as one request names them. Null finds nothing."""
+    return spark.read.parquet(path).filter(F.col(key).isin(list(values)))

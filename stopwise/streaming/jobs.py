@@ -20,7 +20,7 @@ def read_requests(spark: SparkSession, folder: str, files_per_batch: int = 100)
     return spark.readStream.schema(REQUESTS).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def _run_id(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
+def run_id_of(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
     """Names a micro-batch of a stream for good: a new checkpoint is a new stream."""
     stream = json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
     return f"{stream}-{batch_id}"
@@ -48,7 +48,7 @@ def score_stream(
             known = asked.filter(F.col("web_order_id").isNotNull())
             wanted = table.join(known.select("web_order_id").distinct(), "web_order_id", "left_semi")
             scored = score(asked, wanted, model, model_version, find_hot_keys(known, ["web_order_id"]))
-            logs.append_scored(scored, feature_log, prediction_log, _run_id(batch.sparkSession, checkpoint, batch_id))
+            logs.append_scored(scored, feature_log, prediction_log, run_id_of(batch.sparkSession, checkpoint, batch_id))
         finally:
             asked.unpersist()
 
@@ -82,7 +82,7 @@ def write_statistics(predictions: DataFrame, path: str, checkpoint: str, width:
             F.sum("predicted_service_time").alias("total"),
             F.count("predicted_service_time").alias("known"),
         )
-        part = f"{path.rstrip('/')}/run_id={_run_id(batch.sparkSession, checkpoint, batch_id)}"
+        part = f"{path.rstrip('/')}/run_id={run_id_of(batch.sparkSession, checkpoint, batch_id)}"
         parts.select("window.start", "window.end", "model_version", "predictions", "total", "known").write.mode("overwrite").parquet(part)
 
     return (
