@@ -297,7 +297,11 @@ def settled(spans: DataFrame) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Each row of docs, packed as `_row`, with its text and its spans."""
-    by_text = spans.groupBy("_id", "_print").agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
+    """Each row of docs, packed as `_row`, with its text and its spans.
+
+    Copies of a row find the same spans; a set, combined before the shuffle, holds each once, and so
+    no more of them than the text has tokens.
+    """
+    by_text = spans.groupBy("_id", "_print").agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("_row"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("_id"), F.xxhash64("doc_id", "text").alias("_print"), "text")
     return rows.join(by_text, ["_id", "_print"], "left").select("_row", "text", "_spans")

@@ -9,7 +9,8 @@ smallest hashes. A url counts once, however many rows have it. `weak_labels` mak
 whose host has a word of SEED_WORDS is to be blocked, any other one is not. Features are
 length, depth, digit ratio, entropy of the characters, parameters, hyphens and dots of the
 host, and smoothed block rates of the host's suffixes (last one, two and three labels) in
-the training rows. The model sees no host words as such.
+the training rows of all other hosts. A row's own host never counts in its rates, neither when
+the trees are fitted nor when they judge, so no rate tells the label of its host. The model sees no host words as such.
 
 Defined cases: null or url without `://` has an empty host and path and no rule; repeated
 rows get a verdict each; without training rows of both kinds the verdict is the kind there
@@ -23,11 +24,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stopwise.llm.cluster import stored
+
 # (verdict, rule). A rule is a host and the beginning of a path.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 # Words of hosts that make a url a positive example.
 SEED_WORDS = ["ads", "adult", "bets", "casino", "pills", "porn", "spam", "track", "xxx"]
 TRAINING_ROWS = 50_000
+TRAINING_TASKS = 4
 TREES, DEPTH = 15, 4
 SMOOTHING = 5.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,25 +87,32 @@ def training_sample(rows: DataFrame, label: Column) -> DataFrame:
 
 
 def with_rates(rows: DataFrame, sample: DataFrame) -> DataFrame:
-    """Adds the smoothed block rate of each suffix, from a table no longer than the sample."""
+    """Adds the smoothed block rate of each suffix over the sample's rows of other hosts, from tables no longer than the sample."""
     overall = sample.agg(F.coalesce(F.avg("label"), F.lit(0.0)).alias("p")).first().p
+    sums = [F.sum("label").alias("_blocked"), F.count("*").alias("_all")]
+    own = sample.groupBy("host").agg(*sums).withColumnsRenamed({"_blocked": "_own_blocked", "_all": "_own_all"})
+    rows = rows.join(F.broadcast(own), "host", "left").fillna(0, ["_own_blocked", "_own_all"])
     for n in (1, 2, 3):
-        own = sample.groupBy(suffix(n).alias(f"_suffix{n}")).agg(((F.sum("label") + SMOOTHING * overall) / (F.count("*") + SMOOTHING)).alias(f"rate{n}"))
-        rows = rows.withColumn(f"_suffix{n}", suffix(n)).join(F.broadcast(own), f"_suffix{n}", "left").fillna(overall, [f"rate{n}"]).drop(f"_suffix{n}")
-    return rows
+        whole = sample.groupBy(suffix(n).alias("_suffix")).agg(*sums)
+        rows = rows.withColumn("_suffix", suffix(n)).join(F.broadcast(whole), "_suffix", "left").fillna(0, ["_blocked", "_all"])
+        rate = (F.col("_blocked") - F.col("_own_blocked") + SMOOTHING * overall) / (F.col("_all") - F.col("_own_all") + SMOOTHING)
+        rows = rows.withColumn(f"rate{n}", rate).drop("_suffix", "_blocked", "_all")
+    return rows.drop("_own_blocked", "_own_all")
 
 
 def judged(urls: DataFrame, rules: list[tuple[str, str]] = RULES, label: Column | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and the trees' probability of block, for every row."""
     rows = ruled(parsed(urls), rules)
-    sample = training_sample(rows, weak_labels(rows) if label is None else label).coalesce(1).cache()
+    sample = stored(training_sample(rows, weak_labels(rows) if label is None else label), "labelled_urls")
     kinds = {r.label for r in sample.select("label").distinct().limit(3).collect()}
     if len(kinds) < 2:
         scored = rows.withColumn("_block", F.lit(float(max(kinds, default=0))))
     else:
         assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
         trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=64, seed=7, labelCol="label", featuresCol="features")
-        model = trees.fit(assemble.transform(with_rates(lexical(sample), sample)))
+        # Dealt out and ordered by the data, so that the trees come out the same again.
+        dealt = with_rates(lexical(sample), sample).repartition(TRAINING_TASKS, "url").sortWithinPartitions("url")
+        model = trees.fit(assemble.transform(dealt))
         scored = model.transform(assemble.transform(with_rates(lexical(rows), sample))).withColumn("_block", F.col("prediction"))
     said = F.coalesce("_ruled", F.when(F.col("_block") > 0.5, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", said.alias("verdict"))

@@ -1,7 +1,8 @@
 """Operator 7: WARC archives, written in shards and read back.
 
-Records are range-sorted by page_id into a fixed number of shards. A task writes its shard
-as a row of gzip files, one member for each record, and starts the next file once the
+Records are range-sorted by page_id into a fixed number of shards. The ranges are worked out from
+counts of all page_ids, so that the same pages give the same shards and bytes however
+they are dealt out. A task writes its shard as a row of gzip files, one member for each record, and starts the next file once the
 compressed size is reached. A file is written under a temporary name and renamed to its
 final one, which depends only on shard and number; the manifest, written last by Spark, names
 the files that count. A lost task or a second attempt writes the same bytes to the same
@@ -16,8 +17,8 @@ Headers and digests are made anew when writing, and checked against the payload
 
 Defined cases: null html is an empty payload; a null url is written as `urn:page:<id>`;
 white space and control characters of a url are percent-encoded; rows that repeat both
-page_id and payload revisit the first of them; a null page_id counts as the largest and is
-read back as null; other columns are left out.
+page_id and payload revisit the first of them; a null page_id counts as the largest, goes to a
+shard by its payload, and is read back as null; other columns are left out.
 """
 
 from __future__ import annotations
@@ -30,15 +31,18 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopwise.llm.cluster import prepare
 from stopwise.session import shuffle_partitions
 
+BINS = 1 << 12  # ranges counted at once
+FINE = 64  # a shard's share of pages is at least so many ranges, or one page_id
 ROLL_BYTES = 64 << 20  # compressed size at which a file ends
 DATE = "2000-01-01T00:00:00Z"  # the same input gives the same bytes
 HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -52,8 +56,9 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(kind: str, page_id: int | None, copy: int = 0) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}:{page_id}:{copy}')}>"
+def record_id(kind: str, page_id: int | None, payload: str, copy: int = 0) -> str:
+    """A page_id and payload have one response; later rows with both are numbered."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}:{page_id}:{payload}:{copy}')}>"
 
 
 def member(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -67,12 +72,13 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, revisit: b
     kind = "revisit" if revisit else "response"
     head = HEAD.format(len(payload)).encode()
     block = head if revisit else head + payload
-    headers = [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, page_id, copy)), ("WARC-Date", DATE),
+    name = digest(payload)
+    headers = [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, page_id, name, copy)), ("WARC-Date", DATE),
                ("WARC-Target-URI", UNSAFE.sub(lambda m: quote(m[0]), url) if url else f"urn:page:{page_id}")]
     if revisit:
-        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id("response", first))]
+        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id("response", first, name))]
         headers += [("Refers-To-Page-Id", str(first))] if first is not None else []
-    headers += [("Content-Type", "application/http;msgtype=response"), ("WARC-Block-Digest", f"sha1:{digest(block)}"), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
+    headers += [("Content-Type", "application/http;msgtype=response"), ("WARC-Block-Digest", f"sha1:{digest(block)}"), ("WARC-Payload-Digest", f"sha1:{name}")]
     headers += [("Page-Id", str(page_id))] if page_id is not None else []
     headers += [("Url-Null", "1")] if url is None else []
     return member(headers, block)
@@ -92,7 +98,7 @@ class Shard:
             self.out = self.store.open_output_stream(self.temporary, compression=None)
             self.size, self.records, self.hash = 0, 0, hashlib.sha256()
             self.name = f"shard-{self.shard:06d}-{self.number:05d}.warc.gz"
-            self.put(member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("warcinfo", self.shard, self.number)), ("WARC-Date", DATE), ("WARC-Filename", self.name), ("Content-Type", "application/warc-fields")], b"format: WARC file version 1.1\r\n"))
+            self.put(member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("warcinfo", self.shard, "", self.number)), ("WARC-Date", DATE), ("WARC-Filename", self.name), ("Content-Type", "application/warc-fields")], b"format: WARC file version 1.1\r\n"))
         self.put(data)
         self.records += 1
         if self.size >= self.roll:
@@ -111,43 +117,92 @@ class Shard:
             yield self.name, self.shard, self.records, self.size, self.hash.hexdigest()
 
 
+def bounds(pages: DataFrame, shards: int) -> list[int]:
+    """First page_id of each shard but the first: ranges of ids with about equal numbers of pages.
+
+    Ids are counted by ranges of equal width; a range that holds much of a shard is counted
+    again in finer ones, until it is small or a single id. At most BINS counts a round come
+    to the driver.
+    """
+    ids = pages.select(F.col("page_id").cast("long").alias("id")).filter("id IS NOT NULL")
+    ends = ids.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).first()
+    if not ends.n or shards < 2:
+        return []
+    held: dict[int, int] = {}  # pages by first id of a range
+    open_ = [(ends.low, ends.high)]
+    while open_:
+        parts = max(2, BINS // len(open_))
+        groups = []
+        for low, high in open_:
+            width = -(-(high - low + 1) // parts)
+            # Ids may be far apart, so differences are taken in decimals.
+            away = F.col("id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
+            groups.append((F.col("id").between(low, high), F.floor(away / F.lit(width).cast("decimal(20,0)")), low, width, high))
+        which = F.coalesce(*[F.when(inside, F.lit(k)) for k, (inside, *_) in enumerate(groups)])
+        nth = F.coalesce(*[F.when(inside, place) for inside, place, *_ in groups]).cast("long")
+        rows = ids.select(which.alias("which"), nth.alias("nth")).filter("which IS NOT NULL").groupBy("which", "nth").agg(F.count("*").alias("n")).collect()
+        open_ = []
+        for row in rows:
+            low, width, high = groups[row.which][2:]
+            start = low + row.nth * width
+            if row.n * FINE * shards > ends.n and width > 1:
+                open_.append((start, min(high, start + width - 1)))
+            else:
+                held[start] = row.n
+    found, seen = [], 0
+    for start in sorted(held):
+        while len(found) + 1 < shards and seen * shards >= (len(found) + 1) * ends.n:
+            found.append(start)
+        seen += held[start]
+    return found
+
+
 def write(pages: DataFrame, folder: str, shards: int | None = None, roll: int = ROLL_BYTES) -> DataFrame:
     """Write all pages below folder (a URI that executors reach) and return the manifest."""
     spark = pages.sparkSession
     prepare(spark)
+    shards = shards or shuffle_partitions(spark)
+    edges = np.array(bounds(pages, shards), np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64), "right").astype(np.int32))
+
+    def placed(df: DataFrame, digest: Column, *more: Column) -> DataFrame:
+        null = F.col("page_id").isNull()
+        order = F.coalesce("page_id", F.lit((1 << 63) - 1)).cast("long")
+        apart = F.when(null, F.pmod(F.xxhash64(digest), F.lit(shards)).cast("int"))
+        return df.select(F.coalesce(apart, range_of(order)).alias("_shard"), order.alias("_order"), null.alias("_null"), *more)
+
     html = F.coalesce("html", F.lit(""))
     small = pages.select("page_id", F.sha1(html).alias("_digest"), F.octet_length(html).alias("_bytes"))
     first = small.groupBy("_digest", "_bytes").agg(F.min("page_id").alias("_first"))
     later = small.distinct().join(first, ["_digest", "_bytes"]).filter(F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col("page_id")))
-    last = (1 << 63) - 1
-    columns = lambda df, *more: df.select(F.coalesce("page_id", F.lit(last)).cast("long").alias("_order"), F.col("page_id").isNull().alias("_null"), *more)
-    marks = columns(later, F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "_digest", F.col("_first").cast("long").alias("_first"))
-    rows = columns(pages, F.lit(1).alias("_kind"), "url", "html", F.lit(None).cast("string").alias("_digest"), F.lit(None).cast("long").alias("_first"))
-    order = ["_order", "_null"]
-    ordered = marks.unionByName(rows).repartitionByRange(shards or shuffle_partitions(spark), *order).sortWithinPartitions(*order, "_kind", "url", "html")
+    marks = placed(later, F.col("_digest"), F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "_digest", F.col("_first").cast("long").alias("_first"))
+    rows = placed(pages, F.sha1(html), F.lit(1).alias("_kind"), "url", "html", F.lit(None).cast("string").alias("_digest"), F.lit(None).cast("long").alias("_first"))
+    ordered = marks.unionByName(rows).repartitionById(shards, "_shard").sortWithinPartitions("_shard", "_order", "_null", "_kind", "url", "html")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(folder, TaskContext.get().partitionId(), roll)
+        shard = None
         done: list[tuple] = []
-        now, firsts, seen, copy = None, {}, set(), 0
+        now, firsts, seen = None, {}, {}
         for batch in batches:
-            for at, null, kind, url, html, mark, first in zip(*(column.to_pylist() for column in batch.columns)):
+            for number, at, null, kind, url, html, mark, first in zip(*(column.to_pylist() for column in batch.columns)):
+                if shard is None or shard.shard != number:
+                    done += shard.close() if shard else []
+                    shard, now = Shard(folder, number, roll), None
                 if (at, null) != now:
-                    now, firsts, seen, copy = (at, null), {}, set(), 0
+                    now, firsts, seen = (at, null), {}, {}
                 page_id = None if null else at
                 if not kind:
                     firsts[mark] = first
                     continue
                 payload = (html or "").encode()
                 name = hashlib.sha1(payload).hexdigest()
-                if name in firsts:
-                    revisit, refers = True, firsts[name]
-                else:
-                    revisit, refers = name in seen, page_id
-                    seen.add(name)
+                copy = seen[name] = seen.get(name, -1) + 1
+                revisit, refers = (True, firsts[name]) if name in firsts else (copy > 0, page_id)
                 done += shard.add(page_record(page_id, url, payload, revisit, refers, copy))
-                copy += 1
-        done += shard.close()
+        done += shard.close() if shard else []
         yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*done)) or [[]] * 5, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], ["file", "shard", "records", "bytes", "sha256"])
 
     ordered.mapInArrow(save, MANIFEST).write.parquet(f"{folder}/_manifest")

@@ -156,3 +156,14 @@ def test_queries_on_given_data(spark, sf_dir):
     got = {r.doc_id: r.kept_sha256 for r in registry.op9_suffix_dedup(spark, sf_dir).collect()}
     assert got == {key: hashlib.sha256(bytes(x for x, g in zip((t or "").encode(), gone[key]) if not g)).hexdigest() for key, t in rows}
     assert {r.doc_id: r.component_id for r in registry.op6_near_dedup(spark, sf_dir).collect()} == helpers.groups(rows, 2)
+
+
+def test_copies_of_a_row_do_not_multiply_its_spans(spark):
+    """A text of which there are many equal rows carries as many spans as one of which there are two."""
+    text = " ".join(f"w{i}" for i in range(60))
+    for copies in (2, 500):
+        rows = spark.createDataFrame([(7, text)] * copies + [(8, text)], "doc_id long, text string").repartition(4)
+        plan, keyed = substring_dedup.scheme(35), sk.keyed(rows)
+        spans = sk.repeated_spans(sk.pack(keyed, plan, sk.frequent_grams(keyed, plan)), lambda bucket: substring_dedup.repeated_windows(bucket, 35))
+        lengths = sk.with_spans(rows, spans).selectExpr("size(_spans) as n").collect()
+        assert len(lengths) == copies + 1 and max(r.n for r in lengths) <= 10

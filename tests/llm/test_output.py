@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -118,15 +119,36 @@ def test_archives(spark, tmp_path):
     assert not list((tmp_path / "out" / "_attempts").iterdir())
 
 
-def test_archives_are_the_same_each_time(spark, tmp_path):
-    df = spark.createDataFrame(pages(), "page_id long, url string, html string")
-    runs = [sorted(map(tuple, warc.write(df.repartition(n), f"file://{tmp_path}/{n}", shards=1).collect())) for n in (2, 5)]
-    assert runs[0] == runs[1]
+@pytest.mark.parametrize("shards", [1, 3, 5])
+def test_archives_are_the_same_each_time(spark, tmp_path, shards):
+    """However the rows are dealt out: the shards, and the bytes in them."""
+    df = spark.createDataFrame(pages(), "page_id long, url string, html string").withColumns({"_shard": F.lit(9), "_order": F.lit("x")})
+    runs = [sorted(map(tuple, warc.write(df.repartition(n), f"file://{tmp_path}/{n}", shards=shards).collect())) for n in (2, 5, 1)]
+    assert runs[0] == runs[1] == runs[2] and len({row[1] for row in runs[0]}) == shards
     empty = f"file://{tmp_path}/empty"
     warc.write(df.limit(0), empty, shards=2)
     assert warc.read(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("ids", [range(1000), [0] * 500 + list(range(500)), [-(1 << 63), (1 << 63) - 1, *range(7, 400)], [None] * 20, [3]])
+def test_shard_bounds(spark, ids):
+    """About equal numbers of pages, unless one id has more; ids may lie as far apart as they can."""
+    df = spark.createDataFrame([(i,) for i in ids], "page_id long")
+    edges = warc.bounds(df, 4)
+    known = sorted(i for i in ids if i is not None)
+    assert edges == sorted(edges) and len(edges) <= 3
+    sizes = Counter(sum(e <= i for e in edges) for i in known)
+    most = max(Counter(known).values(), default=0)
+    assert max(sizes.values(), default=0) <= len(known) / 4 * 1.1 + most + 1
+
+
+def test_pages_without_an_id_are_spread(spark, tmp_path):
+    df = spark.createDataFrame([(None, "u", f"page {i % 90}") for i in range(300)], "page_id long, url string, html string")
+    manifest = warc.write(df, f"file://{tmp_path}/n", shards=3).collect()
+    assert len({m.shard for m in manifest}) == 3 and sum(m.records for m in manifest) == 300
+    assert Counter(r.record_type for r in warc.read(spark, f"file://{tmp_path}/n").collect()) == {"response": 90, "revisit": 210}
+
+
 def test_broken_archives_are_refused(spark, tmp_path):
     record = warc.page_record(1, "u", b"payload", False, None, 0)
     text = gzip.decompress(record)

@@ -104,7 +104,7 @@ def test_chat_digests(spark):
 @pytest.mark.parametrize("name", sorted(registry.all_sql()))
 def test_sql(spark, sf_dir, name):
     base = duckdb.connect()
-    for table in ("documents", "conversations", "pages"):
+    for table in ("documents", "conversations", "pages", "benchmark"):
         base.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     df = registry.all_queries()[name](spark, sf_dir)
     result = base.execute(registry.all_sql()[name])
@@ -161,6 +161,29 @@ def test_trees_learn_from_labels(spark):
     assert url_filter.judged(df.limit(0)).count() == 0
 
 
+def test_trees_judge_hosts_without_labels(spark):
+    """Half of the hosts give labels; on the others most of what is to be blocked is found, and little else."""
+    df = registry.table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "url")
+    seen = url_filter.F.pmod(url_filter.F.crc32(url_filter.F.col("host").cast("binary")), url_filter.F.lit(2)) == 0
+    truth = url_filter.weak_labels(df)
+    rows = url_filter.judged(df, [], url_filter.F.when(seen, truth)).select(truth.alias("truth"), "verdict").filter(~seen).collect()
+    hits = sum(r.truth and r.verdict == "block" for r in rows)
+    assert sum(r.truth for r in rows) >= 5 and hits >= 0.8 * sum(r.truth for r in rows) and hits >= 0.8 * sum(r.verdict == "block" for r in rows)
+
+
+def test_no_rate_holds_the_label_of_its_host(spark):
+    """All labels of a host turned round change nothing in its own rates."""
+    urls = [(f"http://{h}.example.{t}/{i}", f"{h}.example.{t}", f"/{i}", label) for h, t, label in (("a", "net", 1), ("b", "net", 0), ("c", "org", 1), ("d", "net", 1)) for i in range(5)]
+    rates = []
+    for turn in (0, 1):
+        sample = spark.createDataFrame([(u, h, p, 1 - x if turn and h == "a.example.net" else x) for u, h, p, x in urls], "url string, host string, path string, label int")
+        smoothed = url_filter.with_rates(sample, sample).filter("host = 'a.example.net'").select("rate1", "rate2", "rate3").distinct().collect()
+        overall = sample.agg(url_filter.F.avg("label")).first()[0]
+        assert len(smoothed) == 1 and smoothed[0].rate3 == pytest.approx(overall)
+        rates.append(smoothed[0].rate1 * (10 + url_filter.SMOOTHING) - url_filter.SMOOTHING * overall)
+    assert rates[0] == pytest.approx(rates[1]) == pytest.approx(5)
+
+
 def test_copies_of_a_url_do_not_fill_the_sample(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "TRAINING_ROWS", 40)
     urls = [f"http://{'casino' if i % 2 else 'news'}{i}.example.net/" for i in range(60)]
