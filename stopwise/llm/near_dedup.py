@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from stopwise.llm import vectors as v
 from stopwise.llm.cluster import prepare, stored
 from stopwise.llm.components import components
+from stopwise.session import shuffle_partitions
 
 BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
@@ -243,6 +244,23 @@ def own_name() -> Column:
     return F.struct(F.isnull("doc_id").alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), "_print")
 
 
+def crowded(classes: DataFrame) -> DataFrame:
+    """Sets of so many copies that one would fill half a partition, with the pieces to cut them into; at most twice as many as there are partitions."""
+    partitions = shuffle_partitions(classes.sparkSession)
+    total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first().n
+    many = classes.filter(F.col("copies") * 2 * partitions > total)
+    return many.select("set_key", F.ceil(F.col("copies") * 4 * partitions / max(total, 1)).cast("int").alias("_pieces"))
+
+
+def by_class(rows: DataFrame, final: DataFrame, many: DataFrame) -> DataFrame:
+    """Each row with what is known of its set. The copies of a crowded set go to several tasks by their hash."""
+    piece = F.when(F.col("_pieces").isNotNull(), F.pmod(F.xxhash64("doc_id", "_print"), F.col("_pieces"))).otherwise(0).cast("int")
+    left = rows.join(F.broadcast(many), "set_key", "left").select(*rows.columns, F.struct("set_key", piece.alias("piece")).alias("_part"))
+    pieces = F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)).alias("piece")
+    right = final.join(F.broadcast(many), "set_key", "left").select(*final.columns, pieces).select(F.struct("set_key", "piece").alias("_part"), *[c for c in final.columns if c != "set_key"])
+    return left.join(right, "_part", "left").drop("_part")
+
+
 def near_copies(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> DataFrame:
     """doc_id, _print, n_shingles, component_id and kept of every row."""
     return grouped(docs, size, percent).drop("stays")
@@ -252,7 +270,7 @@ def grouped(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> DataFrame
     """near_copies with `stays`: true for one (doc_id, _print) of each component, whatever its doc_ids are, and for empty sets."""
     prepare(docs.sparkSession)
     rows = stored(sets_of_documents(docs, size), "sets")
-    classes = rows.filter("n > 0").groupBy("set_key").agg(F.first("n").alias("n"), F.min("doc_id").alias("_first"), F.min(own_name()).alias("_from"), F.first("bands").alias("bands"))
+    classes = rows.filter("n > 0").groupBy("set_key").agg(F.first("n").alias("n"), F.min("doc_id").alias("_first"), F.min(own_name()).alias("_from"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     classes = released(classes, "classes")
     banded = classes.select("set_key", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("set_key").alias("center")).filter("size > 1")
@@ -274,6 +292,6 @@ def grouped(docs: DataFrame, size: int = 2, percent: int = PERCENT) -> DataFrame
     linked = labels.join(classes.select(F.col("set_key").alias("node"), "_first", "_from"), "node")
     named = linked.join(linked.groupBy("component").agg(F.min("_first").alias("component_id"), F.min("_from").alias("_least")), "component").select(F.col("node").alias("set_key"), "component_id", "_least")
     final = classes.select("set_key", "_first", "_from").join(named, "set_key", "left").select("set_key", F.coalesce("component_id", "_first").alias("component_id"), F.coalesce("_least", "_from").alias("_least"))
-    out = rows.select("doc_id", "_print", "n", "set_key").join(final, "set_key", "left")
+    out = by_class(rows.select("doc_id", "_print", "n", "set_key"), final, crowded(classes))
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "_print", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), ((F.col("n") == 0) | (own_name() == F.col("_least"))).alias("stays"))

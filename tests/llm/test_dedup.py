@@ -167,3 +167,16 @@ def test_copies_of_a_row_do_not_multiply_its_spans(spark):
         spans = sk.repeated_spans(sk.pack(keyed, plan, sk.frequent_grams(keyed, plan)), lambda bucket: substring_dedup.repeated_windows(bucket, 35))
         lengths = sk.with_spans(rows, spans).selectExpr("size(_spans) as n").collect()
         assert len(lengths) == copies + 1 and max(r.n for r in lengths) <= 10
+
+
+def test_copies_of_a_crowded_set_go_to_several_tasks(spark):
+    rows = [(i, "one text that a third of all rows hold") for i in range(300)] + [(1000 + i, f"other text number {i} with words of its own {i}") for i in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    sets = near_dedup.sets_of_documents(df, 2)
+    classes = sets.groupBy("set_key").agg(near_dedup.F.count("*").alias("copies"))
+    many = near_dedup.crowded(classes).collect()
+    assert len(many) == 1 and many[0]._pieces >= 4
+    got = {r.doc_id: r for r in near_dedup.near_copies(df).collect()}
+    label = helpers.groups(rows[:1] + rows[300:340], 2)
+    assert {got[i].component_id for i in range(300)} == {0} and [i for i in range(300) if got[i].kept] == [0]
+    assert all(got[k].component_id == v for k, v in label.items()) and len(got) == 900

@@ -259,3 +259,20 @@ def test_pipeline_with_nulls_and_extra_columns(spark, tmp_path):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept"]
     # The null id and its longer text are near copies of 1; of the repeated row one is left.
     assert [(r.doc_id, r.kept) for r in docs.collect()] == [(1, "x")]
+
+
+def test_every_stage_keeps_columns_with_clashing_names(spark, tmp_path):
+    """Names that the operators use themselves, as the input's own columns."""
+    names = ["_id", "_print", "_text", "_host", "_hash", "_spans", "_row", "row", "n", "set_key", "kept", "kept_text", "n_words"]
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(90))
+    shared = text()
+    bodies = [text() for _ in range(6)] + [f"{text()} {shared}", f"{text()} {shared}"]
+    rows = [(i, body, "en", "s", len(body), *[f"{name}-{i}" for name in names]) for i, body in enumerate(bodies)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    spark.createDataFrame([(0, bodies[5])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)), name)
+        assert all(r[n] == f"{n}-{r.doc_id}" for r in docs.collect() for n in names), name
+    assert {r.doc_id for r in docs.collect()} == {0, 1, 2, 3, 4, 6, 7}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0
