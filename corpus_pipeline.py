@@ -30,9 +30,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one document stays: that with the smallest doc_id, and of several such the one with the least hash."""
-    keys = {"_id": F.coalesce("doc_id", F.lit(0)).cast("long"), "_print": F.xxhash64("doc_id", "text")}
     gone = near_dedup.grouped(docs.select("doc_id", "text"), size=SHINGLE).filter("NOT stays").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), "_print").distinct()
-    return docs.withColumns(keys).join(gone, ["_id", "_print"], "left_anti").dropDuplicates(["_id", "_print"]).select(docs.columns)
+    # The input's own columns travel in a struct, whatever they are called.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"], F.lit(0)).cast("long").alias("_id"), F.xxhash64(docs["doc_id"], docs["text"]).alias("_print"))
+    return rows.join(gone, ["_id", "_print"], "left_anti").dropDuplicates(["_id", "_print"]).select("row.*")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
