@@ -31,8 +31,6 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -162,11 +160,14 @@ def write(pages: DataFrame, folder: str, shards: int | None = None, roll: int =
     spark = pages.sparkSession
     prepare(spark)
     shards = shards or shuffle_partitions(spark)
-    edges = np.array(bounds(pages, shards), np.int64)
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64), "right").astype(np.int32))
+    edges = bounds(pages, shards)
+
+    def range_of(order: Column, low: int = 0, high: int = len(edges)) -> Column:
+        """The number of edges at or below an id, by halving."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(order < edges[middle], range_of(order, low, middle)).otherwise(range_of(order, middle + 1, high))
 
     def placed(df: DataFrame, digest: Column, *more: Column) -> DataFrame:
         null = F.col("page_id").isNull()

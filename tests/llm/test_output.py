@@ -3,8 +3,10 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -177,12 +179,109 @@ def test_decontamination(spark):
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows) and decontaminate.matches(docs.limit(0), bench).count() == 0
 
 
+def index_of(items):
+    """An index of (id, text) rows, with counts over just these."""
+    words = decontaminate.cut([t for _, t in items])
+    hashes, found = words.hashes(), []
+    for (key, text), a, z in zip(items, words.first[:-1], words.first[1:]):
+        terms, counts = np.unique(hashes[a:z], return_counts=True)
+        found.append(decontaminate.Item(key, text, int(z - a), terms, counts.astype(float), terms))
+    often = Counter(t for x in found for t in x.terms.tolist())
+    for x in found:
+        x.frequency = np.array([often[t] for t in x.terms.tolist()], float)
+    return decontaminate.build(found, len(found), len(hashes) / len(found))
+
+
+PLAIN_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_matches(docs, items):
+    """Every item with every passage of every document, scored and verified in plain Python."""
+    cut = lambda t: PLAIN_WORD.findall(t.lower())
+    shingles = lambda w: {tuple(w[i : i + k]) for k in [min(4, len(w))] if k for i in range(len(w) - k + 1)}
+    overlap = lambda wanted, held: len(wanted & held) / len(wanted) if wanted else 1.0
+    items = [(k, t, cut(t)) for k, t in {(k, t) for k, t in items if t} if cut(t)]
+    often = Counter(w for _, _, own in items for w in set(own))
+    mean = sum(len(own) for _, _, own in items) / max(len(items), 1)
+    found = Counter()
+    for doc, text in docs:
+        words = cut(text or "")
+        for key, whole, own in items:
+            counts = Counter(own)
+            part = {w: math.log(1 + (len(items) - often[w] + 0.5) / (often[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w, c in counts.items()}
+            size = 128
+            while size < 2 * len(own):
+                size *= 2
+            ends = list(decontaminate.SENTENCE.finditer(whole.strip()))
+            at = ends[-1].end() if ends else len(whole.strip())
+            question, answer = cut(whole.strip()[:at]), cut(whole.strip()[at:])
+            for start in range(0, max(len(words) - size // 2, 1) if words else 0, size // 2):
+                passage = words[start : start + size]
+                held = {tuple(passage[i : i + k]) for k in (1, 2, 3, 4) for i in range(len(passage) - k + 1)}
+                if sum(part[w] for w in counts.keys() & set(passage)) < 0.5 * sum(part.values()) - 1e-9:
+                    continue
+                fits = overlap(shingles(question), held) >= 0.6 and overlap(shingles(answer), held) >= 0.6
+                if fits or 0 < len(answer) < 8 and overlap(shingles(own), held) >= 0.6:
+                    found[doc, key] += 1
+    return found
+
+
+def decontamination_case(seed):
+    rng = random.Random(seed)
+    words = [f"w{min(int(rng.paretovariate(0.7)), 400)}" for _ in range(4000)]
+    some = lambda n: " ".join(rng.choices(words, k=n))
+    items = [(i, f"{some(rng.randint(1, 30))}? {some(rng.randint(1, 12))}.") for i in range(60)] + [(60, some(180)), (61, None), (62, ""), (63, "?!"), (3, "same id"), (None, some(20)), (64, some(25)), (65, "w1 w1 w1")]
+    items.append(items[5])
+    docs = []
+    for d in range(60):
+        body = [some(rng.randint(0, 150))]
+        for _, text in rng.sample(items, 2):
+            own = (text or "").split()
+            for _ in range(rng.choice([0, 0, 1, 4])):
+                if own:
+                    own[rng.randrange(len(own))] = "edit"
+            body += [" ".join(own), some(rng.randint(0, 90))]
+        docs.append((d, " ".join(body)))
+    return docs + [(100, None), (101, ""), (1, docs[1][1])], items
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_decontamination_against_every_item_and_passage(spark, monkeypatch, seed):
+    docs, items = decontamination_case(seed)
+    want = plain_matches(docs, items)
+    df, bench = spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    assert len(want) > 40
+    runs = []
+    for size, pairs in ((1 << 20, 1 << 21), (600, 50)):  # blocks and slices change nothing
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+        assert (len(decontaminate.indexes_of(bench)) > 3) == (size == 600)
+        rows = decontaminate.matches(df, bench).collect()
+        assert {(r.doc_id, r.item_id): r.n_passages for r in rows} == want
+        runs.append(sorted((r.doc_id, r.item_id or -1, r.begin, r.end, round(r.score, 9)) for r in rows))
+    assert runs[0] == runs[1]
+
+
+def test_many_items_cost_little_more_than_few():
+    """Random items by the law of Zipf: the filter leaves few passages to query, whatever the number of items."""
+    rng = np.random.default_rng(0)
+    text = lambda n: " ".join(f"z{w}" for w in np.minimum(rng.zipf(1.3, n), 20_000))
+    batch = decontaminate.pa.record_batch([decontaminate.pa.array([text(400) for _ in range(40)])], ["text"])
+    took = []
+    for many in (50, 1000):
+        index = index_of([(i, text(40)) for i in range(many)])
+        start = time.perf_counter()
+        decontaminate.matches_of(batch, index)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 20 * took[0] + 2
+
+
 def test_edits_in_short_answers():
     rng = random.Random(6)
     filler = lambda n: " ".join(f"f{rng.randrange(5000)}" for _ in range(n))
     question = "Which of the old harbour towns on the northern coast was the first one to build a stone light house?"
     items = [(0, f"{question} It was red Falmar."), (1, f"{filler(12)}? Yes."), (2, f"{filler(14)}. It is made of forty thousand iron nails, they say.")]
-    index = decontaminate.build(items)
+    index = index_of(items)
     texts = [f"{filler(90)} {question} It was blue Falmar. {filler(60)}", f"{question} It was Falmar.", items[1][1].replace("Yes", "No"), items[2][1].split(".")[0], "Which of the old harbour towns? It was red Falmar.", filler(200), items[0][1]]
     batch = decontaminate.pa.record_batch([decontaminate.pa.array(texts)], ["text"])
     # A long answer must be there itself; a few words of the question are not enough.
@@ -195,7 +294,7 @@ def test_search_finds_what_scoring_all_items_finds(seed, monkeypatch):
     monkeypatch.setattr(decontaminate, "POSTINGS", 3)
     vocabulary = [f"t{i}" for i in range(60)]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(1, 12)))) for i in range(120)]
-    index = decontaminate.build(items)
+    index = index_of(items)
     for _ in range(60):
         terms = sorted(rng.sample(range(len(index.terms)), rng.randint(1, 25)))
         scores = defaultdict(float)
@@ -208,7 +307,7 @@ def test_search_finds_what_scoring_all_items_finds(seed, monkeypatch):
 
 
 def test_items_in_several_indexes(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
     items = [(i, " ".join(f"i{i}w{k}" for k in range(12))) for i in range(5)]
     docs = spark.createDataFrame([(i, f"pad pad {t} pad") for i, t in items] + [(9, "clean text")], DOCS)
     bench = spark.createDataFrame(items, "item_id long, text string")
