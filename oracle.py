@@ -225,6 +225,7 @@ block("ranges", "", listed(TIME_RANGES, "range_no", "time_range"))
 R2 = f"""CASE WHEN var_pop({T}) = 0 THEN CASE WHEN SUM(residual * residual) = 0 THEN 1.0 ELSE 0.0 END
          ELSE 1 - SUM(residual * residual) / (var_pop({T}) * COUNT(*)) END"""
 METRICS = f"sqrt(AVG(residual * residual)) AS rmse, AVG(abs_error) AS mae, {R2} AS r2"
+METRICS_LIST = ["sqrt(AVG(residual * residual)) AS rmse", "AVG(abs_error) AS mae", f"{R2} AS r2"]
 block("by_split", "errors", f"SELECT split, COUNT(*) AS row_count, {METRICS} FROM errors GROUP BY split")
 block(
     "by_range",
@@ -452,6 +453,30 @@ def _drift() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _distance() -> str:
+    parts = []
+    for name in FEATURES:
+        value = f"CAST({name} AS DOUBLE)"
+        parts.append(
+            f"""SELECT '{name}' AS feature, MAX(gap) AS gap_, arg_min(v, (-gap, v)) AS v_, MAX(na) AS na, MAX(nb) AS nb FROM (
+                  SELECT v, abs(SUM(a) OVER w / SUM(a) OVER () - SUM(b) OVER w / SUM(b) OVER ()) AS gap, SUM(a) OVER () AS na, SUM(b) OVER () AS nb
+                  FROM (SELECT v, SUM(a) AS a, SUM(b) AS b FROM (SELECT {value} AS v, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM processed UNION ALL
+                        SELECT {value}, 0.0, 1.0 FROM scored) WHERE v IS NOT NULL GROUP BY v) WINDOW w AS (ORDER BY v))"""
+        )
+    return f"""SELECT feature, {r('gap_', 6)} AS distance, {r('v_', 6)} AS value, CAST(na AS BIGINT) AS training_count, CAST(nb AS BIGINT) AS recent_count
+               FROM ({' UNION ALL '.join(parts)}) WHERE na + nb > 0"""
+
+
+def _hexagons() -> str:
+    return f"""WITH placed AS (SELECT *, ({T} - xl) / xw AS ix, (predicted - yl) / yw AS iy FROM errors CROSS JOIN (
+                 SELECT MIN({T}) AS xl, COALESCE(NULLIF(MAX({T}) - MIN({T}), 0), 1) / 50 AS xw, MIN(predicted) AS yl,
+                        COALESCE(NULLIF(MAX(predicted) - MIN(predicted), 0), 1) / 28 AS yw FROM errors)),
+               near AS (SELECT *, pow(ix - floor(ix + 0.5), 2) + 3 * pow(iy - floor(iy + 0.5), 2) <= pow(ix - floor(ix) - 0.5, 2) + 3 * pow(iy - floor(iy) - 0.5, 2) AS first FROM placed),
+               halves AS (SELECT xl, xw, yl, yw, CAST(CASE WHEN first THEN 2 * floor(ix + 0.5) ELSE 2 * floor(ix) + 1 END AS BIGINT) AS x_half,
+                                 CAST(CASE WHEN first THEN 2 * floor(iy + 0.5) ELSE 2 * floor(iy) + 1 END AS BIGINT) AS y_half FROM near)
+               SELECT x_half, y_half, {r('MAX(xl + x_half * (xw / 2))')} AS x_centre, {r('MAX(yl + y_half * (yw / 2))')} AS y_centre, COUNT(*) AS count FROM halves GROUP BY x_half, y_half"""
+
+
 def _values(pairs: list[tuple[str, str]]) -> str:
     return ", ".join(f"({a}, {b})" for a, b in pairs)
 
@@ -689,6 +714,7 @@ def all_sql() -> dict[str, str]:
         f"""SELECT {r('value')} AS value, count, upto, {r('share * 100')} AS cumulative
             FROM ({ecdf.format(value='abs_error', source='errors')})""",
     )
+    sql["hexagon_density"] = query("errors", f"SELECT * FROM ({_hexagons()})")
     sql["density_grid"] = query(
         "errors",
         f"""SELECT {_bucket(T, 'xl', 'xh', 50)} AS {T}_cell, {_bucket('predicted', 'yl', 'yh', 50)} AS predicted_cell, COUNT(*) AS count
@@ -832,6 +858,16 @@ def all_sql() -> dict[str, str]:
         f"""SELECT model_version, COUNT(*) AS row_count, {r('sqrt(AVG(residual * residual))')} AS rmse, {r('AVG(abs(residual))')} AS mae, {r(R2)} AS r2
             FROM (SELECT *, {T} - predicted AS residual FROM as_of WHERE {T} > 0 AND predicted IS NOT NULL) GROUP BY model_version""",
     )
+    sql["feature_distance"] = query("processed scored", _distance())
+    sql["cross_validate_rule"] = query(
+        "processed",
+        f"""SELECT fold, COUNT(*) AS row_count, {", ".join(f"{r(v.rsplit(' AS ', 1)[0])} AS {v.rsplit(' AS ', 1)[1]}" for v in METRICS_LIST)} FROM (
+              SELECT e.*, {T} - predicted AS residual, abs({T} - predicted) AS abs_error FROM (
+                SELECT p.fold, p.{T}, COALESCE((SELECT AVG(q.{T}) FROM folded q WHERE q.fold <> p.fold AND q.floor = p.floor AND q.has_elevator = p.has_elevator),
+                       (SELECT AVG(q.{T}) FROM folded q WHERE q.fold <> p.fold)) AS predicted FROM folded p) e) GROUP BY fold""".replace(
+            " folded ", " (SELECT *, CAST(CAST('0x' || substr(md5('fold-42:' || web_order_id), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold FROM processed) "
+        ),
+    )
     sql["feature_drift"] = query("processed scored", _drift())
     sql["run_metrics"] = query(
         "by_split",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -91,6 +92,32 @@ def density_grid(df: DataFrame, x: str, y: str, cells: int = 50) -> DataFrame:
     return known.groupBy(*cell).agg(F.count(F.lit(1)).alias("count"))
 
 
+def hexagon_density(df: DataFrame, x: str, y: str, across: int = 50) -> DataFrame:
+    """Rows per occupied hexagon: `across` hexagons side by side over the range of x, and as many rows as keep them regular.
+
+    The centres form two lattices, the second shifted by half a cell both ways. Of the nearest
+    centre in each the nearer one takes the row, the first if both are equally near; halves
+    round up. A range of one value counts as one unit wide.
+    """
+    up = int(across / math.sqrt(3))
+    known = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+    span = known.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("x", "y") for f in (F.min, F.max)]).first()
+    cell = {}
+    for c, many in (("x", across), ("y", up)):
+        low, high = (span[f"min_{c}"], span[f"max_{c}"]) if span[f"min_{c}"] is not None else (0.0, 1.0)
+        cell[c] = low, ((high - low) or 1.0) / many
+    at = {c: (F.col(c) - F.lit(low)) / F.lit(width) for c, (low, width) in cell.items()}
+    near = {c: F.floor(v + 0.5) for c, v in at.items()}
+    shifted = {c: F.floor(v) for c, v in at.items()}
+    away = F.pow(at["x"] - near["x"], F.lit(2)) + 3 * F.pow(at["y"] - near["y"], F.lit(2))
+    away_shifted = F.pow(at["x"] - shifted["x"] - 0.5, F.lit(2)) + 3 * F.pow(at["y"] - shifted["y"] - 0.5, F.lit(2))
+    first = away <= away_shifted
+    halves = {c: F.when(first, 2 * near[c]).otherwise(2 * shifted[c] + 1).cast("long").alias(f"{c}_half") for c in ("x", "y")}
+    counts = known.select(*halves.values()).groupBy("x_half", "y_half").agg(F.count(F.lit(1)).alias("count"))
+    centre = [(F.lit(low) + F.col(f"{c}_half") * F.lit(width / 2)).alias(f"{c}_centre") for c, (low, width) in cell.items()]
+    return counts.select("x_half", "y_half", *centre, "count")
+
+
 def qq_points(df: DataFrame, column: str) -> DataFrame:
     """Every value with its rank and the normal quantile at Filliben's plotting position.
 

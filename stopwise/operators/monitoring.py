@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stopwise.config import FEATURES, TARGET
-from stopwise.functions.bins import histogram_bin
+from stopwise.functions.bins import histogram_bin, magnitude_bin
 from stopwise.operators.clean import keep_positive_target
 from stopwise.operators.evaluate import add_errors, metrics_by
+from stopwise.operators.quantiles import FINE_PER_OCTAVE
 from stopwise.operators.skew import HotKeys, lookup_join
 
 
@@ -91,6 +92,43 @@ def feature_drift(
     return shares.groupBy("feature").agg(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p"))).alias("psi"))
 
 
+def distribution_distance(training: DataFrame, recent: DataFrame, names: Sequence[str] = tuple(FEATURES)) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov distance of each feature, and the smallest value where the gap is widest.
+
+    Both samples become one table of different values with two counts each. Shares up to a value are
+    running sums over three levels, coarse bins, fine bins and values, so that no task orders more than
+    one bin; equal values of both samples are one row. Unknown values are left out; a
+    feature that one sample lacks has no distance.
+    """
+
+    def values(df: DataFrame, own: int) -> DataFrame:
+        entries = F.array(*[F.struct(F.lit(name).alias("feature"), F.col(name).cast("double").alias("value")) for name in names])
+        known = df.select(F.explode(entries).alias("entry")).select("entry.*").filter(F.col("value").isNotNull() & ~F.isnan("value"))
+        return known.select("feature", "value", F.lit(1 - own).alias("a"), F.lit(own).alias("b"))
+
+    both = values(training, 0).unionByName(values(recent, 1))
+    bins = {"coarse": magnitude_bin(F.col("value")), "fine": magnitude_bin(F.col("value"), FINE_PER_OCTAVE)}
+    sums = [F.sum("a").alias("a"), F.sum("b").alias("b")]
+    counts = both.withColumns(bins).groupBy("feature", "coarse", "fine", "value").agg(*sums)
+
+    def before(rows: DataFrame, part: list[str], order: str) -> DataFrame:
+        """Adds how many of each sample lie in earlier rows of the part."""
+        window = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(window), F.lit(0)) for c in ("a", "b")})
+
+    coarse = before(counts.groupBy("feature", "coarse").agg(*sums), ["feature"], "coarse")
+    totals = coarse.groupBy("feature").agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
+    coarse = coarse.join(F.broadcast(totals), "feature").select("feature", "coarse", F.col("a_before").alias("a_coarse"), F.col("b_before").alias("b_coarse"), "all_a", "all_b")
+    fine = before(counts.groupBy("feature", "coarse", "fine").agg(*sums), ["feature", "coarse"], "fine").join(coarse, ["feature", "coarse"])
+    fine = fine.select("feature", "fine", *[(F.col(f"{c}_before") + F.col(f"{c}_coarse")).alias(f"{c}_fine") for c in ("a", "b")], "all_a", "all_b")
+    placed = before(counts, ["feature", "fine"], "value").join(fine, ["feature", "fine"])
+    upto = {c: F.col(f"{c}_fine") + F.col(f"{c}_before") + F.col(c) for c in ("a", "b")}
+    gap = F.abs(F.try_divide(upto["a"], F.col("all_a")) - F.try_divide(upto["b"], F.col("all_b")))
+    return placed.withColumn("gap", gap).groupBy("feature").agg(
+        F.max("gap").alias("distance"), F.max_by("value", F.struct("gap", -F.col("value"))).alias("value"), F.max("all_a").alias("training_count"), F.max("all_b").alias("recent_count")
+    )
+
+
 def as_of(visits: DataFrame, predictions: DataFrame, visit_time: str, hot: HotKeys | None = None) -> DataFrame:
     """Every visit with the order's last prediction at or before it, or nulls: `predicted`, `model_version`, `predicted_at`.
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stopwise.config import CORRELATED, FEATURES, TARGET, WEEKDAYS, LearnerParams, Settings
 from stopwise.operators import clean, distribution, evaluate, features, joins, logs, models, monitoring, profile, scoring, split, stats
 from stopwise.operators.articles import aggregate_articles
-from stopwise.operators.baseline import RuleModel, fit_rule
+from stopwise.operators.baseline import RuleModel, cross_validated, fit_rule
 from stopwise.operators.quantiles import exact_quantiles
 from stopwise.operators.skew import find_hot_keys
 from stopwise.plans import training
@@ -456,6 +456,10 @@ def density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distribution.density_grid(_errors(spark, sf_dir), TARGET, "predicted")
 
 
+def hexagon_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(distribution.hexagon_density(_errors(spark, sf_dir), TARGET, "predicted"), "x_centre", "y_centre")
+
+
 def _qq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distribution.qq_points(_errors(spark, sf_dir), "residual")
 
@@ -503,6 +507,12 @@ def combined_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select([F.round(F.col("metrics")[name], 4).alias(name) for name in names])
 
 
+def cross_validate_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of the rule on each fold when fitted on the others."""
+    checked = evaluate.add_errors(cross_validated(_stored(spark, sf_dir)))
+    return _rounded(evaluate.metrics_by(checked, "fold"), "rmse", "mae", "r2")
+
+
 def model_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = _by_split(spark, sf_dir).select("split", "r2", evaluate.rating(F.col("r2")).alias("rating"))
     return _rounded(rated, "r2")
@@ -729,6 +739,12 @@ def feature_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(monitoring.feature_drift(_stored(spark, sf_dir), logs.parse_features(entries)), "psi")
 
 
+def feature_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the logged features have moved from those trained on, without bins."""
+    entries = logs.parse_features(logs.read(spark, _written_logs(spark, sf_dir)[0], FEATURE_LOGS))
+    return _rounded(monitoring.distribution_distance(_stored(spark, sf_dir), entries), "distance", "value", digits=6)
+
+
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule model's run: recorded, read back, metrics split by part."""
 
@@ -783,6 +799,13 @@ def train_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.metrics_by(evaluate.add_errors(models.predict(data, model)), "split")
 
 
+def cross_validate_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean error over the folds for each depth of a small ensemble."""
+    depths = (2, 4)
+    found = models.cross_validate(_stored(spark, sf_dir), params=LearnerParams(trees=5), depths=depths)
+    return spark.createDataFrame(list(zip(depths, map(float, found.avgMetrics))), "depth int, rmse double")
+
+
 def top_feature_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors by the six features that the trained model ranks first."""
     ranked = feature_importance(spark, sf_dir).orderBy(F.desc("importance"), "feature").limit(6).collect()
@@ -889,14 +912,14 @@ def all_queries() -> dict[str, Query]:
         floor_elevator_mean, value_counts, top_floors, weight_class_stats,
         correlation_matrix, target_correlations, top_correlations, top5_correlations, target_by_measure, eda_summary,
         target_hist, log_target_hist, inlier_target_hist, residual_hist, boxplot_target, boxplot_error_by_range,
-        target_ecdf, error_ecdf, density_grid, qq_residuals, qq_line,
-        split_counts, split_rows, sample_5pct, residuals, evaluate_by_split, combined_metrics, model_rating,
+        target_ecdf, error_ecdf, density_grid, hexagon_density, qq_residuals, qq_line,
+        split_counts, split_rows, sample_5pct, residuals, evaluate_by_split, combined_metrics, cross_validate_rule, model_rating,
         mae_by_range, count_by_range, r2_by_range, feature_vs_error, residuals_by_prediction,
         error_percentiles, evaluation_summary,
         first_per_order, first_per_order_hot, feature_lookup, order_features, lookup_rejects, score_batch_rule, batch_response,
         feature_log_rows, prediction_log_rows, log_of_orders, get_features, get_predictions, prediction_statistics,
-        log_retention, compare_versions, monitor_accuracy, predictions_as_of, accuracy_as_of, feature_drift, run_metrics,
-        train_gbt, train_rf, feature_importance, top_feature_errors, model_metrics, model_registry, score_batch,
+        log_retention, compare_versions, monitor_accuracy, predictions_as_of, accuracy_as_of, feature_drift, feature_distance, run_metrics,
+        train_gbt, train_rf, cross_validate_trees, feature_importance, top_feature_errors, model_metrics, model_registry, score_batch,
         stream_scores, stream_statistics, stream_windows,
     ]
     named: dict[str, Query] = {

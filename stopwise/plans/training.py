@@ -56,7 +56,7 @@ def train(
     at: datetime.datetime | None = None,
     prepared: tuple[DataFrame, list[str]] | None = None,
 ) -> Trained:
-    """Fit, evaluate and save a model; `prepared` is what an earlier `prepare` gave, if there was one."""
+    """Fit, evaluate and save a model, then publish it; `prepared` is what an earlier `prepare` gave, if there was one."""
     at = at or datetime.datetime.now()
     data, names = prepared or prepare(spark, settings, tables)
     model = fit(data.filter(F.col("split") == "train"), create_model(settings.model_type, settings.learner, names))
@@ -64,12 +64,13 @@ def train(
     importance = feature_importance(data, model)
     version = artifacts.new_version(settings.model_type, at)
     artifacts.save_model(model, settings.model_dir, version)
-    artifacts.write_importance(importance, settings.model_dir)
+    artifacts.write_importance(importance, settings.model_dir, version)
     params = {name: str(value) for name, value in asdict(settings.learner).items()}
     params |= {"n_features": str(len(names)), "random_state": str(settings.seed)}
     artifacts.write_run(
         spark, settings.model_dir, version, settings.model_type, at, names, metrics, params, samples
     )
+    artifacts.publish(spark, settings.model_dir, version)
     return Trained(version, model, metrics, names, importance)
 
 

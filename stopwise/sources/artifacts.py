@@ -1,8 +1,14 @@
-"""Model artefacts: versions, run metadata, metrics, feature importance."""
+"""Model artefacts: versions, run metadata, metrics, feature importance.
+
+What a training run writes stands under its version and is seen by nobody until `publish`
+renames one small file, `current`, that names the version; `latest` means what it names. So a run that
+fails half way changes nothing for readers, and they never see parts of two runs.
+"""
 
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,7 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from stopwise.sources.schemas import RUNS
 from stopwise.sources.tables import exists
 
-_LOADED: dict[tuple[str, str], PipelineModel] = {}
+LATEST = "latest"
+
+# By folder and asked version: the version that was meant, and its model.
+_LOADED: dict[tuple[str, str], tuple[str, PipelineModel]] = {}
 
 
 def new_version(model_type: str, at: datetime.datetime) -> str:
@@ -21,35 +30,54 @@ def model_path(model_dir: str, version: str) -> str:
     return f"{model_dir.rstrip('/')}/model_{version}"
 
 
+def publish(spark: SparkSession, model_dir: str, version: str) -> None:
+    """Make a version the latest one, in a single rename."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    pointer = hadoop.Path(f"{model_dir.rstrip('/')}/current")
+    draft = hadoop.Path(f"{model_dir.rstrip('/')}/_current-{uuid.uuid4().hex}")
+    out = pointer.getFileSystem(conf).create(draft, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    overwrite[0] = hadoop.Options.Rename.OVERWRITE
+    files = hadoop.FileContext.getFileContext(pointer.getFileSystem(conf).getUri(), conf)
+    files.rename(files.makeQualified(draft), files.makeQualified(pointer), overwrite)
+
+
+def current(spark: SparkSession, model_dir: str) -> str | None:
+    """The published version, if there is one."""
+    path = f"{model_dir.rstrip('/')}/current"
+    return spark.read.text(path).first()[0] if exists(spark, path) else None
+
+
 def save_model(model: PipelineModel, model_dir: str, version: str) -> str:
-    """Under its version and as `latest`."""
     path = model_path(model_dir, version)
     model.write().overwrite().save(path)
-    model.write().overwrite().save(model_path(model_dir, "latest"))
-    _LOADED.pop((model_dir, "latest"), None)
     return path
 
 
-def load_model(spark: SparkSession, model_dir: str, version: str = "latest") -> PipelineModel:
-    """By version, once per driver process."""
+def load_model(spark: SparkSession, model_dir: str, version: str = LATEST) -> PipelineModel:
+    """By version, once per driver process; the latest one anew when another is published."""
+    meant = (current(spark, model_dir) or LATEST) if version == LATEST else version
     key = (model_dir, version)
-    if key not in _LOADED:
-        path = model_path(model_dir, version)
+    if key not in _LOADED or _LOADED[key][0] != meant:
+        path = model_path(model_dir, meant)
         if not exists(spark, path):
             raise FileNotFoundError(f"no model at {path}")
-        _LOADED[key] = PipelineModel.load(path)
-    return _LOADED[key]
+        _LOADED[key] = meant, PipelineModel.load(path)
+    return _LOADED[key][1]
 
 
 def list_models(spark: SparkSession, model_dir: str) -> DataFrame:
-    """Version, path, and whether this process has it loaded; one row per saved model."""
+    """Version, path, and whether this process has it loaded: one row per saved model, and `latest` for the published one."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     pattern = hadoop.Path(f"{model_dir.rstrip('/')}/model_*")
     found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
-    rows = []
-    for entry in found:
-        version = entry.getPath().getName().removeprefix("model_")
-        rows.append((version, entry.getPath().toString(), (model_dir, version) in _LOADED))
+    paths = {entry.getPath().getName().removeprefix("model_"): entry.getPath().toString() for entry in found}
+    published = current(spark, model_dir)
+    if published in paths:
+        paths[LATEST] = paths[published]
+    rows = [(version, path, (model_dir, version) in _LOADED) for version, path in paths.items()]
     return spark.createDataFrame(rows, "version string, path string, loaded boolean")
 
 
@@ -64,27 +92,32 @@ def write_run(
     params: dict[str, str],
     samples: dict[str, int],
 ) -> None:
-    """One JSON row per training run."""
+    """One JSON row per training run; the same version again replaces its own."""
     row = (version, model_type, at, model_path(model_dir, version), feature_names, metrics, params, samples)
-    spark.createDataFrame([row], RUNS).coalesce(1).write.mode("append").json(f"{model_dir.rstrip('/')}/runs")
+    spark.createDataFrame([row], RUNS).coalesce(1).write.mode("overwrite").json(f"{model_dir.rstrip('/')}/runs/{version}")
 
 
 def read_runs(spark: SparkSession, model_dir: str) -> DataFrame:
     path = f"{model_dir.rstrip('/')}/runs"
     if not exists(spark, path):
         return spark.createDataFrame([], RUNS)
-    return spark.read.schema(RUNS).json(path)
+    return spark.read.schema(RUNS).option("recursiveFileLookup", True).json(path)
+
+
+def _importance_path(model_dir: str, version: str) -> str:
+    return f"{model_dir.rstrip('/')}/feature_importance/{version}"
 
 
-def write_importance(importance: DataFrame, model_dir: str) -> None:
+def write_importance(importance: DataFrame, model_dir: str, version: str) -> None:
     """Two-column CSV, strongest first; one row per feature, hence one file."""
     ordered = importance.coalesce(1).sortWithinPartitions(F.desc("importance"), "feature")
-    ordered.write.mode("overwrite").option("header", True).csv(f"{model_dir.rstrip('/')}/feature_importance")
+    ordered.write.mode("overwrite").option("header", True).csv(_importance_path(model_dir, version))
 
 
-def read_importance(spark: SparkSession, model_dir: str) -> DataFrame:
-    path = f"{model_dir.rstrip('/')}/feature_importance"
+def read_importance(spark: SparkSession, model_dir: str, version: str = LATEST) -> DataFrame:
+    meant = current(spark, model_dir) if version == LATEST else version
     schema = "feature string, importance double"
+    path = _importance_path(model_dir, meant or LATEST)
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("header", True).csv(path).orderBy(F.desc("importance"), "feature")
@@ -97,13 +130,14 @@ def _part(prefix: str) -> Column:
 
 
 def model_metrics(spark: SparkSession, model_dir: str, version: str = "latest") -> DataFrame:
-    """The newest or a named run, its metrics by part and the stored importance.
+    """The published, a named or, where none is published, the newest run: metrics by part and importance.
 
     Raises LookupError where there is no such run.
     """
     runs = read_runs(spark, model_dir)
-    if version != "latest":
-        runs = runs.filter(F.col("version") == version)
+    meant = current(spark, model_dir) if version == LATEST else version
+    if meant:
+        runs = runs.filter(F.col("version") == meant)
     chosen = runs.orderBy(F.desc("timestamp"), F.desc("version")).limit(1)
     row = chosen.select(
         F.col("version").alias("model_version"),
@@ -117,5 +151,5 @@ def model_metrics(spark: SparkSession, model_dir: str, version: str = "latest")
         raise LookupError(f"no run {version} in {model_dir}")
     listed = F.sort_array(F.collect_list(F.struct("importance", "feature")), asc=False)
     strongest_first = F.transform(listed, lambda entry: F.struct(entry["feature"], entry["importance"]))
-    importance = read_importance(spark, model_dir).agg(strongest_first.alias("feature_importance"))
+    importance = read_importance(spark, model_dir, version).agg(strongest_first.alias("feature_importance"))
     return row.withColumn("feature_importance", importance.scalar())

@@ -95,3 +95,32 @@ def test_cross_validation(spark, run):
     settings, _, _ = run
     search = models.cross_validate(load_processed(spark, settings), params=LearnerParams(trees=2), depths=(1, 3), folds=2)
     assert len(search.avgMetrics) == 2 and search.avgMetrics[1] < search.avgMetrics[0]
+
+
+@pytest.mark.parametrize("broken", ["write_importance", "write_run", "publish"])
+def test_a_run_that_fails_changes_nothing_for_readers(spark, run, tmp_path, monkeypatch, broken):
+    settings, _, trained = run
+    data = training.with_split(load_processed(spark, settings))
+    own = Settings(model_dir=str(tmp_path / broken), learner=LearnerParams(trees=1))
+    first = training.train(spark, own, at=datetime.datetime(2024, 5, 1), prepared=(data, trained.feature_names))
+
+    def fail(*_):
+        raise OSError("lost")
+
+    def seen():
+        model = artifacts.load_model(spark, own.model_dir)
+        row = artifacts.model_metrics(spark, own.model_dir).first()
+        return model, row["model_version"], row["test_metrics"], row["feature_importance"], artifacts.read_importance(spark, own.model_dir).collect()
+
+    before = seen()
+    other = Settings(model_dir=own.model_dir, learner=LearnerParams(trees=2, learning_rate=0.5))
+    with monkeypatch.context() as patch:
+        patch.setattr(artifacts, broken, fail)
+        with pytest.raises(OSError):
+            training.train(spark, other, at=datetime.datetime(2024, 6, 1), prepared=(data, trained.feature_names))
+    assert seen() == before and before[1] == first.version
+    second = training.train(spark, other, at=datetime.datetime(2024, 6, 1), prepared=(data, trained.feature_names))
+    after = seen()
+    assert after[1] == second.version and after[0] is not before[0] and len(after[3]) == 16
+    assert {r["version"] for r in artifacts.list_models(spark, own.model_dir).collect()} == {"latest", first.version, second.version}
+    assert artifacts.model_metrics(spark, own.model_dir, first.version).first()["test_metrics"] == before[2]
