@@ -846,6 +846,11 @@ def all_sql() -> dict[str, str]:
                     ON l.web_order_id = t.web_order_id) GROUP BY model_version""",
     )
     wanted = "web_order_id IN (" + ", ".join(f"'{i}'" for i in WANTED) + ")"
+    sql["batch_totals"] = query(
+        "scored_all",
+        """SELECT request_id, COUNT(*) AS total_count, COUNT(DISTINCT position // 100) AS pages, COUNT(*) AS listed, MAX(requested_at) AS "timestamp"
+           FROM scored_all GROUP BY request_id""",
+    )
     sql["log_of_orders"] = query("svc_logs", f"SELECT * REPLACE (CAST(id AS VARCHAR) AS id) FROM svc_logs WHERE {wanted}")
     looked = [f"CAST({c} AS DOUBLE)" for c in FEATURES]
     sql["order_features"] = query(

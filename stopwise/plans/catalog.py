@@ -14,7 +14,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stopwise.config import CORRELATED, FEATURES, TARGET, WEEKDAYS, LearnerParams, Settings
-from stopwise.operators import clean, distribution, evaluate, features, joins, logs, models, monitoring, profile, scoring, split, stats
+from stopwise.operators import boosting, clean, distribution, evaluate, features, joins, logs, models, monitoring, profile, scoring, split, stats
 from stopwise.operators.articles import aggregate_articles
 from stopwise.operators.baseline import RuleModel, cross_validated, fit_rule
 from stopwise.operators.quantiles import exact_quantiles
@@ -792,6 +792,34 @@ def train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.metrics_by(evaluate.add_errors(models.predict(data, trained.model)), "split")
 
 
+LEAFWISE = boosting.LeafwiseParams(trees=12, learning_rate=0.3, depth=5, leaves=16)
+
+
+def _leafwise(spark: SparkSession, sf_dir: str) -> boosting.Boosted:
+    def make() -> boosting.Boosted:
+        parts = split.with_split(_stored(spark, sf_dir))
+        return boosting.fit(parts.filter(F.col("split") == "train"), params=LEAFWISE)
+
+    return _remember(spark, sf_dir, "leafwise", make)
+
+
+def train_leafwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of the penalised, leaf-wise grown trees by part."""
+    data = split.with_split(_stored(spark, sf_dir))
+    return evaluate.metrics_by(evaluate.add_errors(_leafwise(spark, sf_dir).predict(data)), "split")
+
+
+def split_counts_by_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often those trees split on each feature, and what it gained."""
+    return boosting.importance(_leafwise(spark, sf_dir).nodes(spark))
+
+
+def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One response for a batch with its own total, whatever the number of its pages."""
+    answers = scoring.batch_responses(_score(spark, sf_dir))
+    return answers.groupBy("request_id").agg(F.max("batch_count").alias("total_count"), F.count(F.lit(1)).alias("pages"), F.sum(F.size("predictions")).alias("listed"), F.max("timestamp").alias("timestamp"))
+
+
 def train_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = split.with_split(_stored(spark, sf_dir))
     pipeline = models.create_model("random_forest", LearnerParams())
@@ -916,10 +944,10 @@ def all_queries() -> dict[str, Query]:
         split_counts, split_rows, sample_5pct, residuals, evaluate_by_split, combined_metrics, cross_validate_rule, model_rating,
         mae_by_range, count_by_range, r2_by_range, feature_vs_error, residuals_by_prediction,
         error_percentiles, evaluation_summary,
-        first_per_order, first_per_order_hot, feature_lookup, order_features, lookup_rejects, score_batch_rule, batch_response,
+        first_per_order, first_per_order_hot, feature_lookup, order_features, lookup_rejects, score_batch_rule, batch_response, batch_totals,
         feature_log_rows, prediction_log_rows, log_of_orders, get_features, get_predictions, prediction_statistics,
         log_retention, compare_versions, monitor_accuracy, predictions_as_of, accuracy_as_of, feature_drift, feature_distance, run_metrics,
-        train_gbt, train_rf, cross_validate_trees, feature_importance, top_feature_errors, model_metrics, model_registry, score_batch,
+        train_gbt, train_leafwise, split_counts_by_feature, train_rf, cross_validate_trees, feature_importance, top_feature_errors, model_metrics, model_registry, score_batch,
         stream_scores, stream_statistics, stream_windows,
     ]
     named: dict[str, Query] = {
