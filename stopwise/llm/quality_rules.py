@@ -68,7 +68,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """The base figures of each row."""
     text, lines = F.coalesce("text", F.lit("")), text_lines(F.col("text"))
     rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("_print"), F.coalesce("doc_id", F.lit(0)).alias("_id"),
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text").alias("_print"), F.xxhash64("text").alias("_text"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
@@ -80,10 +80,10 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def host_lines(docs: DataFrame, host: str) -> DataFrame:
-    """A row for each line: its document, host, hash and number of words; one without a hash for a document without lines."""
+    """A row for each line: its document (two hashes), host, hash and number of words; one without a hash for a document without lines."""
     line = F.transform(text_lines(F.col("text")), lambda x: F.struct(F.xxhash64(normal(x)).alias("hash"), F.size(F.split(F.trim(F.regexp_replace(x, SPACE, " ")), " ")).alias("words")))
-    rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64("doc_id", "text").alias("_print"), F.xxhash64("text").alias("_text"), F.coalesce(docs[host].cast("string"), F.lit("")).alias("_host"), F.posexplode_outer(line).alias("_nth", "line"))
-    return rows.select("_id", "_print", "_text", "_host", F.coalesce("_nth", F.lit(0)).alias("_nth"), F.col("line.hash").alias("_hash"), F.col("line.words").alias("_line_words"))
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("_print"), F.xxhash64("text").alias("_text"), F.coalesce(docs[host].cast("string"), F.lit("")).alias("_host"), F.posexplode_outer(line).alias("_nth", "line"))
+    return rows.select("_print", "_text", "_host", F.coalesce("_nth", F.lit(0)).alias("_nth"), F.col("line.hash").alias("_hash"), F.col("line.words").alias("_line_words"))
 
 
 def boilerplate(lines: DataFrame, min_documents: int, min_share: float) -> DataFrame:
@@ -94,18 +94,18 @@ def boilerplate(lines: DataFrame, min_documents: int, min_share: float) -> DataF
 
 
 def judged(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """Each row of docs as `row`, with the base figures, n_removed_words, kept and kept_text."""
+    """Each row of docs as `row`, with the base figures, n_removed_words, n_removed_lines, kept and kept_text."""
     lines = stored(host_lines(docs, host), "lines")  # cut and hashed once, for the counts and for the removal
     common = lines.join(boilerplate(lines, min_documents, min_share), ["_host", "_hash"])
     # Repeated rows share a name, so their words are counted as often as there are rows.
-    lost = common.groupBy("_id", "_print").agg(F.sum("_line_words").alias("_lost"), F.collect_set("_hash").alias("_hashes"))
-    copies = lines.filter("_nth = 0").groupBy("_id", "_print").agg(F.count("*").alias("_copies"))
-    rows = measured(docs).join(lost.join(copies, ["_id", "_print"]), ["_id", "_print"], "left")
-    removed = F.coalesce((F.col("_lost") / F.col("_copies")).cast("long"), F.lit(0))
+    lost = common.groupBy("_print", "_text").agg(F.sum("_line_words").alias("_lost"), F.count("*").alias("_lost_lines"), F.collect_set("_hash").alias("_hashes"))
+    copies = lines.filter("_nth = 0").groupBy("_print", "_text").agg(F.count("*").alias("_copies"))
+    rows = measured(docs).join(lost.join(copies, ["_print", "_text"]), ["_print", "_text"], "left")
+    removed, removed_lines = (F.coalesce((F.col(c) / F.col("_copies")).cast("long"), F.lit(0)) for c in ("_lost", "_lost_lines"))
     text = F.col("row.text")
     kept_lines = F.filter(F.split(text, "\n"), lambda line: ~F.array_contains("_hashes", F.xxhash64(normal(line))))
     return rows.select(
-        "row", F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", removed.alias("n_removed_words"),
+        "row", F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", removed.alias("n_removed_words"), removed_lines.alias("n_removed_lines"),
         F.when(F.col("base_failed"), False).otherwise(F.col("n_words") - removed >= min_left * F.col("n_words")).alias("kept"),
         F.when(F.col("_hashes").isNull(), text).otherwise(F.array_join(kept_lines, "\n")).alias("kept_text"),
     )
@@ -113,7 +113,7 @@ def judged(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUM
 
 SQL = rf"""
 WITH base AS (
-  SELECT row_number() OVER () AS rid, doc_id, text AS whole, coalesce(text, '') AS text, coalesce(source, '') AS host FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host FROM documents
 ), cut AS (
   SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM base
@@ -133,18 +133,16 @@ WITH base AS (
   SELECT l.host, l.line FROM (SELECT host, line, count(DISTINCT text) AS n FROM lines GROUP BY host, line) l JOIN hosts h ON l.host = h.host
   WHERE l.n > {MIN_DOCUMENTS} AND l.n > {MIN_SHARE}::DOUBLE * h.docs
 ), lost AS (
-  SELECT l.rid, sum(len(string_split(l.line, ' '))) AS n, list(DISTINCT l.line) AS gone_lines FROM lines l JOIN frequent f ON l.host = f.host AND l.line = f.line GROUP BY l.rid
+  SELECT l.rid, sum(len(string_split(l.line, ' '))) AS n, count(*) AS gone_lines FROM lines l JOIN frequent f ON l.host = f.host AND l.line = f.line GROUP BY l.rid
 ), figures AS (
   SELECT c.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-    coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(l.n, 0)::BIGINT AS gone,
-    CASE WHEN gone_lines IS NULL THEN whole ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x:
-      NOT list_contains(gone_lines, translate(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')), '{UPPER}123456789', '{LOWER}000000000'))), chr(10)) END AS kept_text
+    coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(l.n, 0)::BIGINT AS gone, coalesce(l.gone_lines, 0)::BIGINT AS n_removed_lines
   FROM cut c LEFT JOIN repeated r ON c.rid = r.rid LEFT JOIN lost l ON c.rid = l.rid
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed,
   NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words) AND n_words - gone >= {MIN_LEFT}::DOUBLE * n_words AS kept,
-  gone AS n_removed_words, sha256(kept_text) AS kept_sha256
+  gone AS n_removed_words, n_removed_lines
 FROM figures
 """

@@ -29,7 +29,7 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality_rules.judged(table(spark, folder, "documents"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words", "n_removed_lines")
 
 
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:

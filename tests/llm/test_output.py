@@ -315,6 +315,57 @@ def test_items_in_several_indexes(spark, monkeypatch):
     assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [9]
 
 
+def plain_quality(rows, min_documents=20, min_share=0.01, min_left=0.3):
+    """Kept texts of the first stage, in plain Python: (doc_id, text, source) rows with known texts."""
+    lines = lambda t: [x for x in (t or "").split("\n") if helpers.words(x)]
+    normal = lambda x: re.sub(r"[1-9]", "0", " ".join(helpers.words(x)).translate(helpers.LOWER))
+    texts_of, hosts = defaultdict(set), defaultdict(set)
+    for _, text, host in rows:
+        hosts[host or ""].add(text)
+        for x in lines(text):
+            texts_of[host or "", normal(x)].add(text)
+    out = {}
+    for key, text, host in rows:
+        w = helpers.words(text)
+        seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        repeated = {i + k for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        often = lambda x: len(texts_of[host or "", normal(x)]) > max(min_documents, min_share * len(hosts[host or ""]))
+        lost = sum(len(helpers.words(x)) for x in lines(text) if often(x))
+        if len(w) >= 50 and 2 * len(repeated) <= len(w) and len(w) - lost >= min_left * len(w):
+            out[key] = "\n".join(x for x in text.split("\n") if not (helpers.words(x) and often(x))) if lost else text
+    return out
+
+
+def test_first_and_fourth_stage_against_plain_versions(spark, tmp_path):
+    rng = random.Random(11)
+    some = lambda n: " ".join(f"q{rng.randint(0, 9000)}" for _ in range(n))
+    shared = "Copyright 2024 by the Example  Press, all rights reserved 17"
+    items = [(i, f"{some(20)}? {some(9)}.") for i in range(6)]
+    rows = []
+    for i in range(60):
+        lines = [some(25), some(40)]
+        if i % 2:
+            lines.insert(1, shared.replace("17", str(10 + i % 80)))  # the same line but for its digits
+        if i % 10 == 3:
+            lines = [shared] * 6 + [some(4)]  # hardly anything else
+        if i % 12 == 5:
+            lines.append(items[i % 6][1])
+        if i % 15 == 7:
+            lines = [" ".join(["again and again"] * 30)]
+        if i % 20 == 9:
+            lines = [some(12)]
+        rows.append((i, "\n".join(lines), ("s", "t")[i % 31 == 30]))
+    docs = spark.createDataFrame([(k, t, "en", h, len(t)) for k, t, h in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    good = {r.doc_id: r.text for r in stages["quality_rules"](spark, docs, str(tmp_path)).collect()}
+    assert good == plain_quality(rows) and len(good) < len(rows) - 6
+    assert any(good[k] != t for k, t, _ in rows if k in good) and not any("Example" in t for k, t in good.items() if rows[k][2] == "s")
+    clean = {r.doc_id for r in stages["decontamination"](spark, docs, str(tmp_path)).collect()}
+    leaks = {k for k, _ in plain_matches([(k, t) for k, t, _ in rows], items)}
+    assert clean == {k for k, _, _ in rows} - leaks and len(leaks) >= 4
+
+
 def test_pipeline_stage_by_stage(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
