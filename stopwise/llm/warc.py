@@ -40,7 +40,7 @@ from stopwise.llm.cluster import prepare
 from stopwise.session import shuffle_partitions
 
 BINS = 1 << 12  # ranges counted at once
-FINE = 64  # a shard's share of pages is at least so many ranges, or one page_id
+FINE = 4  # a range holds at most this part of a shard's share of pages, or one page_id
 ROLL_BYTES = 64 << 20  # compressed size at which a file ends
 DATE = "2000-01-01T00:00:00Z"  # the same input gives the same bytes
 HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -115,43 +115,53 @@ class Shard:
             yield self.name, self.shard, self.records, self.size, self.hash.hexdigest()
 
 
+def halved(value: Column, edges: list[int], low: int = 0, high: int | None = None) -> Column:
+    """How many of the sorted edges are at or below a value, by halving."""
+    high = len(edges) if high is None else high
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(value < edges[middle], halved(value, edges, low, middle)).otherwise(halved(value, edges, middle + 1, high))
+
+
 def bounds(pages: DataFrame, shards: int) -> list[int]:
     """First page_id of each shard but the first: ranges of ids with about equal numbers of pages.
 
-    Ids are counted by ranges of equal width; a range that holds much of a shard is counted
-    again in finer ones, until it is small or a single id. At most BINS counts a round come
-    to the driver.
+    Ids are counted by ranges of equal width. A range in which a shard should begin is counted
+    again in finer ones, until it holds a small part of a shard or a single id. Each round is one
+    aggregate; at most BINS counts, or a few for each shard, come to the driver.
     """
     ids = pages.select(F.col("page_id").cast("long").alias("id")).filter("id IS NOT NULL")
     ends = ids.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).first()
     if not ends.n or shards < 2:
         return []
-    held: dict[int, int] = {}  # pages by first id of a range
+    held: dict[int, tuple[int, int]] = {}  # by first id of a range: its last id and its pages
     open_ = [(ends.low, ends.high)]
     while open_:
-        parts = max(2, BINS // len(open_))
-        groups = []
-        for low, high in open_:
-            width = -(-(high - low + 1) // parts)
-            # Ids may be far apart, so differences are taken in decimals.
-            away = F.col("id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
-            groups.append((F.col("id").between(low, high), F.floor(away / F.lit(width).cast("decimal(20,0)")), low, width, high))
-        which = F.coalesce(*[F.when(inside, F.lit(k)) for k, (inside, *_) in enumerate(groups)])
-        nth = F.coalesce(*[F.when(inside, place) for inside, place, *_ in groups]).cast("long")
-        rows = ids.select(which.alias("which"), nth.alias("nth")).filter("which IS NOT NULL").groupBy("which", "nth").agg(F.count("*").alias("n")).collect()
-        open_ = []
-        for row in rows:
-            low, width, high = groups[row.which][2:]
-            start = low + row.nth * width
-            if row.n * FINE * shards > ends.n and width > 1:
-                open_.append((start, min(high, start + width - 1)))
-            else:
-                held[start] = row.n
+        parts = max(FINE, BINS // len(open_))
+        widths = [-(-(high - low + 1) // parts) for low, high in open_]
+        lows, highs, widths_ = (F.array(*[F.lit(x).cast("decimal(20,0)") for x in column]) for column in ([x for x, _ in open_], [x for _, x in open_], widths))
+        value, k = F.col("id").cast("decimal(20,0)"), F.col("k")
+        placed = ids.select("id", (halved(F.col("id"), [low for low, _ in open_]) - 1).alias("k")).filter((k >= 0) & (value <= F.get(highs, k)))
+        # Ids may be far apart, so differences are taken in decimals.
+        nth = F.floor((value - F.get(lows, k)) / F.get(widths_, k)).cast("long").alias("nth")
+        for row in placed.groupBy("k", nth).agg(F.count("*").alias("n")).collect():
+            start = open_[row.k][0] + row.nth * widths[row.k]
+            held[start] = min(open_[row.k][1], start + widths[row.k] - 1), row.n
+        open_, seen = [], 0
+        for start in sorted(held):
+            last, n = held[start]
+            begins = (seen + n) * shards // ends.n > seen * shards // ends.n  # a shard should begin within it
+            seen += n
+            if begins and n * FINE * shards > ends.n and last > start:
+                open_.append((start, last))
+        for start, _ in open_:
+            del held[start]
     found, seen = [], 0
     for start in sorted(held):
         while len(found) + 1 < shards and seen * shards >= (len(found) + 1) * ends.n:
             found.append(start)
-        seen += held[start]
+        seen += held[start][1]
     return found
 
 
@@ -162,18 +172,11 @@ def write(pages: DataFrame, folder: str, shards: int | None = None, roll: int =
     shards = shards or shuffle_partitions(spark)
     edges = bounds(pages, shards)
 
-    def range_of(order: Column, low: int = 0, high: int = len(edges)) -> Column:
-        """The number of edges at or below an id, by halving."""
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(order < edges[middle], range_of(order, low, middle)).otherwise(range_of(order, middle + 1, high))
-
     def placed(df: DataFrame, digest: Column, *more: Column) -> DataFrame:
         null = F.col("page_id").isNull()
         order = F.coalesce("page_id", F.lit((1 << 63) - 1)).cast("long")
         apart = F.when(null, F.pmod(F.xxhash64(digest), F.lit(shards)).cast("int"))
-        return df.select(F.coalesce(apart, range_of(order)).alias("_shard"), order.alias("_order"), null.alias("_null"), *more)
+        return df.select(F.coalesce(apart, halved(order, edges)).alias("_shard"), order.alias("_order"), null.alias("_null"), *more)
 
     html = F.coalesce("html", F.lit(""))
     small = pages.select("page_id", F.sha1(html).alias("_digest"), F.octet_length(html).alias("_bytes"))
