@@ -1,8 +1,8 @@
 """Boosted trees with penalties, grown leaf by leaf, with a default side for unknown values.
 
 Values fall into bins by quantiles of their feature; unknown ones have a bin of their own. A level of
-a tree is one aggregate: sums of gradients by (node, feature, bin), combined on the map side, so a crowded
-node is a few numbers for each task. Only these sums, whose number is fixed by the settings, come to the
+a tree is one aggregate: sums of gradients by (node, feature, bin), which each task adds up in one array over its
+Arrow batches, so a row is never repeated for its features and a crowded node is a few numbers for each task. Only these sums, whose number is fixed by the settings, come to the
 driver, which picks splits by penalised gain and tries the unknown on either side. A tree is first opened
 to its full depth; of that, the splits are taken best gain first until the leaves are used up, which is what
 growing leaf by leaf within that depth gives.
@@ -13,11 +13,13 @@ The model is a table of nodes; split counts and gains by feature are aggregates
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from heapq import heappop, heappush
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stopwise.config import FEATURES, TARGET
@@ -25,6 +27,8 @@ from stopwise.session import scratch_path
 
 NODES = "tree int, node int, feature string, threshold double, unknown_left boolean, left int, right int, value double, gain double, rows long"
 
+UNKNOWN = 2**15 - 1  # the bin number of unknown values
+
 
 @dataclass(frozen=True)
 class LeafwiseParams:
@@ -70,12 +74,19 @@ class Boosted:
 
     def predict(self, df: DataFrame, output: str = "predicted") -> DataFrame:
         """Adds the prediction; absent columns are unknown."""
-        values = F.array(*[_number(df, name) for name in self.features])
-        total = F.lit(self.start)
-        for tree in self.trees:
-            leaf = _walk(tree, F.col("__values"), [self.threshold(n) for n in tree], self.params.depth)
-            total = total + F.get(F.array(*[F.lit(self.leaf_value(n)) for n in tree]), leaf)
-        return df.withColumn("__values", values).withColumn(output, total).drop("__values")
+        if not self.trees:
+            return df.withColumn(output, F.lit(self.start))
+        walk, start, depth = _walker(), self.start, self.params.depth
+        trees = [(_arrays(tree, [self.threshold(n) for n in tree]), np.array([self.leaf_value(n) for n in tree])) for tree in self.trees]
+
+        def total(*columns: pd.Series) -> pd.Series:
+            values = np.array([c.to_numpy(float) for c in columns])
+            known, out = ~np.isnan(values), np.full(values.shape[1], start)
+            for tree, leaf in trees:
+                out += leaf[walk(tree, values, known, depth)]
+            return pd.Series(out)
+
+        return df.withColumn(output, F.pandas_udf(total, "double")(*[_number(df, name) for name in self.features]))
 
     def nodes(self, spark: SparkSession) -> DataFrame:
         """The table of all nodes; leaves have no feature."""
@@ -109,18 +120,30 @@ def _score(gradient, rows, params: LeafwiseParams):
     return _shrunk(gradient, params.l1) ** 2 / (rows + params.l2)
 
 
-def _walk(tree: Sequence[Node], values: Column, thresholds: Sequence[float], depth: int) -> Column:
-    """The node that a row ends in, at most `depth` steps down."""
-    listed = {name: F.array(*[F.lit(x) for x in column]) for name, column in {
-        "feature": [n.feature for n in tree], "left": [n.left for n in tree], "right": [n.right for n in tree], "unknown": [n.left if n.unknown_left else n.right for n in tree], "at": [float(t) for t in thresholds],
-    }.items()}
+def _walker():
+    """The function that finds the node each row ends in. It is made here, not imported, so that tasks carry it with them."""
 
-    def step(node: Column, _: Column) -> Column:
-        value = F.get(values, F.get(listed["feature"], node))
-        below = F.when(value.isNull(), F.get(listed["unknown"], node)).when(value <= F.get(listed["at"], node), F.get(listed["left"], node)).otherwise(F.get(listed["right"], node))
-        return F.when(F.get(listed["feature"], node) < 0, node).otherwise(below)
+    def walk(tree: tuple[np.ndarray, ...], values: np.ndarray, known: np.ndarray, depth: int) -> np.ndarray:
+        feature, cut, unknown_left, left, right = tree
+        many = values.shape[1]
+        values, known, row, node = values.ravel(), known.ravel(), np.arange(many), np.zeros(many, np.int64)
+        for _ in range(depth):
+            at = np.maximum(feature, 0)[node] * many + row
+            below = np.where(known[at], values[at] <= cut[node], unknown_left[node])
+            node = np.where(feature[node] < 0, node, np.where(below, left[node], right[node]))
+        return node
 
-    return F.aggregate(F.array(*[F.lit(i) for i in range(depth)]), F.lit(0), step)
+    return walk
+
+
+def _arrays(tree: Sequence[Node], cuts: Sequence[float]) -> tuple[np.ndarray, ...]:
+    return (
+        np.array([n.feature for n in tree]),
+        np.array(cuts, float),
+        np.array([n.unknown_left for n in tree]),
+        np.array([n.left for n in tree]),
+        np.array([n.right for n in tree]),
+    )
 
 
 def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> list[list[float]]:
@@ -130,18 +153,19 @@ def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> list[list[fl
     return [sorted(set(found[f"q{i}"] or [])) for i in range(len(features))]
 
 
-def _binned(df: DataFrame, features: Sequence[str], edges: list[list[float]]) -> Column:
-    """Bin numbers of a row, null for unknown values."""
-    places = []
-    for name, ends in zip(features, edges):
-        value = _number(df, name)
-        listed = F.array(*[F.lit(e) for e in ends]) if ends else F.array().cast("array<double>")
-        places.append(F.when(value.isNotNull(), F.size(F.filter(listed, _below(value)))).cast("double"))
-    return F.array(*places)
+def _binned(df: DataFrame, features: Sequence[str], edges: list[list[float]], target: str, start: float) -> DataFrame:
+    """Blocks of rows, one for each Arrow batch: targets, scores, and bin numbers feature by feature, as arrays; UNKNOWN for unknown values."""
+    ends, unknown = [np.array(e, float) for e in edges], UNKNOWN
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            target, *values = [column.to_numpy(zero_copy_only=False).astype(float) for column in batch.columns]  # null is not a number here
+            bins = [np.where(np.isnan(v), unknown, np.searchsorted(own, v, "left")).astype(np.int16) for own, v in zip(ends, values)]
+            block = target.tobytes(), np.full(len(target), start).tobytes(), b"".join(b.tobytes() for b in bins)
+            yield pa.record_batch([pa.array([x], pa.binary()) for x in block], ["target", "score", "bins"])
 
-def _below(value: Column):
-    return lambda end: end < value
+    picked = df.select(F.col(target).cast("double").alias("target"), *[_number(df, name).alias(f"b{i}") for i, name in enumerate(features)])
+    return picked.mapInArrow(place, "target binary, score binary, bins binary")
 
 
 def best_split(gradient: np.ndarray, rows: np.ndarray, params: LeafwiseParams) -> Node | None:
@@ -165,20 +189,60 @@ def best_split(gradient: np.ndarray, rows: np.ndarray, params: LeafwiseParams) -
     return best
 
 
-def _sums(rows: DataFrame, tree: Sequence[Node], params: LeafwiseParams, features: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Gradient sums and row counts by (feature, bin) of each open node, from one aggregate."""
-    cuts = [float(n.cut) for n in tree]
-    placed = rows.select(_walk(tree, F.col("bins"), cuts, params.depth).alias("node"), "bins", (F.col("score") - F.col("target")).alias("gradient"))
-    cells = placed.select("node", "gradient", F.posexplode("bins").alias("feature", "bin")).groupBy("node", "feature", "bin").agg(F.sum("gradient").alias("g"), F.count(F.lit(1)).alias("n"))
+def _sums(blocks: DataFrame, tree: Sequence[Node], open_: set[int], params: LeafwiseParams, features: int, level: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Gradient sums and row counts by (feature, bin) of the open nodes of a level, from one aggregate.
+
+    A task adds its rows up in one array by (open node, feature, bin) and gives out what is in it.
+    Leaves of the full depth need the sums of one feature only.
+    """
+    counted = features if level < params.depth else 1
+    walk, arrays, bins, unknown = _walker(), _arrays(tree, [n.cut for n in tree]), params.bins, UNKNOWN
+    number = np.full(len(tree), -1)
+    number[sorted(open_)] = np.arange(len(open_))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = bins + 1
+        g, n = np.zeros((counted, len(open_) * width)), np.zeros((counted, len(open_) * width), np.int64)
+        for batch in batches:
+            for target, score, held in zip(*(batch.column(c) for c in ("target", "score", "bins"))):
+                gradient = np.frombuffer(score.as_buffer()) - np.frombuffer(target.as_buffer())
+                places = np.frombuffer(held.as_buffer(), np.int16).reshape(features, -1)
+                node = number[walk(arrays, places, places != unknown, level)]
+                own = np.flatnonzero(node >= 0)
+                if len(own) < len(node):
+                    node, gradient, places = node[own], gradient[own], places[:, own]
+                node = node * width
+                for f in range(counted):
+                    cell = node + np.minimum(places[f], bins)
+                    g[f] += np.bincount(cell, gradient, g.shape[1])
+                    n[f] += np.bincount(cell, minlength=g.shape[1])
+        feature, cell = np.nonzero(n)
+        yield pa.record_batch([pa.array(x) for x in (cell // width, feature, cell % width, g[feature, cell], n[feature, cell])], ["node", "feature", "bin", "g", "n"])
+
+    cells = blocks.mapInArrow(add, "node long, feature long, bin long, g double, n long").groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
     found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    names = sorted(open_)
     for row in cells.collect():  # at most nodes x features x bins
-        g, n = found.setdefault(row["node"], (np.zeros((features, params.bins + 1)), np.zeros((features, params.bins + 1), np.int64)))
-        place = params.bins if row["bin"] is None else int(row["bin"])
-        g[row["feature"], place] += row["g"]
-        n[row["feature"], place] += row["n"]
+        g, n = found.setdefault(names[row["node"]], (np.zeros((counted, bins + 1)), np.zeros((counted, bins + 1), np.int64)))
+        g[row["feature"], row["bin"]], n[row["feature"], row["bin"]] = row["g"], row["n"]
     return found
 
 
+def _advanced(rows: DataFrame, tree: Sequence[Node], values: Sequence[float], params: LeafwiseParams, features: int) -> DataFrame:
+    """The rows with the tree's leaf values added to their scores."""
+    walk, arrays, leaf, depth, unknown = _walker(), _arrays(tree, [n.cut for n in tree]), np.array(values), params.depth, UNKNOWN
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = []
+            for score, held in zip(batch.column("score"), batch.column("bins")):
+                places = np.frombuffer(held.as_buffer(), np.int16).reshape(features, -1)
+                scores.append((np.frombuffer(score.as_buffer()) + leaf[walk(arrays, places, places != unknown, depth)]).tobytes())
+            yield batch.set_column(batch.schema.get_field_index("score"), "score", pa.array(scores, pa.binary()))
+
+    return rows.mapInArrow(add, rows.schema)
+
+
 def pruned(tree: list[Node], leaves: int) -> list[Node]:
     """The tree left when its splits are taken best gain first until it has so many leaves."""
     out = [Node(tree[0].gradient, tree[0].rows)]
@@ -199,7 +263,7 @@ def _grown(rows: DataFrame, params: LeafwiseParams, features: int) -> list[Node]
     """A tree opened to its full depth; children of a node follow each other."""
     tree, open_ = [Node()], {0}
     for level in range(params.depth + 1):
-        sums = {k: v for k, v in _sums(rows, tree, params, features).items() if k in open_}
+        sums = _sums(rows, tree, open_, params, features, level)
         opened = set()
         for place, (g, n) in sorted(sums.items()):
             tree[place].gradient, tree[place].rows = float(g[0].sum()), int(n[0].sum())
@@ -225,13 +289,11 @@ def fit(df: DataFrame, features: Sequence[str] = tuple(FEATURES), target: str =
     if mean is None:
         return model
     path = scratch_path(spark, "boosting")
-    known.select(_binned(known, features, edges).alias("bins"), F.col(target).cast("double").alias("target"), F.lit(model.start).alias("score")).write.parquet(f"{path}/0")
+    _binned(known, features, edges, target, model.start).write.parquet(f"{path}/0")
     for number in range(params.trees):
         rows = spark.read.parquet(f"{path}/{number}")
         tree = pruned(_grown(rows, params, len(features)), params.leaves)
         model.trees.append(tree)
         if number + 1 < params.trees:
-            leaf = _walk(tree, F.col("bins"), [float(n.cut) for n in tree], params.depth)
-            value = F.get(F.array(*[F.lit(model.leaf_value(n)) for n in tree]), leaf)
-            rows.withColumn("score", F.col("score") + value).write.parquet(f"{path}/{number + 1}")
+            _advanced(rows, tree, [model.leaf_value(n) for n in tree], params, len(features)).write.parquet(f"{path}/{number + 1}")
     return model

@@ -100,3 +100,15 @@ def test_not_worse_than_level_wise_trees(spark, sf_dir):
     level = models.fit(train, models.create_model("gbt", LearnerParams(trees=6, learning_rate=0.5)))
     error = lambda df: evaluate.add_errors(df).agg(F.sqrt(F.avg(F.pow("residual", F.lit(2))))).first()[0]
     assert error(leafwise.predict(test)) <= 1.05 * error(models.predict(test, level))
+
+
+def test_rows_are_held_in_blocks_and_summed_in_tasks(spark):
+    df = frame(spark, rows_of(4), SCHEMA).coalesce(1)
+    edges = boosting.bin_edges(df, ["a", "b"], 8)
+    blocks = boosting._binned(df, ["a", "b"], edges, "y", 0.0)
+    assert blocks.count() == 1
+    g, n = boosting._sums(blocks, [boosting.Node()], {0}, PARAMS, 2, 0)[0]
+    rows = df.collect()
+    assert n.sum(axis=1).tolist() == [300, 300] and n[0, -1] == sum(r["a"] is None for r in rows)
+    assert np.allclose(g.sum(axis=1), -sum(r["y"] for r in rows))
+    assert n[1, 0] == sum(r["b"] <= edges[1][0] for r in rows)
