@@ -86,3 +86,21 @@ def test_result_does_not_depend_on_partitioning(spark):
         tuple(exact_quantiles(df.repartition(n), "x", PROBABILITIES).first()["quantiles"]) for n in (1, 3, 16)
     }
     assert len(results) == 1
+
+
+@pytest.mark.parametrize("crowded", [0, 5, 1_000_000])
+def test_running_counts_of_crowded_bins(spark, crowded):
+    """Many values within one coarse bin, taken apart or not, and copies of one value."""
+    values = [7 + i * 1e-9 for i in range(50)] * 2 + [3.0] * 40 + [-2.5, 0.0, -0.0, None]
+    df = frame(spark, [(v,) for v in values], "x double").repartition(3)
+    got = running_counts(df, "x", crowded=crowded).orderBy("value").collect()
+    known = np.array([v for v in values if v is not None])
+    assert [r["value"] for r in got] == sorted(set(known.tolist()))
+    assert all(r["upto"] == int((known <= r["value"]).sum()) and r["total"] == len(known) for r in got)
+    assert sum(r["count"] for r in got) == len(known)
+
+
+def test_values_are_shuffled_once_by_bin(spark):
+    """Past the bin totals, one exchange by bin for ordinary bins."""
+    plan = running_counts(spark.range(100).selectExpr("id / 7.0 as x"), "x")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and "hashpartitioning(__bin" in plan
