@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stopwise.config import TARGET
 from stopwise.operators.skew import find_hot_keys, lookup_join
+from stopwise.session import scratch_path
+
+FEW = 100_000  # cells of a few numbers each, so some MB to broadcast
 
 
 @dataclass(frozen=True)
@@ -19,15 +22,16 @@ class RuleModel:
     keys: tuple[str, ...]
     cells: DataFrame
     default: float | None
+    few: bool = False  # counted: at most FEW cells
 
     def transform(self, df: DataFrame, output: str = "predicted") -> DataFrame:
         """Add the cell mean, or the overall mean where the combination is new."""
         cells = self.cells.withColumnRenamed("cell_mean", "__mean")
-        found = self._spread_join(df, cells)
+        found = df.join(F.broadcast(cells), list(self.keys), "left") if self.few else self._spread_join(df, cells)
         return found.withColumn(output, F.coalesce("__mean", F.lit(self.default))).drop("__mean")
 
     def _spread_join(self, df: DataFrame, cells: DataFrame) -> DataFrame:
-        """Left to adaptive execution, with crowded cells cut into pieces by row digest."""
+        """For a model of very many cells: left to adaptive execution, with crowded cells cut into pieces by row digest."""
         keys = list(self.keys)
 
         def by_row(pieces: Column) -> Column:
@@ -37,10 +41,14 @@ class RuleModel:
 
 
 def fit_rule(df: DataFrame, keys: Sequence[str] = ("floor", "has_elevator"), target: str = TARGET) -> RuleModel:
-    """Fit like any estimator; the cells stay a table, however many they are."""
+    """Fit like any estimator; the cells are stored as a table, however many they are. Up to FEW of
+    them are sent to the rows, which then need no shuffle."""
     cells = df.groupBy(*keys).agg(F.avg(target).alias("cell_mean"))
+    path = scratch_path(df.sparkSession, "rule_cells")
+    cells.write.parquet(path)
+    cells = df.sparkSession.read.schema(cells.schema).parquet(path)
     default = df.agg(F.avg(target).alias("mean")).first()["mean"]
-    return RuleModel(tuple(keys), cells, default)
+    return RuleModel(tuple(keys), cells, default, cells.limit(FEW + 1).count() <= FEW)
 
 
 def fold(key: Column, folds: int, seed: int = 42) -> Column:

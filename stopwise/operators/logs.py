@@ -59,6 +59,14 @@ def append(rows: DataFrame, path: str, run_id: str, row_group: int = ROW_GROUP)
     several tasks for a busy one. Files are sorted by order id and carry its Bloom
     filters, so that a lookup by id reads few row groups.
     """
+    _write(_dealt(rows), path, run_id, row_group)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("log_date", F.to_date("timestamp")).hint("rebalance", "log_date")
+
+
+def _write(rows: DataFrame, path: str, run_id: str, row_group: int = ROW_GROUP) -> None:
     if not run_id or "/" in run_id:
         raise ValueError("a log run needs an id of its own, without a slash")
     spark = rows.sparkSession
@@ -67,9 +75,7 @@ def append(rows: DataFrame, path: str, run_id: str, row_group: int = ROW_GROUP)
     for old in files.globStatus(hadoop.Path(f"{path.rstrip('/')}/log_date=*/run_id={run_id}")) or []:
         files.delete(old.getPath(), True)
     (
-        rows.withColumn("log_date", F.to_date("timestamp"))
-        .withColumn("run_id", F.lit(run_id))
-        .hint("rebalance", "log_date")
+        rows.withColumn("run_id", F.lit(run_id))
         .sortWithinPartitions("log_date", "run_id", "web_order_id")
         .write.mode("append")
         .options(**findable("web_order_id", row_group))
@@ -79,11 +85,13 @@ def append(rows: DataFrame, path: str, run_id: str, row_group: int = ROW_GROUP)
 
 
 def append_scored(scored: DataFrame, feature_log: str, prediction_log: str, run_id: str) -> None:
-    """Both logs of one scored run; the rows are kept meanwhile, so they are computed once."""
-    kept = scored.persist()
+    """Both logs of one scored run; the rows are kept meanwhile, so they are computed once. Ids and
+    feature texts are made behind the shuffle by date, which moves plain columns."""
+    kept = scored.withColumnRenamed("requested_at", "timestamp").persist()
     try:
-        append(feature_log_rows(kept), feature_log, run_id)
-        append(prediction_log_rows(kept), prediction_log, run_id)
+        dealt = _dealt(kept)
+        _write(feature_log_rows(dealt, "timestamp").withColumn("log_date", F.to_date("timestamp")), feature_log, run_id)
+        _write(prediction_log_rows(dealt, "timestamp").withColumn("log_date", F.to_date("timestamp")), prediction_log, run_id)
     finally:
         kept.unpersist()
 

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 from collections import Counter
 
 import pytest
@@ -74,3 +76,11 @@ def test_spread_rule_join(spark, monkeypatch):
     want = collected(fit_rule(df).transform(df))
     monkeypatch.setattr(baseline, "find_hot_keys", partial(baseline.find_hot_keys, fraction=1.0, min_hits=1, partitions=16))
     assert collected(fit_rule(df).transform(df)) == want
+
+
+def test_few_cells_need_no_shuffle_of_the_rows(spark):
+    df = frame(spark, [(float(i % 4), i % 3 == 0, float(i)) for i in range(40)], "floor double, has_elevator boolean, service_time_in_minutes double")
+    rule = fit_rule(df)
+    assert rule.few and "Exchange hashpartitioning" not in rule.transform(df)._jdf.queryExecution().executedPlan().toString()
+    many = replace(rule, few=False)
+    assert collected(rule.transform(df)) == collected(many.transform(df))
