@@ -72,3 +72,11 @@ def test_folds_are_judged_by_the_others(spark):
         cell = [t for f, t in others if f == floor] or [t for _, t in others]
         assert got[key]["predicted"] == pytest.approx(sum(cell) / len(cell))
     assert baseline.cross_validated(df.limit(0), ["floor"], 4, "minutes").count() == 0
+
+
+def test_stored_rows_are_not_processed_again(spark, sf_dir, monkeypatch):
+    from stopwise.plans import catalog
+
+    stored = catalog._stored(spark, sf_dir)
+    monkeypatch.setattr(catalog, "process_tables", None)
+    assert catalog.load_processed(spark, sf_dir).columns == stored.columns
