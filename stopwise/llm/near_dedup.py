@@ -203,7 +203,7 @@ def compared_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> Dat
             size = np.array([len(x) // 6 for x in held])
             near = similar(common.astype(np.int64), size[:, None], size[None, :], percent)
             np.fill_diagonal(near, True)
-            # A link from each set to the first one that it reaches says the same as all links.
+            # A link from each set to the first one that it reaches, the least, says the same as all links.
             label = np.arange(len(held))
             while True:
                 least = np.where(near, label[None, :], len(held)).min(axis=1)
@@ -227,7 +227,7 @@ def compared_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> Dat
             yield links(keys, held)
 
     rows = groups.join(sets.select("set_key", "set"), "set_key")
-    return rows.repartition("_group").sortWithinPartitions("_group").mapInArrow(compare, "a binary, b binary").distinct()
+    return rows.repartition("_group").sortWithinPartitions("_group", "set_key").mapInArrow(compare, "a binary, b binary").distinct()
 
 
 def released(df: DataFrame, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from stopwise.llm import near_dedup, registry, substring_dedup, suffix_dedup
+from stopwise.llm import components, near_dedup, registry, substring_dedup, suffix_dedup
 from stopwise.llm import superkmers as sk
 from stopwise.llm import vectors as v
 from tests.llm import helpers
@@ -180,3 +180,15 @@ def test_copies_of_a_crowded_set_go_to_several_tasks(spark):
     label = helpers.groups(rows[:1] + rows[300:340], 2)
     assert {got[i].component_id for i in range(300)} == {0} and [i for i in range(300) if got[i].kept] == [0]
     assert all(got[k].component_id == v for k, v in label.items()) and len(got) == 900
+
+
+def test_links_of_near_copies_are_thinned(spark):
+    """Nodes linked with up to 40 centres each: the rounds must not join all those links, and lose none of them."""
+    rng = random.Random(5)
+    links = [(c, 1000 * group + n) for group in (1, 2) for n in range(100, 700) for c in rng.sample(range(1000 * group, 1000 * group + 60), 40)]
+    links += [(b, a) for a, b in links[::7]] + [(5000 + i, 5001 + i) for i in range(30)]
+    df = spark.createDataFrame(links, "a long, b long")
+    nodes = {n for link in links for n in link}
+    assert components.thinned(components.thinned(df)).count() < 1.1 * len(nodes)
+    got = {r.node: r.component for r in components.components(df).collect()}
+    assert got == {n: 1000 if n < 2000 else 2000 if n < 5000 else 5000 for n in nodes}
