@@ -124,3 +124,16 @@ def test_a_run_that_fails_changes_nothing_for_readers(spark, run, tmp_path, monk
     assert after[1] == second.version and after[0] is not before[0] and len(after[3]) == 16
     assert {r["version"] for r in artifacts.list_models(spark, own.model_dir).collect()} == {"latest", first.version, second.version}
     assert artifacts.model_metrics(spark, own.model_dir, first.version).first()["test_metrics"] == before[2]
+
+
+@pytest.mark.parametrize("learn", [lambda df: models.cross_validate(df, params=LearnerParams(trees=1), depths=(1,), folds=2), lambda df: models.fit(df, models.create_model("random_forest", LearnerParams(trees=1, depth=1)))])
+def test_learners_read_vectors_made_once(spark, run, monkeypatch, learn):
+    """Learners pass over their input several times, and must not make the vectors each time."""
+    read = []
+    for learner in (models.CrossValidator, models.RandomForestRegressor):
+        fit = learner.fit
+        monkeypatch.setattr(learner, "fit", lambda self, df, fit=fit: read.append((df.columns, df.storageLevel.useMemory)) or fit(self, df))
+    model = learn(load_processed(spark, run[0]))
+    assert read == [(["features", TARGET], True)]
+    best = getattr(model, "bestModel", model)
+    assert best.stages[0].getInputCols() == FEATURES and best.stages[-1].getOrDefault("maxDepth") == 1
