@@ -1,8 +1,11 @@
 import datetime
+import glob
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from stopwise import session
 from stopwise.config import FEATURES, TARGET, LearnerParams, Settings
 from stopwise.operators import models
 from stopwise.plans import training
@@ -137,3 +140,12 @@ def test_learners_read_vectors_made_once(spark, run, monkeypatch, learn):
     assert read == [(["features", TARGET], True)]
     best = getattr(model, "bestModel", model)
     assert best.stages[0].getInputCols() == FEATURES and best.stages[-1].getOrDefault("maxDepth") == 1
+
+
+def test_large_files_of_processed_rows_are_split(spark, tmp_path):
+    rows = spark.range(200_000).selectExpr("id", *[f"rand({i}) as c{i}" for i in range(4)]).coalesce(1)
+    store.write_processed(rows, str(tmp_path / "small"), row_group=1 << 20)
+    (path,) = glob.glob(str(tmp_path / "small/full_dataset/*.parquet"))
+    groups = [pq.ParquetFile(path).metadata.row_group(i).num_rows for i in range(pq.ParquetFile(path).num_row_groups)]
+    assert sum(groups) == 200_000 and max(groups) < 60_000
+    assert store.SCAN_GROUP <= int(session.SQL_SETTINGS["spark.sql.files.maxPartitionBytes"].rstrip("m")) << 20
