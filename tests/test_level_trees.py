@@ -99,3 +99,43 @@ def test_settings_like_mllibs(vectors):
         level_trees.BoostedTrees(labelCol="y").fit(vectors.limit(0))
     single = level_trees.BoostedTrees(labelCol="y", maxIter=1, minInstancesPerNode=1000).fit(vectors)
     assert len(single.nodes) == 1 and single.nodes[0].value == pytest.approx(vectors.agg(F.avg("y")).first()[0])
+
+
+def test_one_partition_a_core(spark, vectors, monkeypatch):
+    """Fits of 100 trees make 500 short passes; a second task on a core cost a third of a pass."""
+    asked, blocks = [], level_trees._blocks
+    monkeypatch.setattr(level_trees, "BLOCK", 50)
+    monkeypatch.setattr(level_trees, "_blocks", lambda *given: asked.append(given[-1]) or blocks(*given))
+    level_trees.BoostedTrees(labelCol="y", maxIter=1, maxDepth=2).fit(vectors)
+    assert asked == [spark.sparkContext.defaultParallelism] == [8]
+
+
+def test_predictions_follow_the_splits(spark):
+    """Values at, next to and beyond thresholds, unknown ones, and more leaves than a byte counts."""
+    rng = random.Random(4)
+
+    def grown(tree, place, depth):
+        if not depth:
+            return [level_trees.Node(tree, place, value=rng.uniform(-1, 1))]
+        split = level_trees.Node(tree, place, rng.randrange(3), float(rng.randrange(5)), gain=1.0)
+        return [split, *grown(tree, 2 * place + 1, depth - 1), *grown(tree, 2 * place + 2, depth - 1)]
+
+    values = [float("-inf"), -0.5, 0.0, 0.5, 1.0, 2.0, 3.0, 3.5, 4.0, 9.0, float("inf"), float("nan")]
+    rows = [tuple(rng.choice(values) for _ in range(3)) for _ in range(300)]
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features", handleInvalid="keep").transform(frame(spark, rows, "a double, b double, c double"))
+    for depths in ((0,), (2, 5, 1), (9,)):
+        nodes = [node for t, depth in enumerate(depths) for node in grown(t, 0, depth)]
+        by_place = {(n.tree, n.place): n for n in nodes}
+
+        def walked(row):
+            total = 0.0
+            for t in range(len(depths)):
+                node = by_place[t, 0]
+                while node.feature is not None:
+                    node = by_place[t, 2 * node.place + (1 if row[node.feature] <= node.threshold else 2)]
+                total += node.value
+            return total
+
+        model = level_trees.BoostedTreesModel(nodes, 3)
+        assert [r["prediction"] for r in model.transform(df).collect()] == [walked((r["a"], r["b"], r["c"])) for r in df.collect()]
+        assert [len(ends) <= 5 for ends in level_trees._ends(nodes, 3)] == [True] * 3

@@ -80,3 +80,16 @@ def test_stored_rows_are_not_processed_again(spark, sf_dir, monkeypatch):
     stored = catalog._stored(spark, sf_dir)
     monkeypatch.setattr(catalog, "process_tables", None)
     assert catalog.load_processed(spark, sf_dir).columns == stored.columns
+
+
+def test_bounds_of_stored_rows_need_no_join(spark, sf_dir, monkeypatch):
+    """The bounds come from the stored target; rows are those of the lazy plan, whose bounds come from weights."""
+    from stopwise.plans import catalog, processing
+
+    want = catalog._process(spark, sf_dir)
+    monkeypatch.setattr(processing, "row_weights", None)
+    stored = catalog._stored(spark, f"{sf_dir}/")  # another name, so that it is stored anew
+    assert stored.columns == want.columns and stored.count() == want.count() > 0
+    assert stored.exceptAll(want).isEmpty()
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "GreaterThanOrEqual(service_time_in_minutes" in plan.split("PushedFilters:")[1]
